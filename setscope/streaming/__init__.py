@@ -1,0 +1 @@
+"""Left empty on purpose: the workload this engine covers is batch only, so no streaming operator exists."""
