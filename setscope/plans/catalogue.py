@@ -30,4 +30,5 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from setscope.plans import (  # noqa: F401
         queries_baskets,
+        queries_utility,
     )

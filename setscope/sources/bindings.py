@@ -57,8 +57,7 @@ def _confidence() -> Column:
 
 def tracks(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """``(_id, confidence, items map)``."""
-    lines = table(spark, sf_dir, "lineitem")
-    confidence = lines.groupBy(F.col("l_orderkey").alias("_id")).agg(_confidence())
+    confidence = plain_tracks(spark, sf_dir)
     return basket_maps(spark, sf_dir, label).join(confidence, "_id").select("_id", "confidence", "items")
 
 
@@ -109,3 +108,19 @@ def type_utilities(spark: SparkSession) -> DataFrame:
 def type_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(tid, item, qty)`` with whole quantities."""
     return weights(spark, sf_dir, "p_type").select(F.col("id").alias("tid"), "item", F.col("weight").alias("qty"))
+
+
+def filtered_type_transactions(spark: SparkSession, sf_dir: str, ratio: float, confidence: float) -> DataFrame:
+    """``(tid, item, qty)`` with whole quantities, for shares above the ratio in confident orders."""
+    maps = basket_maps(spark, sf_dir, "p_type")
+    sure = plain_tracks(spark, sf_dir).filter(F.col("confidence") > confidence).select("_id")
+    rows = maps.join(sure, "_id", "left_semi").select(
+        F.col("_id").alias("tid"), "items", F.explode("weights").alias("item", "qty")
+    )
+    return rows.filter(F.col("items")[F.col("item")] > ratio).select("tid", "item", "qty")
+
+
+def plain_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(_id, confidence)`` without label maps."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_orderkey").alias("_id")).agg(_confidence())
