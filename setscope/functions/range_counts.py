@@ -32,31 +32,36 @@ def _query_blocks(bound: str, bits: int) -> Column:
     return F.filter(F.array(*blocks), lambda s: s["block"] % 2 == 0)
 
 
-def weight_below(
+def covered_weight(
     points: DataFrame,
-    queries: DataFrame,
+    probes: DataFrame,
     *,
     group_cols: Sequence[str],
     coords: Sequence[str],
     bounds: Sequence[str],
     weight: str,
     bits: int,
-    out: str,
 ) -> DataFrame:
-    """Add to each query row the weight of the points of its group with ``coord < bound`` in every dimension.
+    """The probe rows, each repeated once per block it reads, with that block's weight in ``covered``.
 
-    Coordinates are whole numbers in ``[0, 2**bits)``, bounds in ``[0, 2**bits)`` too. The rows of ``queries`` must be distinct.
+    Summing ``covered`` over the rows of a probe gives the weight of the points of its group with ``coord < bound`` in every
+    dimension; signs and sums over several probes can be applied in the caller's own aggregate. A probe that covers nothing has no
+    rows. Coordinates and bounds are whole numbers in ``[0, 2**bits)``.
     """
     group_cols = list(group_cols)
-    dims = range(len(coords))
     cells = points.select(*group_cols, *coords, weight)
-    probes = queries.select(*group_cols, *bounds).distinct()
-    for d in dims:
-        cells = cells.withColumn(f"_b{d}", F.explode(_point_blocks(coords[d], bits)))
-        probes = probes.withColumn(f"_b{d}", F.explode(_query_blocks(bounds[d], bits)))
-    keys = group_cols + [f"_b{d}" for d in dims]
-    cells = cells.groupBy(*keys).agg(F.sum(weight).alias("_w"))
-    sums = join_same(probes, cells, keys).groupBy(*group_cols, *bounds).agg(F.sum("_w").alias(out))
-    return join_same(queries, sums, group_cols + list(bounds), "left").withColumn(
-        out, F.coalesce(F.col(out), F.lit(0).cast("bigint"))
-    )
+    for d, (coord, bound) in enumerate(zip(coords, bounds)):
+        cells = cells.withColumn(f"_b{d}", F.explode(_point_blocks(coord, bits)))
+        probes = probes.withColumn(f"_b{d}", F.explode(_query_blocks(bound, bits)))
+    blocks = [f"_b{d}" for d in range(len(coords))]
+    cells = cells.groupBy(*group_cols, *blocks).agg(F.sum(weight).alias("covered"))
+    return join_same(probes, cells, group_cols + blocks).drop(*blocks)
+
+
+def weight_below(
+    points: DataFrame, probes: DataFrame, *, group_cols: Sequence[str], out: str, **how
+) -> DataFrame:
+    """``probes`` with the covered weight in ``out``, zero where nothing is covered. The probe rows must be distinct."""
+    keys = probes.columns
+    sums = covered_weight(points, probes, group_cols=group_cols, **how).groupBy(*keys).agg(F.sum("covered").alias(out))
+    return join_same(probes, sums, keys, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("bigint")))

@@ -32,6 +32,10 @@ def frequent_ending(rollup: Column) -> Column:
     return F.when(rollup, F.lit("Truef")).otherwise(F.lit("Falsef"))
 
 
+def _name(tag_name: str) -> Column:
+    return F.when(F.col("tag").isNotNull(), F.lit(tag_name)).alias("tag_name")
+
+
 def with_tags(tracks: DataFrame, meta: DataFrame, tag_name: str, tags: Sequence[str]) -> DataFrame:
     """One row per track and wanted tag, plus one with tag NULL for the whole collection.
 
@@ -70,7 +74,7 @@ def frequent_by_tag(
         F.col("tag"), tags, minimum=min_support, ratio=ratio, confidence=confidence, ending=frequent_ending(F.col("rollup"))
     )
     return found.select(
-        key.alias("run_id"), "tag", "rollup", F.lit("frequent").alias("fi_type"), "itemset", "k", "freq", "value", "n"
+        key.alias("run_id"), _name(tag_name), "tag", "rollup", F.lit("frequent").alias("fi_type"), "itemset", "k", "freq", "value", "n"
     )
 
 
@@ -94,6 +98,7 @@ def high_utility_by_tag(
     key = run_id(F.col("tag"), tags, minimum=min_util, ratio=ratio, confidence=confidence, ending=F.lit("hui"))
     return found.select(
         key.alias("run_id"),
+        _name(tag_name),
         "tag",
         F.lit(False).alias("rollup"),
         F.lit("hui").alias("fi_type"),

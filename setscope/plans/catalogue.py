@@ -30,5 +30,9 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from setscope.plans import (  # noqa: F401
         queries_baskets,
+        queries_graph,
+        queries_layout,
+        queries_serve,
+        queries_stats,
         queries_utility,
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from setscope.sources.bindings import BRAND_PARENT, TAGS, TYPE_UTILITY
+from setscope.sources.bindings import BRAND_PARENT, BRANDS, TAGS, TYPE_UTILITY
 
 
 def maps(label: str, prefix: str = "") -> str:
@@ -37,6 +37,7 @@ vartags AS (SELECT id, v1 AS tag FROM meta UNION ALL SELECT id, v2 FROM meta)"""
 ROLLUP = "rollup(item, parent) AS (VALUES " + ", ".join(f"('{i}', '{p}')" for i, p in BRAND_PARENT.items()) + ")"
 UTILITY = "util(item, eutil) AS (VALUES " + ", ".join(f"('{i}', {u})" for i, u in TYPE_UTILITY.items()) + ")"
 TAG_LIST = "taglist(tag, ix) AS (VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(TAGS)) + f", (NULL, {len(TAGS)}))"
+BRAND_ORDER = "ord(node, pos) AS (VALUES " + ", ".join(f"('{b}', {i})" for i, b in enumerate(BRANDS)) + ")"
 TYPES = sorted(TYPE_UTILITY)
 TYPE_BITS = "bits(item, bit) AS (VALUES " + ", ".join(f"('{t}', {1 << i})" for i, t in enumerate(TYPES)) + ")"
 # All 63 label sets of the six part types, as bit masks with their text.

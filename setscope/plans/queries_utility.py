@@ -97,7 +97,7 @@ sizes AS (SELECT tag, COUNT(*) AS n FROM tagged GROUP BY tag),
 {Q.item_sets("grouped", "tag, rollup")},
 frequent AS (
   SELECT LPAD(CAST(l.ix AS VARCHAR), 4, '0') || '-0.01-0.05-0.6-' || CASE WHEN s.rollup THEN 'Truef' ELSE 'Falsef' END AS run_id,
-    NULLIF(s.tag, '') AS tag, s.rollup, 'frequent' AS fi_type, s.itemset, s.k, s.freq,
+    CASE WHEN s.tag <> '' THEN 'genres' END AS tag_name, NULLIF(s.tag, '') AS tag, s.rollup, 'frequent' AS fi_type, s.itemset, s.k, s.freq,
     CAST(s.freq AS DOUBLE) / CAST(z.n AS DOUBLE) AS value, z.n
   FROM allsets s JOIN sizes z ON s.tag = z.tag JOIN taglist l ON COALESCE(l.tag, '') = s.tag
   WHERE s.freq >= CEIL(CAST(0.01 AS DOUBLE) * z.n))"""
@@ -132,7 +132,8 @@ hits AS (
   SELECT t.tag, s.itemset, s.k, SUM({_utility_of()}) AS utility
   FROM w JOIN sets s ON (w.mask & s.mask) = s.mask JOIN tagged t ON t.id = w.tid GROUP BY 1, 2, 3),
 hui AS (
-  SELECT LPAD(CAST(l.ix AS VARCHAR), 4, '0') || '-0.01-0.05-0.6-hui' AS run_id, NULLIF(h.tag, '') AS tag, FALSE AS rollup,
+  SELECT LPAD(CAST(l.ix AS VARCHAR), 4, '0') || '-0.01-0.05-0.6-hui' AS run_id, CASE WHEN h.tag <> '' THEN 'genres' END AS tag_name,
+    NULLIF(h.tag, '') AS tag, FALSE AS rollup,
     'hui' AS fi_type, h.itemset, h.k, CAST(NULL AS BIGINT) AS freq,
     CAST(h.utility AS DOUBLE) / CAST(o.total AS DOUBLE) AS value, z.n
   FROM hits h JOIN totals o ON h.tag = o.tag JOIN sizes z ON h.tag = z.tag JOIN taglist l ON COALESCE(l.tag, '') = h.tag
