@@ -7,6 +7,8 @@ with more nodes than ``MAX_NODES`` is refused with an error rather than cut.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -124,23 +126,42 @@ def local_adjusting(matrix: np.ndarray, order: list[int]) -> list[int]:
     return order
 
 
-def compute_order(matrix: np.ndarray, method: str) -> list[int]:
-    order = avsdf(matrix) if method.startswith("avsdf") else baur_brandes(matrix)
-    return local_adjusting(matrix, order) if method.endswith("_la") else order
+def compute_orders(matrix: np.ndarray, methods: Sequence[str]) -> dict[str, list[int]]:
+    """Orders by method; a method and its adjusted variant share the first placement."""
+    base: dict[str, list[int]] = {}
+    orders = {}
+    for method in methods:
+        kind = method.removesuffix("_la")
+        if kind not in base:
+            base[kind] = avsdf(matrix) if kind == "avsdf" else baur_brandes(matrix)
+        orders[method] = local_adjusting(matrix, base[kind]) if method.endswith("_la") else base[kind]
+    return orders
 
 
-def order_graphs(edges: DataFrame, *, method: str) -> DataFrame:
-    """``(graph_id, node, pos)`` of every graph."""
-    if method not in METHODS:
-        raise ValueError(f"unknown order {method!r}; known: {', '.join(METHODS)}")
+def order_graphs_by(edges: DataFrame, methods: Sequence[str] = METHODS) -> DataFrame:
+    """``(graph_id, method, node, pos)`` of every graph and method, each graph gathered once."""
+    unknown = [m for m in methods if m not in METHODS]
+    if unknown:
+        raise ValueError(f"unknown order {unknown[0]!r}; known: {', '.join(METHODS)}")
+    methods = list(methods)
 
     def one_graph(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, matrix = weight_matrix(pdf)
-        placed = nodes[compute_order(matrix, method)]
-        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "node": placed, "pos": np.arange(len(placed), dtype="int32")})
+        parts = [
+            pd.DataFrame({"method": method, "node": nodes[order], "pos": np.arange(len(order), dtype="int32")})
+            for method, order in compute_orders(matrix, methods).items()
+        ]
+        out = pd.concat(parts)
+        out.insert(0, "graph_id", pdf["graph_id"].iloc[0])
+        return out
 
     pairs = weighted_pairs(edges, ["graph_id"])
-    return pairs.groupBy("graph_id").applyInPandas(one_graph, "graph_id string, node string, pos int")
+    return pairs.groupBy("graph_id").applyInPandas(one_graph, "graph_id string, method string, node string, pos int")
+
+
+def order_graphs(edges: DataFrame, *, method: str) -> DataFrame:
+    """``(graph_id, node, pos)`` of every graph."""
+    return order_graphs_by(edges, [method]).drop("method")
 
 
 def swap_gain(edges: DataFrame, order: DataFrame) -> DataFrame:

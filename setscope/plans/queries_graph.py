@@ -1 +1,294 @@
-"""Queries."""
+"""Queries of pair graphs, orders, clusters and the sweep."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from setscope.functions.tables import materialise
+from setscope.operators import cluster as C
+from setscope.operators import graph as G
+from setscope.operators import ordering as O
+from setscope.operators import stats as T
+from setscope.plans import fragments as Q
+from setscope.plans import serve
+from setscope.plans import sweep as W
+from setscope.plans.catalogue import query
+from setscope.plans.queries_utility import FREQUENT_BY_TAG
+from setscope.plans.stored import brand_order, pair_graphs, stored_results
+
+PAIRS = f"""WITH {FREQUENT_BY_TAG}, {Q.BRAND_ORDER},
+pairs AS (
+  SELECT COALESCE(tag, 'all') AS graph_id, SPLIT_PART(itemset, ',', 1) AS u, SPLIT_PART(itemset, ',', 2) AS v, value,
+    CAST(SUBSTR(SPLIT_PART(itemset, ',', 1), 7) AS BIGINT) * 100 + CAST(SUBSTR(SPLIT_PART(itemset, ',', 2), 7) AS BIGINT) AS edge_id
+  FROM frequent WHERE k = 2 AND NOT rollup),
+ends AS (SELECT graph_id, edge_id, u AS node FROM pairs UNION ALL SELECT graph_id, edge_id, v FROM pairs)"""
+PLACED = f"""{PAIRS},
+placed AS (
+  SELECT p.*, LEAST(a.pos, b.pos) AS s, GREATEST(a.pos, b.pos) AS t, a.pos AS pos_u, b.pos AS pos_v
+  FROM pairs p JOIN ord a ON p.u = a.node JOIN ord b ON p.v = b.node)"""
+CROSS = "a.graph_id = b.graph_id AND a.s < b.s AND b.s < a.t AND a.t < b.t"
+PER_EDGE = f"""{PLACED},
+crossed AS (
+  SELECT graph_id, edge_id, COUNT(*) AS crossings FROM (
+    SELECT a.graph_id, UNNEST([a.edge_id, b.edge_id]) AS edge_id FROM placed a JOIN placed b ON {CROSS}) GROUP BY 1, 2),
+per_edge AS (
+  SELECT p.graph_id, p.edge_id, p.u, p.v, COALESCE(c.crossings, 0) AS crossings
+  FROM placed p LEFT JOIN crossed c ON p.graph_id = c.graph_id AND p.edge_id = c.edge_id)"""
+
+
+def placed(spark: SparkSession, sf: str) -> DataFrame:
+    return G.edge_positions(pair_graphs(spark, sf), brand_order(spark))
+
+
+@query("edge_positions", f"{PLACED} SELECT graph_id, edge_id, u, v, value, pos_u, pos_v, s, t FROM placed")
+def edge_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return placed(spark, sf)
+
+
+@query(
+    "unknown_nodes",
+    f"""{PAIRS} SELECT node, COUNT(*) AS edges FROM ends WHERE node NOT IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY node""",
+)
+def unknown_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    order = brand_order(spark).filter(F.col("node").isin("Brand#1", "Brand#2", "Brand#3"))
+    return G.unknown_nodes(pair_graphs(spark, sf), order)
+
+
+@query(
+    "node_degree",
+    f"""{PAIRS}, d AS (SELECT graph_id, node, COUNT(*) AS degree FROM ends GROUP BY 1, 2)
+    SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY degree, node) AS INTEGER) AS rank FROM d""",
+)
+def node_degree(spark: SparkSession, sf: str) -> DataFrame:
+    return G.node_degree(pair_graphs(spark, sf))
+
+
+@query(
+    "adjacency",
+    f"""{PAIRS} SELECT graph_id, u AS node, v AS neighbour FROM pairs UNION SELECT graph_id, v, u FROM pairs
+    UNION SELECT graph_id, node, node FROM ends""",
+)
+def adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    return G.adjacency(pair_graphs(spark, sf))
+
+
+@query("incident_edges", f"{PAIRS} SELECT graph_id, node, edge_id FROM ends")
+def incident_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return G.incident_edges(pair_graphs(spark, sf))
+
+
+@query(
+    "graph_density",
+    f"""{PAIRS} SELECT graph_id, COUNT(*) AS edges, CAST(COUNT(*) AS DOUBLE) / CAST(25 * 24 / 2 AS DOUBLE) AS density
+    FROM pairs GROUP BY 1""",
+)
+def graph_density(spark: SparkSession, sf: str) -> DataFrame:
+    return G.graph_density(pair_graphs(spark, sf), brand_order(spark).count())
+
+
+@query(
+    "crossings_total",
+    f"""{PLACED}, c AS (SELECT a.graph_id, COUNT(*) AS crossings FROM placed a JOIN placed b ON {CROSS} GROUP BY 1)
+    SELECT g.graph_id, COALESCE(c.crossings, 0) AS crossings FROM (SELECT DISTINCT graph_id FROM pairs) g
+      LEFT JOIN c ON g.graph_id = c.graph_id""",
+)
+def crossings_total(spark: SparkSession, sf: str) -> DataFrame:
+    return G.crossings_total(placed(spark, sf))
+
+
+@query("crossings_per_edge", f"{PER_EDGE} SELECT * FROM per_edge")
+def crossings_per_edge(spark: SparkSession, sf: str) -> DataFrame:
+    return G.crossings_per_edge(placed(spark, sf))
+
+
+@query(
+    "crossings_per_node",
+    f"""{PER_EDGE},
+    per_node AS (
+      SELECT graph_id, node, CAST(SUM(crossings) AS BIGINT) AS crossings FROM (
+        SELECT graph_id, u AS node, crossings FROM per_edge UNION ALL SELECT graph_id, v, crossings FROM per_edge) GROUP BY 1, 2)
+    SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY crossings DESC, node) AS INTEGER) AS rank FROM per_node""",
+)
+def crossings_per_node(spark: SparkSession, sf: str) -> DataFrame:
+    return G.crossings_per_node(placed(spark, sf))
+
+
+SWAP = f"""{PLACED},
+swaps AS (SELECT graph_id, u AS node, v AS neighbour FROM pairs UNION SELECT graph_id, v, u FROM pairs),
+old_node AS (
+  SELECT graph_id, node, SUM(n) AS crossings FROM (
+    SELECT a.graph_id, UNNEST([a.u, a.v, b.u, b.v]) AS node, 1 AS n FROM placed a JOIN placed b ON {CROSS}) GROUP BY 1, 2),
+moved AS (
+  SELECT w.graph_id, w.node, w.neighbour, p.edge_id, p.u = w.node OR p.v = w.node AS mine,
+    CASE p.u WHEN w.node THEN y.pos WHEN w.neighbour THEN x.pos ELSE p.pos_u END AS pu,
+    CASE p.v WHEN w.node THEN y.pos WHEN w.neighbour THEN x.pos ELSE p.pos_v END AS pv
+  FROM swaps w JOIN placed p ON w.graph_id = p.graph_id JOIN ord x ON w.node = x.node JOIN ord y ON w.neighbour = y.node),
+m AS (SELECT graph_id, node, neighbour, edge_id, mine, LEAST(pu, pv) AS s, GREATEST(pu, pv) AS t FROM moved),
+new_node AS (
+  SELECT a.graph_id, a.node, a.neighbour, COUNT(*) AS crossings FROM m a JOIN m b
+    ON a.graph_id = b.graph_id AND a.node = b.node AND a.neighbour = b.neighbour AND a.mine
+      AND ((a.s < b.s AND b.s < a.t AND a.t < b.t) OR (b.s < a.s AND a.s < b.t AND b.t < a.t))
+  GROUP BY 1, 2, 3)
+SELECT w.graph_id, w.node, w.neighbour, CAST(COALESCE(o.crossings, 0) AS BIGINT) AS old_crossings,
+  CAST(COALESCE(c.crossings, 0) AS BIGINT) AS new_crossings
+FROM swaps w LEFT JOIN old_node o ON w.graph_id = o.graph_id AND w.node = o.node
+  LEFT JOIN new_node c ON w.graph_id = c.graph_id AND w.node = c.node AND w.neighbour = c.neighbour"""
+
+
+@query("swap_gain", SWAP)
+def swap_gain(spark: SparkSession, sf: str) -> DataFrame:
+    return O.swap_gain(pair_graphs(spark, sf), brand_order(spark))
+
+
+def _ordered(spark: SparkSession, sf: str, method: str) -> DataFrame:
+    return serve.choose_order(pair_graphs(spark, sf), brand_order(spark), method)
+
+
+@query("order_avsdf")
+def order_avsdf(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(spark, sf, "avsdf")
+
+
+@query("order_avsdf_la")
+def order_avsdf_la(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(spark, sf, "avsdf_la")
+
+
+@query("order_bb")
+def order_bb(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(spark, sf, "bb")
+
+
+@query("order_bb_la")
+def order_bb_la(spark: SparkSession, sf: str) -> DataFrame:
+    return _ordered(spark, sf, "bb_la")
+
+
+@query(
+    "order_default",
+    f"""{PAIRS} SELECT g.graph_id, o.node, o.pos FROM (SELECT DISTINCT graph_id FROM pairs) g JOIN ord o ON TRUE""",
+)
+def order_default(spark: SparkSession, sf: str) -> DataFrame:
+    return serve.choose_order(pair_graphs(spark, sf), brand_order(spark))
+
+
+ANGLE = "CAST({} AS DOUBLE) / 25 * (2 * PI())"
+FEATURES = f"""{PAIRS},
+f AS (
+  SELECT p.graph_id, p.value, p.u, p.v, a.pos AS pu, b.pos AS pv,
+    ROUND(SIN({ANGLE.format("a.pos")}), 12) AS ku, ROUND(SIN({ANGLE.format("b.pos")}), 12) AS kv
+  FROM pairs p JOIN ord a ON p.u = a.node JOIN ord b ON p.v = b.node WHERE p.graph_id <> 'all'),
+g AS (
+  SELECT graph_id AS tag, value, ku < kv OR (ku = kv AND pu < pv) AS straight, u, v, pu, pv FROM f),
+features AS (
+  SELECT tag, value, CASE WHEN straight THEN u ELSE v END AS a, CASE WHEN straight THEN v ELSE u END AS b,
+    CASE WHEN straight THEN pu ELSE pv END AS pos1, CASE WHEN straight THEN pv ELSE pu END AS pos2 FROM g)"""
+
+
+def tagged_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    sets = stored_results(spark, sf).filter((F.col("fi_type") == "frequent") & ~F.col("rollup") & F.col("tag").isNotNull())
+    return serve.pairs_only(sets.select("tag", F.col("itemset").alias("labels"), "value"))
+
+
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    return C.pair_features(tagged_pairs(spark, sf), brand_order(spark))
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    for name in C.FEATURES:
+        # Adding zero turns a negative zero into zero.
+        rows = rows.withColumn(name, F.round(name, 9) + F.lit(0.0))
+    return rows
+
+
+@query(
+    "pair_features",
+    f"""{FEATURES} SELECT *, ROUND(SIN({ANGLE.format("pos1")}), 9) + 0.0 AS sin1, ROUND(COS({ANGLE.format("pos1")}), 9) + 0.0 AS cos1,
+      ROUND(SIN({ANGLE.format("pos2")}), 9) + 0.0 AS sin2, ROUND(COS({ANGLE.format("pos2")}), 9) + 0.0 AS cos2 FROM features""",
+)
+def pair_features(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(features(spark, sf))
+
+
+@query("cluster_pairs")
+def cluster_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(C.cluster_pairs(features(spark, sf), group_cols=["tag"]))
+
+
+@query("cluster_pairs_kmeans")
+def cluster_pairs_kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(C.cluster_pairs_kmeans(features(spark, sf)))
+
+
+SEGMENTS = f"""WITH {FREQUENT_BY_TAG}, {Q.BRAND_ORDER},
+long AS (
+  SELECT f.tag, f.itemset, f.value, UNNEST(STRING_SPLIT(f.itemset, ',')) AS node FROM frequent f WHERE f.k > 1 AND NOT f.rollup),
+places AS (
+  SELECT l.tag, l.itemset, l.value, o.pos, o.node, ROW_NUMBER() OVER (PARTITION BY l.tag, l.itemset ORDER BY o.pos) - 1 AS axis
+  FROM long l JOIN ord o ON l.node = o.node),
+steps AS (
+  SELECT tag, itemset, value, CAST(axis AS INTEGER) AS axis, pos AS src, LEAD(pos) OVER (PARTITION BY tag, itemset ORDER BY axis) AS tgt FROM places),
+names AS (SELECT tag, itemset, STRING_AGG(node, ',' ORDER BY pos) AS labels FROM places GROUP BY 1, 2),
+segments AS (
+  SELECT s.tag, n.labels, s.value, s.axis, s.src, s.tgt FROM steps s
+    JOIN names n ON s.itemset = n.itemset AND s.tag IS NOT DISTINCT FROM n.tag WHERE s.tgt IS NOT NULL)"""
+
+
+def segments(spark: SparkSession, sf: str) -> DataFrame:
+    results = stored_results(spark, sf).filter((F.col("fi_type") == "frequent") & ~F.col("rollup"))
+    sets = serve.multiples(results.select("tag", F.col("itemset").alias("labels"), "value"))
+    return C.axis_segments(serve.sets_ordered(sets, brand_order(spark)))
+
+
+@query("axis_segments", f"{SEGMENTS} SELECT * FROM segments")
+def axis_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return segments(spark, sf).withColumn("labels", F.array_join("labels", ","))
+
+
+@query("cluster_axis")
+def cluster_axis(spark: SparkSession, sf: str) -> DataFrame:
+    return C.cluster_axis(segments(spark, sf)).withColumn("labels", F.array_join("labels", ","))
+
+
+BOOT = f"""{PLACED},
+ixs AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY edge_id) - 1 AS ix FROM placed),
+counts AS (SELECT graph_id, COUNT(*) AS m FROM pairs GROUP BY 1),
+sample_sizes(n) AS (VALUES {", ".join(f"({n})" for n in W.SIZES)}),
+draws AS (
+  SELECT c.graph_id, c.m, z.n, UNNEST(RANGE(1, z.n + 1)) AS draw FROM counts c JOIN sample_sizes z ON z.n - 1 <= c.m),
+picked AS (
+  SELECT graph_id, n, draw, CAST('0x' || SUBSTR(MD5('b1|' || graph_id || '|' || n || '|' || draw), 1, 8) AS BIGINT) % m AS ix FROM draws),
+boot AS (
+  SELECT p.graph_id, CAST(p.n AS INTEGER) AS n, CAST(p.draw AS INTEGER) AS draw, i.edge_id, i.u, i.v, i.s, i.t
+  FROM picked p JOIN ixs i ON p.graph_id = i.graph_id AND p.ix = i.ix)"""
+
+
+@query("bootstrap_edges", f"{BOOT} SELECT graph_id, n, draw, edge_id, u, v FROM boot")
+def bootstrap_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return G.bootstrap_edges(pair_graphs(spark, sf), W.SIZES, seed="b1")
+
+
+@query(
+    "sweep_summary",
+    f"""{BOOT},
+    crossed AS (
+      SELECT a.graph_id, a.n, COUNT(*) AS crossings FROM boot a JOIN boot b
+        ON a.graph_id = b.graph_id AND a.n = b.n AND a.s < b.s AND b.s < a.t AND a.t < b.t GROUP BY 1, 2),
+    records AS (
+      SELECT g.graph_id, g.n, COALESCE(c.crossings, 0) AS crossings FROM (SELECT DISTINCT graph_id, n FROM boot) g
+        LEFT JOIN crossed c ON g.graph_id = c.graph_id AND g.n = c.n)
+    SELECT n, ROUND(AVG(crossings), 6) AS crossings_mean, ROUND(STDDEV_SAMP(crossings) / SQRT(COUNT(*)), 6) AS crossings_sem
+    FROM records GROUP BY n""",
+)
+def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
+    samples = materialise(W.sample_graphs(pair_graphs(spark, sf), W.SIZES, seed="b1"), "samples")
+    totals = G.crossings_total(G.edge_positions(samples, brand_order(spark)))
+    records = totals.join(samples.select("graph_id", "n").distinct(), "graph_id")
+    summary = T.sweep_summary(records, ["crossings"])
+    return summary.select("n", *[F.round(c, 6).alias(c) for c in summary.columns if c != "n"])
+
+
+@query("order_sweep")
+def order_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return W.order_sweep(pair_graphs(spark, sf), brand_order(spark), sizes=W.SIZES, seed="b1")

@@ -170,7 +170,7 @@ def max_singleton(spark: SparkSession, sf: str) -> DataFrame:
     return serve.max_singleton(_sets(spark, sf, tag_vals=D.TAGS))
 
 
-# High-utility sets are over part types here, so every brand of the order is missing: the left-anti side is the whole domain.
+# High-utility sets are over part types here, so of a domain of types and brands the brands are missing.
 @query(
     "missing_singletons",
     f"""WITH {HIGH_BY_TAG},

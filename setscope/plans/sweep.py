@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from setscope.functions.tables import materialise
 from setscope.operators.graph import bootstrap_edges, crossings_total, edge_positions
-from setscope.operators.ordering import METHODS, order_graphs
+from setscope.operators.ordering import METHODS, order_graphs_by
 
 # Sample sizes of the sweep over all tags, and of the single-tag run.
 SIZES = [25, 50, 75, 100, 125, 150, 175, 200, 225, 250, 275, 300, 325, 350]
@@ -24,12 +24,22 @@ def sample_graphs(edges: DataFrame, sizes: list[int], *, seed: str) -> DataFrame
 
 
 def order_sweep(edges: DataFrame, default: DataFrame, *, sizes: list[int], seed: str) -> DataFrame:
-    """``(source, n, cross_default, cross_<method>...)`` of every graph and sample size, all graphs in one job per method."""
+    """``(source, n, cross_default, cross_<method>...)`` of every graph and sample size.
+
+    All samples are ordered in one grouped job, and the crossings of all samples and orders are counted in one more.
+    """
     samples = materialise(sample_graphs(edges, sizes, seed=seed), "samples")
-    result = samples.select("graph_id", "source", "n").distinct()
-    base = crossings_total(edge_positions(samples, default)).withColumnRenamed("crossings", "cross_default")
-    result = result.join(base, "graph_id")
-    for method in METHODS:
-        placed = edge_positions(samples, order_graphs(samples, method=method))
-        result = result.join(crossings_total(placed).withColumnRenamed("crossings", f"cross_{method}"), "graph_id")
-    return result.drop("graph_id")
+    orders = materialise(order_graphs_by(samples), "orders")
+    ways = ["default", *METHODS]
+    laid = samples.withColumn("method", F.explode(F.array(*[F.lit(w) for w in ways])))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("graph_id", F.concat_ws("|", "graph_id", "method"))
+
+    by_method = edge_positions(keyed(laid.filter(F.col("method") != "default")), keyed(orders).drop("method"))
+    by_default = edge_positions(keyed(laid.filter(F.col("method") == "default")), default)
+    placed = materialise(by_method.unionByName(by_default), "placed")
+    labels = placed.select("graph_id", "source", "n", "method").distinct()
+    counted = crossings_total(placed).join(labels, "graph_id")
+    wide = counted.groupBy("source", "n").pivot("method", ways).agg(F.first("crossings"))
+    return wide.withColumnsRenamed({w: f"cross_{w}" for w in ways})
