@@ -1 +1,215 @@
-"""Queries."""
+"""Queries of chart preparation. Coordinates are rounded to 6 digits on both sides."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from setscope.operators import layout as L
+from setscope.plans import fragments as Q
+from setscope.plans import serve
+from setscope.plans.catalogue import query
+from setscope.plans.queries_graph import FEATURES, PAIRS, SEGMENTS, features, segments, tagged_pairs
+from setscope.plans.stored import brand_order, brand_root, stored_results
+from setscope.sources import bindings as D
+
+RADIUS = 100.0
+WIDTH, HEIGHT = 800.0, 600.0
+ROUND = 6
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns to 6 digits; adding zero turns a negative zero into zero."""
+    return df.withColumns({c: F.round(c, ROUND) + F.lit(0.0) for c in columns})
+
+
+def r(expr: str, name: str) -> str:
+    return f"ROUND({expr}, {ROUND}) + 0.0 AS {name}"
+
+
+def layout(spark: SparkSession) -> DataFrame:
+    return L.radial_layout(brand_order(spark), RADIUS)
+
+
+LAYOUT = """lay AS (
+  SELECT node, pos, pos * (2 * PI()) / 25 AS angle, 100 * SIN(pos * (2 * PI()) / 25) AS x, 100 * COS(pos * (2 * PI()) / 25) AS y,
+    'R' || CAST((CAST(SUBSTR(node, 7) AS BIGINT) - 1) // 5 AS VARCHAR) AS root FROM ord)"""
+
+
+@query(
+    "radial_layout",
+    f"""WITH {Q.BRAND_ORDER}, {LAYOUT}, used AS (SELECT p_brand AS node, COUNT(*) AS parts FROM part GROUP BY 1)
+    SELECT l.node, l.pos, u.parts, {r("angle", "angle")}, {r("x", "x")}, {r("y", "y")} FROM lay l JOIN used u ON l.node = u.node""",
+)
+def radial_layout(spark: SparkSession, sf: str) -> DataFrame:
+    parts = D.table(spark, sf, "part").groupBy(F.col("p_brand").alias("node")).agg(F.count(F.lit(1)).alias("parts"))
+    return rounded(layout(spark).join(parts, "node"), "angle", "x", "y")
+
+
+def _ends(sets: DataFrame) -> DataFrame:
+    return sets.select("tag", F.col("labels")[0].alias("a"), F.col("labels")[1].alias("b"), "value")
+
+
+ENDS = """ends_at AS (
+  SELECT p.graph_id AS tag, p.u AS a, p.v AS b, p.value, l.x AS x1, l.y AS y1, m.x AS x2, m.y AS y2, l.root AS ra, m.root AS rb
+  FROM pairs p JOIN lay l ON p.u = l.node JOIN lay m ON p.v = m.node WHERE p.graph_id <> 'all')"""
+
+
+@query(
+    "radial_links",
+    f"""{PAIRS}, {LAYOUT}, {ENDS}
+    SELECT tag, a, b, value, {r("x1", "x1")}, {r("y1", "y1")}, {r("x2", "x2")}, {r("y2", "y2")} FROM ends_at""",
+)
+def radial_links(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(L.radial_links(_ends(tagged_pairs(spark, sf)), layout(spark)), "x1", "y1", "x2", "y2")
+
+
+ROOTS = """roots AS (
+  SELECT root, 100 * SIN(m) AS x, 100 * COS(m) AS y, m AS angle
+  FROM (SELECT root, ATAN2(AVG(SIN(angle)), AVG(COS(angle))) AS m FROM lay GROUP BY root))"""
+
+
+@query(
+    "root_mean_angle",
+    f"""WITH {Q.BRAND_ORDER}, lay AS (
+      SELECT DISTINCT o.node, o.pos * (2 * PI()) / 25 AS angle, 'R' || CAST((CAST(SUBSTR(o.node, 7) AS BIGINT) - 1) // 5 AS VARCHAR) AS root
+      FROM ord o JOIN part p ON p.p_brand = o.node), {ROOTS}
+    SELECT root, {r("angle", "angle")}, {r("x", "x")}, {r("y", "y")} FROM roots""",
+)
+def root_mean_angle(spark: SparkSession, sf: str) -> DataFrame:
+    used = D.table(spark, sf, "part").select(F.col("p_brand").alias("node")).distinct()
+    placed = layout(spark).join(used, "node", "left_semi")
+    return rounded(L.root_mean_angle(placed, brand_root(F.col("node")), RADIUS), "angle", "x", "y")
+
+
+@query(
+    "hier_links",
+    f"""{PAIRS}, {LAYOUT}, {ENDS}, {ROOTS}
+    SELECT e.tag, e.a, e.b, e.value, {r("x1", "x1")}, {r("y1", "y1")}, {r("p.x / 1.4", "cx1")}, {r("p.y / 1.4", "cy1")},
+      {r("q.x / 1.4", "cx2")}, {r("q.y / 1.4", "cy2")}, {r("x2", "x2")}, {r("y2", "y2")}
+    FROM ends_at e JOIN roots p ON e.ra = p.root JOIN roots q ON e.rb = q.root""",
+)
+def hier_links(spark: SparkSession, sf: str) -> DataFrame:
+    links = L.hier_links(_ends(tagged_pairs(spark, sf)), layout(spark), brand_root(F.col("node")), RADIUS)
+    return rounded(links, "x1", "y1", "cx1", "cy1", "cx2", "cy2", "x2", "y2")
+
+
+# A cluster SQL can compute too: quarter of the circle of both ends.
+CLUSTERED = f"""{FEATURES}, {LAYOUT},
+clustered AS (
+  SELECT tag, a, b, value, CAST(pos1 // 7 * 4 + pos2 // 7 AS INTEGER) AS cluster, l.x AS x1, l.y AS y1, m.x AS x2, m.y AS y2
+  FROM features f JOIN lay l ON f.a = l.node JOIN lay m ON f.b = m.node),
+cent AS (
+  SELECT cluster, AVG(x1) AS lx, AVG(y1) AS ly, AVG(x2) AS rx, AVG(y2) AS ry, COUNT(*) AS links FROM clustered GROUP BY 1),
+ctl AS (
+  SELECT *, lx + 0.2 * (rx - lx) AS clx, ly + 0.2 * (ry - ly) AS cly, rx + 0.2 * (lx - rx) AS crx, ry + 0.2 * (ly - ry) AS cry FROM cent)"""
+CENTROID = f"""cluster, links, {r("lx", "lx")}, {r("ly", "ly")}, {r("rx", "rx")}, {r("ry", "ry")}"""
+
+
+def clustered(spark: SparkSession, sf: str) -> DataFrame:
+    quarter = F.floor(F.col("pos1") / 7) * 4 + F.floor(F.col("pos2") / 7)
+    return features(spark, sf).withColumn("cluster", quarter.cast("int"))
+
+
+@query("cluster_centroids", f"{CLUSTERED} SELECT {CENTROID} FROM cent")
+def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(L.cluster_centroids(clustered(spark, sf), layout(spark)), "lx", "ly", "rx", "ry")
+
+
+@query(
+    "bundle_control_points",
+    f"""{CLUSTERED} SELECT {CENTROID}, {r("clx", "clx")}, {r("cly", "cly")}, {r("crx", "crx")}, {r("cry", "cry")} FROM ctl""",
+)
+def bundle_control_points(spark: SparkSession, sf: str) -> DataFrame:
+    points = L.bundle_control_points(L.cluster_centroids(clustered(spark, sf), layout(spark)))
+    return rounded(points, "lx", "ly", "rx", "ry", "clx", "cly", "crx", "cry")
+
+
+@query(
+    "bundle_links",
+    f"""{CLUSTERED} SELECT k.tag, k.a, k.b, k.value, k.cluster, {r("k.x1", "x1")}, {r("k.y1", "y1")}, {r("clx", "clx")}, {r("cly", "cly")},
+      {r("crx", "crx")}, {r("cry", "cry")}, {r("k.x2", "x2")}, {r("k.y2", "y2")} FROM clustered k JOIN ctl c ON k.cluster = c.cluster""",
+)
+def bundle_links(spark: SparkSession, sf: str) -> DataFrame:
+    rows, nodes = clustered(spark, sf), layout(spark)
+    links = L.bundle_links(rows, nodes, L.bundle_control_points(L.cluster_centroids(rows, nodes)))
+    return rounded(links, "x1", "y1", "clx", "cly", "crx", "cry", "x2", "y2")
+
+
+@query(
+    "bundle_ratio_search",
+    f"""{CLUSTERED}, grid AS (SELECT CAST(i AS DOUBLE) * CAST(0.5 AS DOUBLE) / 50 AS ratio FROM (SELECT UNNEST(RANGE(0, 51)) AS i)),
+    lefts AS (
+      SELECT k.cluster, g.ratio, ROUND(SUM(SQRT((x1 - (lx + ratio * (rx - lx))) ** 2 + (y1 - (ly + ratio * (ry - ly))) ** 2))
+        + MAX(SQRT((lx + ratio * (rx - lx) - rx) ** 2 + (ly + ratio * (ry - ly) - ry) ** 2)), 9) AS len
+      FROM clustered k JOIN cent c ON k.cluster = c.cluster JOIN grid g ON TRUE GROUP BY 1, 2),
+    best_left AS (
+      SELECT cluster, ratio AS r_left FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY len, ratio) AS rn FROM lefts) WHERE rn = 1),
+    moved AS (SELECT c.*, b.r_left, lx + r_left * (rx - lx) AS mx, ly + r_left * (ry - ly) AS my FROM cent c JOIN best_left b ON c.cluster = b.cluster),
+    rights AS (
+      SELECT k.cluster, g.ratio, ROUND(SUM(SQRT((x2 - (rx + ratio * (lx - rx))) ** 2 + (y2 - (ry + ratio * (ly - ry))) ** 2))
+        + MAX(SQRT((rx + ratio * (lx - rx) - mx) ** 2 + (ry + ratio * (ly - ry) - my) ** 2)), 9) AS len
+      FROM clustered k JOIN moved c ON k.cluster = c.cluster JOIN grid g ON TRUE GROUP BY 1, 2),
+    best_right AS (
+      SELECT cluster, ratio AS r_right FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY len, ratio) AS rn FROM rights) WHERE rn = 1)
+    SELECT l.cluster, l.r_left, r.r_right FROM best_left l JOIN best_right r ON l.cluster = r.cluster""",
+)
+def bundle_ratio_search(spark: SparkSession, sf: str) -> DataFrame:
+    return L.bundle_ratio_search(clustered(spark, sf), layout(spark))
+
+
+@query(
+    "parallel_layout",
+    f"""{SEGMENTS}, n AS (SELECT MAX(LENGTH(itemset) - LENGTH(REPLACE(itemset, ',', '')) + 1) AS axes FROM names)
+    SELECT CAST(a.axis AS INTEGER) AS axis, o.node, o.pos, {r("60 + a.axis * (800 - 70.0) / (n.axes - 1)", "x")}, {r("20 + o.pos * (600 - 40.0) / 24", "y")}
+    FROM n, (SELECT UNNEST(RANGE(0, 3)) AS axis) a, ord o WHERE a.axis < n.axes""",
+)
+def parallel_layout(spark: SparkSession, sf: str) -> DataFrame:
+    results = stored_results(spark, sf).filter((F.col("fi_type") == "frequent") & ~F.col("rollup"))
+    axes = L.axis_count(results.select(F.col("itemset").alias("labels")))
+    return rounded(L.parallel_layout(brand_order(spark), axes, width=WIDTH, height=HEIGHT), "x", "y")
+
+
+@query(
+    "parallel_control_points",
+    f"""{SEGMENTS}, c AS (SELECT axis, CAST(src // 5 AS INTEGER) AS cluster, AVG(20 + src * (600 - 40.0) / 24) AS y0,
+      AVG(20 + tgt * (600 - 40.0) / 24) AS y1, 60 + axis * 730.0 / 2 AS x0, 60 + (axis + 1) * 730.0 / 2 AS x1 FROM segments GROUP BY 1, 2)
+    SELECT axis, cluster, {r("x0 - 0.2 * (x0 - x1)", "lx")}, {r("y0 - 0.2 * (y0 - y1)", "ly")}, {r("x1 - 0.2 * (x1 - x0)", "rx")},
+      {r("y1 - 0.2 * (y1 - y0)", "ry")} FROM c""",
+)
+def parallel_control_points(spark: SparkSession, sf: str) -> DataFrame:
+    bundles = segments(spark, sf).withColumn("cluster", F.floor(F.col("src") / 5).cast("int"))
+    points = L.parallel_control_points(bundles, 25, 3, width=WIDTH, height=HEIGHT)
+    return rounded(points, "lx", "ly", "rx", "ry")
+
+
+@query(
+    "link_style",
+    f"""{SEGMENTS},
+    one AS (SELECT DISTINCT tag, labels, value, MIN(src) AS start FROM segments GROUP BY ALL),
+    top AS (SELECT tag, MAX(value) AS top FROM one GROUP BY tag)
+    SELECT o.tag, o.labels, o.value, {r("POW(o.value, 1.5) * 50", "width")}, {r("POW(o.value / t.top, 2)", "opacity")},
+      {r("o.value / CAST(0.2 AS DOUBLE)", "hue")}, CASE WHEN o.tag IS NOT NULL THEN CAST(l.ix AS INTEGER) END AS tag_index, {r("CAST(o.start AS DOUBLE) / 24", "path_start")}
+    FROM one o JOIN top t ON o.tag IS NOT DISTINCT FROM t.tag LEFT JOIN taglist l ON o.tag = l.tag""",
+)
+def link_style(spark: SparkSession, sf: str) -> DataFrame:
+    results = stored_results(spark, sf).filter((F.col("fi_type") == "frequent") & ~F.col("rollup"))
+    sets = serve.multiples(results.select("tag", F.col("itemset").alias("labels"), "value"))
+    order = brand_order(spark)
+    styled = L.link_style(serve.sets_ordered(sets, order), order, D.TAGS, focus=2.0)
+    return rounded(styled, "width", "opacity", "hue", "path_start").withColumn("labels", F.array_join("labels", ","))
+
+
+@query(
+    "root_runs",
+    f"""WITH nodes AS (SELECT DISTINCT p_brand AS node, CAST(SUBSTR(p_brand, 7) AS INTEGER) - 1 AS pos FROM part),
+    o AS (SELECT *, 'R' || CAST(pos // 5 AS VARCHAR) AS root FROM nodes),
+    c AS (SELECT *, CASE WHEN root <> LAG(root) OVER (ORDER BY pos) THEN 1 ELSE 0 END AS step FROM o),
+    g AS (SELECT *, SUM(step) OVER (ORDER BY pos) AS run FROM c)
+    SELECT root, MIN(pos) AS first, MAX(pos) AS last, {r("MIN(pos) * (2 * PI()) / 25 - 0.03", "start_angle")},
+      {r("MAX(pos) * (2 * PI()) / 25 + 0.03", "end_angle")} FROM g GROUP BY root, run""",
+)
+def root_runs(spark: SparkSession, sf: str) -> DataFrame:
+    used = D.table(spark, sf, "part").select(F.col("p_brand").alias("node")).distinct()
+    order = brand_order(spark).join(used, "node", "left_semi")
+    return rounded(L.root_runs(order, brand_root(F.col("node"))), "start_angle", "end_angle")
