@@ -1,12 +1,21 @@
-"""Frequent sequences by MLlib's PrefixSpan."""
+"""Frequent sequences: MLlib's PrefixSpan over array columns, and a native miner over events in long form.
+
+PrefixSpan reads a sequence as one array, which suits sources that store it so. The native miner never gathers the events of a
+sequence: it keeps, per sequence and pattern, where the earliest match ends, and extends a match with the first later event of each
+label. Both steps are aggregates with map-side combine, so a sequence that holds much of the table is spread like any other rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.fpm import PrefixSpan
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setscope.functions.columns import join_same
 from setscope.functions.tables import materialise
+from setscope.operators.itemsets import support_floor
 
 # Pattern length and local projection size of the sequence run.
 MAX_PATTERN_LENGTH = 5
@@ -37,3 +46,46 @@ def frequent_sequences(
         (F.col("freq") / F.lit(n)).alias("value"),
         F.lit(n).cast("bigint").alias("n"),
     )
+
+
+def frequent_sequences_long(
+    events: DataFrame,
+    *,
+    id_cols: Sequence[str],
+    order_cols: Sequence[str],
+    label_col: str = "label",
+    min_support: float = 0.2,
+    max_pattern_length: int = MAX_PATTERN_LENGTH,
+) -> DataFrame:
+    """``(sequence, k, freq, value, n)``, ``sequence`` an array of labels; one event per row, ``order_cols`` unique per sequence."""
+    ids = list(id_cols)
+    rows = events.select(*ids, F.struct(*order_cols).alias("at"), F.col(label_col).alias("label"))
+    n = rows.select(*ids).distinct().count()
+    floor = support_floor(F.lit(n), min_support, strict=False)
+    # First event of each label per sequence: all a pattern of length one needs.
+    ends = materialise(rows.groupBy(*ids, "label").agg(F.min("at").alias("end")), "sequence-ends")
+    matches = ends.select(*ids, F.array("label").alias("sequence"), "end")
+    found: list[DataFrame] = []
+    for k in range(1, max_pattern_length + 1):
+        counted = materialise(
+            matches.groupBy("sequence").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= floor), f"sequences-{k}"
+        )
+        found.append(counted)
+        if k == max_pattern_length or counted.isEmpty():
+            break
+        kept = matches.join(counted.select("sequence"), "sequence", "left_semi")
+        longer = join_same(rows, kept, ids).filter(F.col("at") > F.col("end"))
+        widened = longer.groupBy(*ids, "sequence", "label").agg(F.min("at").alias("end"))
+        matches = materialise(
+            widened.select(*ids, F.concat("sequence", F.array("label")).alias("sequence"), "end"), f"sequence-matches-{k + 1}"
+        )
+    result = found[0]
+    for part in found[1:]:
+        result = result.unionByName(part)
+    return result.select(
+        "sequence",
+        F.size("sequence").alias("k"),
+        "freq",
+        (F.col("freq") / F.lit(n)).alias("value"),
+        F.lit(n).cast("bigint").alias("n"),
+    )

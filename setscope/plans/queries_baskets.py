@@ -239,7 +239,40 @@ def frequent_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("sequence", F.array_join(F.flatten("sequence"), ">"))
 
 
-@query("association_rules")
+@query("frequent_sequences_long", SEQUENCES)
+def frequent_sequences_long(spark: SparkSession, sf: str) -> DataFrame:
+    events = D.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    found = S.frequent_sequences_long(
+        events,
+        id_cols=["user_id", "day"],
+        order_cols=["ts", "event_id"],
+        label_col="event_type",
+        min_support=0.02,
+        max_pattern_length=3,
+    )
+    return found.withColumn("sequence", F.array_join("sequence", ">"))
+
+
+@query(
+    "association_rules",
+    f"""WITH {TYPE}, {Q.TYPE_SETS},
+masks AS (
+  SELECT i.id, COALESCE(CAST(SUM(b.bit) AS BIGINT), 0) AS mask FROM (SELECT DISTINCT id FROM baskets) i
+  LEFT JOIN (SELECT id, item FROM baskets WHERE share > CAST(0.05 AS DOUBLE)) x ON i.id = x.id
+  LEFT JOIN bits b ON x.item = b.item GROUP BY i.id),
+n AS (SELECT COUNT(*) AS n FROM masks),
+hits AS (
+  SELECT s.mask, s.itemset, COUNT(*) AS freq FROM sets s JOIN masks m ON (m.mask & s.mask) = s.mask GROUP BY s.mask, s.itemset
+  HAVING COUNT(*) >= CEIL(CAST(0.01 AS DOUBLE) * (SELECT n FROM n))),
+rules AS (
+  SELECT a.itemset AS antecedent, b.item AS consequent, CAST(x.freq AS DOUBLE) / CAST(a.freq AS DOUBLE) AS confidence,
+    CAST(c.freq AS DOUBLE) / CAST(n AS DOUBLE) AS share, CAST(x.freq AS DOUBLE) / CAST(n AS DOUBLE) AS support
+  FROM hits x JOIN bits b ON (x.mask & b.bit) <> 0 AND x.mask <> b.bit JOIN hits a ON a.mask = x.mask - b.bit
+    JOIN hits c ON c.mask = b.bit, n)
+SELECT antecedent, consequent, ROUND(confidence, 9) AS confidence, ROUND(confidence / share, 9) AS lift, ROUND(support, 9) AS support
+FROM rules WHERE confidence >= CAST(0.1 AS DOUBLE)""",
+)
 def association_rules(spark: SparkSession, sf: str) -> DataFrame:
     rules = I.association_rules(type_baskets(spark, sf), min_support=0.01, min_confidence=0.1)
-    return _text(_text(rules, "antecedent"), "consequent")
+    rules = _text(_text(rules, "antecedent"), "consequent")
+    return rules.withColumns({c: F.round(c, 9) for c in ("confidence", "lift", "support")})

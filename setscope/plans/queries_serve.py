@@ -63,7 +63,11 @@ def upsert_results(spark: SparkSession, sf: str) -> DataFrame:
     return R.upsert(old, new)
 
 
-@query("sink_results")
+@query(
+    "sink_results",
+    f"""SELECT * FROM (WITH {FREQUENT_BY_TAG} SELECT run_id, tag_name, tag, rollup, fi_type, itemset AS labels, k, freq, value, n FROM frequent)
+    UNION ALL SELECT * FROM (WITH {HIGH_BY_TAG} SELECT run_id, tag_name, tag, rollup, fi_type, itemset, k, freq, value, n FROM hui)""",
+)
 def sink_results(spark: SparkSession, sf: str) -> DataFrame:
     """Written as JSON and read back, then written twice as a versioned table and read at its newest version."""
     json_path, table_path = new_path(spark, "json"), new_path(spark, "table")
