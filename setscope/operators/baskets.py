@@ -27,7 +27,7 @@ def scan_limit(tracks: DataFrame, n: int | None, *, id_col: str = "_id") -> Data
 def items_above(items: Column, ratio: float | None) -> Column:
     """Sorted labels of a share map: shares that are not null and, with a ratio, strictly above it."""
     kept = F.map_filter(items, lambda _, v: v.isNotNull() if ratio is None else v > ratio)
-    return F.array_sort(F.map_keys(kept))
+    return F.sort_array(F.map_keys(kept))
 
 
 def basket_items(tracks: DataFrame, ratio: float | None) -> DataFrame:
@@ -45,14 +45,14 @@ def basket_rollup(tracks: DataFrame, ratio: float | None, roll_up: DataFrame) ->
     """``(_id, items)`` after mapping each label to its parent; ``roll_up`` is ``(item, parent)``. Empty baskets stay."""
     parents = items_long(tracks, ratio).join(roll_up, "item").groupBy("_id").agg(F.collect_set("parent").alias("items"))
     return tracks.select("_id").join(parents, "_id", "left").select(
-        "_id", F.array_sort(F.coalesce("items", string_array([]))).alias("items")
+        "_id", F.sort_array(F.coalesce("items", string_array([]))).alias("items")
     )
 
 
 def roll_up_expr(items: Column, mapping: dict[str, str]) -> Column:
     """Roll-up of a label array when the mapping is a short literal: no join, no shuffle."""
     lookup = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    return F.array_sort(F.array_distinct(F.filter(F.transform(items, lambda i: lookup[i]), lambda p: p.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(items, lambda i: lookup[i]), lambda p: p.isNotNull())))
 
 
 def sequence_shape(tracks: DataFrame, *, seq_col: str = "seq") -> DataFrame:
@@ -114,7 +114,7 @@ def weighted_transactions(
 
 def tracks_ranked_items(tracks: DataFrame) -> DataFrame:
     """``(_id, labels, shares)``: parallel arrays by falling share, ties by label; null shares left out."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             F.map_entries(F.map_filter("items", lambda _, v: v.isNotNull())),
             lambda e: F.struct((-e["value"]).alias("minus"), e["key"].alias("label")),

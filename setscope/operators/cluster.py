@@ -46,7 +46,7 @@ def pair_features(pairs: DataFrame, order: DataFrame) -> DataFrame:
     def key(pos: str, label: str) -> Column:
         return F.struct(F.round(F.sin(angle(F.col(pos), n)), 12).alias("k"), F.col(pos).alias("pos"), F.col(label).alias("label"))
 
-    turned = F.array_sort(F.array(key("p0", "l0"), key("p1", "l1")))
+    turned = F.sort_array(F.array(key("p0", "l0"), key("p1", "l1")))
     rows = rows.select("tag", "value", turned.alias("e"))
     ends = {1: F.col("e")[0], 2: F.col("e")[1]}
     return rows.select(

@@ -135,19 +135,19 @@ def crossings_per_node(placed: DataFrame) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(rank))
 
 
-def bootstrap_edges(edges: DataFrame, sizes: list[int], *, seed: str) -> DataFrame:
+def bootstrap_edges(edges: DataFrame, sizes: list[int], *, seed: str, skip_larger: bool = True) -> DataFrame:
     """``(graph_id, n, draw, edge_id, u, v)``: ``n`` edges drawn with replacement from each graph, for each size.
 
-    A size is drawn when the graph has at least ``size - 1`` edges. The drawn index is a hash of seed, graph, size and draw modulo the number of edges, so a rerun draws the same. Indexes come
+    With ``skip_larger`` a size is drawn only when the graph has at least ``size - 1`` edges. The drawn index is a hash of seed, graph, size and draw modulo the number of edges, so a rerun draws the same. Indexes come
     from a window over the edges of a graph, at most one per node pair after ``distinct``.
     """
     known = edges.select("graph_id", "edge_id", "u", "v").distinct()
     at = F.row_number().over(Window.partitionBy("graph_id").orderBy("edge_id")) - 1
     indexed = known.withColumn("ix", at.cast("bigint"))
     counts = known.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
-    draws = counts.select("graph_id", "m", F.explode(F.array(*[F.lit(x) for x in sizes])).alias("n")).filter(
-        F.col("n") - 1 <= F.col("m")
-    )
+    draws = counts.select("graph_id", "m", F.explode(F.array(*[F.lit(x) for x in sizes])).alias("n"))
+    if skip_larger:
+        draws = draws.filter(F.col("n") - 1 <= F.col("m"))
     draws = draws.select(
         "*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("draw")
     )

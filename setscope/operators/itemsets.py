@@ -31,7 +31,7 @@ def support_floor(n: Column, min_support: float, strict: bool) -> Column:
 def basket_copies(baskets: DataFrame, group_cols: Sequence[str] = (), items_col: str = "items") -> DataFrame:
     """``(group, suffix, mult)``: equal baskets of a group merged. Null baskets are ignored, empty ones count."""
     known = baskets.filter(F.col(items_col).isNotNull())
-    return known.groupBy(*group_cols, F.array_sort(items_col).alias("suffix")).agg(F.count(F.lit(1)).alias("mult"))
+    return known.groupBy(*group_cols, F.sort_array(items_col).alias("suffix")).agg(F.count(F.lit(1)).alias("mult"))
 
 
 def _with_totals(copies: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -162,7 +162,7 @@ def frequent_itemsets(
     """``(itemset, k, freq, value, n)`` by MLlib's parallel FP-Growth."""
     model, n = fit_fpgrowth(baskets, min_support=min_support, min_confidence=min_confidence, items_col=items_col)
     found = model.freqItemsets.select(
-        F.array_sort("items").alias("itemset"), "freq", F.lit(n).cast("bigint").alias("n")
+        F.sort_array("items").alias("itemset"), "freq", F.lit(n).cast("bigint").alias("n")
     )
     return _shares(found, ())
 
@@ -182,7 +182,7 @@ def association_rules(
     """Rules of the FP-Growth model."""
     model, _ = fit_fpgrowth(baskets, min_support=min_support, min_confidence=min_confidence, items_col=items_col)
     return model.associationRules.select(
-        F.array_sort("antecedent").alias("antecedent"), "consequent", "confidence", "lift", "support"
+        F.sort_array("antecedent").alias("antecedent"), "consequent", "confidence", "lift", "support"
     )
 
 

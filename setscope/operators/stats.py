@@ -30,7 +30,7 @@ def tag_cooccurrence(meta: DataFrame, tags: Column, *, above: int | None = None)
 
     Equal tag arrays are merged before pairs are formed inside a row, so copies cost one row.
     """
-    arrays = meta.select(F.array_sort(F.array_distinct(tags)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    arrays = meta.select(F.sort_array(F.array_distinct(tags)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     pairs = arrays.select("n", F.explode(in_row_pairs(F.col("t"))).alias("p"))
     found = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("weight"))
     if above is None:

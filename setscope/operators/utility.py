@@ -20,14 +20,14 @@ ENUMERATION_WIDTH = 14
 
 
 def item_utilities(
-    transactions: DataFrame, utilities: DataFrame, group_cols: Sequence[str] = ()
+    transactions: DataFrame, utilities: DataFrame, group_cols: Sequence[str] = (), *, unique: bool = False
 ) -> DataFrame:
-    """``(group, tid, item, u)``: quantity times unit utility, one row per label of a transaction."""
-    return (
-        transactions.join(utilities, "item")
-        .groupBy(*group_cols, "tid", "item")
-        .agg(F.sum(F.col("qty") * F.col("eutil")).alias("u"))
-    )
+    """``(group, tid, item, u)``: quantity times unit utility, one row per label of a transaction.
+
+    ``unique`` says that the input already has one row per label, which saves a shuffle.
+    """
+    valued = transactions.join(utilities, "item").select(*group_cols, "tid", "item", (F.col("qty") * F.col("eutil")).alias("u"))
+    return valued if unique else valued.groupBy(*group_cols, "tid", "item").agg(F.sum("u").alias("u"))
 
 
 def total_utility(items: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -43,7 +43,7 @@ def transaction_utility(items: DataFrame, group_cols: Sequence[str] = ()) -> Dat
 def merged_transactions(items: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """``(group, items, us)``: transactions with equal label sets added up, position by position."""
     keys = list(group_cols)
-    entries = F.array_sort(F.collect_list(F.struct("item", "u")))
+    entries = F.sort_array(F.collect_list(F.struct("item", "u")))
     per_tid = items.groupBy(*keys, "tid").agg(entries.alias("e"))
     arrays = per_tid.select(
         *keys, F.transform("e", lambda x: x["item"]).alias("items"), F.transform("e", lambda x: x["u"]).alias("us")
@@ -54,7 +54,7 @@ def merged_transactions(items: DataFrame, group_cols: Sequence[str] = ()) -> Dat
 def _add_arrays(rows: DataFrame, keys: Sequence[str], values: str) -> DataFrame:
     """Add the arrays of equal keys element by element; arrays of one key have one length."""
     sums = rows.select(*keys, F.posexplode(values).alias("at", "x")).groupBy(*keys, "at").agg(F.sum("x").alias("x"))
-    gathered = F.array_sort(F.collect_list(F.struct("at", "x")))
+    gathered = F.sort_array(F.collect_list(F.struct("at", "x")))
     return sums.groupBy(*keys).agg(F.transform(gathered, lambda s: s["x"]).alias(values))
 
 
@@ -132,6 +132,7 @@ def high_utility_itemsets(
     min_util: float,
     as_share: bool = True,
     group_cols: Sequence[str] = (),
+    unique: bool = False,
     enumeration_rows: int = ENUMERATION_ROWS,
 ) -> DataFrame:
     """``(group, itemset, k, utility, value)`` of itemsets whose utility reaches the threshold.
@@ -145,7 +146,7 @@ def high_utility_itemsets(
     keys = list(group_cols) or ["_all"]
     if not group_cols:
         transactions = transactions.withColumn("_all", F.lit(0))
-    items = item_utilities(transactions, utilities, keys)
+    items = item_utilities(transactions, utilities, keys, unique=unique)
     merged = materialise(_with_tu(merged_transactions(items, keys)), "utility-baskets")
     merged = join_same(merged, merged.groupBy(*keys).agg(F.sum("tu").alias("total")), keys)
     goal = F.lit(float(min_util)) * F.col("total") if as_share else F.lit(float(min_util))
@@ -157,7 +158,7 @@ def high_utility_itemsets(
     result = _grow(level, merged, keys, enumeration_rows)
     value = F.col("utility") / F.col("total") if as_share else F.col("utility")
     return result.select(
-        *group_cols, F.array_sort("itemset").alias("itemset"), F.size("itemset").alias("k"), "utility", value.alias("value")
+        *group_cols, F.sort_array("itemset").alias("itemset"), F.size("itemset").alias("k"), "utility", value.alias("value")
     )
 
 
@@ -209,7 +210,7 @@ def _ranked_level(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
         .agg(F.sum("tu").alias("twu"))
         .filter(F.col("twu") >= F.col("goal"))
         .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("twu", "item"))), lambda s: s["item"]).alias("ranked"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("twu", "item"))), lambda s: s["item"]).alias("ranked"))
     )
     # The label array keeps its own name until the lambda below has read it: an alias of the same select would shadow it there.
     tails = join_same(merged, twu, keys).withColumn("tail", F.array_intersect("ranked", "items"))

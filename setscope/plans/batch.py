@@ -90,11 +90,13 @@ def high_utility_by_tag(
     ratio: float | None = FILTER_RATIO,
     confidence: float | None = FILTER_CONFIDENCE,
 ) -> DataFrame:
-    """Result rows of all tags. ``tracks`` gives the number of tracks, ``transactions`` their filtered ``(tid, item, qty)``."""
+    """Result rows of all tags. ``tracks`` gives the number of tracks, ``transactions`` their filtered
+    ``(tid, item, qty)``, one row per label.
+    """
     kept = filter_confidence(tracks, confidence).select("_id")
     sizes = with_tags(kept, meta, tag_name, tags).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     tagged = with_tags(transactions.withColumnRenamed("tid", "_id"), meta, tag_name, tags).withColumnRenamed("_id", "tid")
-    found = join_same(high_utility_itemsets(tagged, utilities, min_util=min_util, group_cols=["tag"]), sizes, ["tag"])
+    found = join_same(high_utility_itemsets(tagged, utilities, min_util=min_util, group_cols=["tag"], unique=True), sizes, ["tag"])
     key = run_id(F.col("tag"), tags, minimum=min_util, ratio=ratio, confidence=confidence, ending=F.lit("hui"))
     return found.select(
         key.alias("run_id"),

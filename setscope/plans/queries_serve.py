@@ -79,7 +79,7 @@ def sink_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return D.basket_maps(spark, sf, "p_brand").select("_id", "items", "weights", F.array_sort(F.map_keys("items")).alias("names"))
+    return D.basket_maps(spark, sf, "p_brand").select("_id", "items", "weights", F.sort_array(F.map_keys("items")).alias("names"))
 
 
 @query(

@@ -18,7 +18,7 @@ tu AS (SELECT tid, SUM(u) AS tu FROM x GROUP BY tid)"""
 
 
 def utilities(spark: SparkSession, sf: str) -> DataFrame:
-    return U.item_utilities(D.type_transactions(spark, sf), D.type_utilities(spark))
+    return U.item_utilities(D.type_transactions(spark, sf), D.type_utilities(spark), unique=True)
 
 
 @query("total_utility", f"WITH {UTIL} SELECT CAST(SUM(u) AS BIGINT) AS total FROM x")
@@ -81,7 +81,7 @@ def high_utility_sql(min_util: str) -> str:
 
 @query("high_utility_itemsets", high_utility_sql("0.01"))
 def high_utility_itemsets(spark: SparkSession, sf: str) -> DataFrame:
-    found = U.high_utility_itemsets(D.type_transactions(spark, sf), D.type_utilities(spark), min_util=0.01)
+    found = U.high_utility_itemsets(D.type_transactions(spark, sf), D.type_utilities(spark), min_util=0.01, unique=True)
     return found.withColumn("itemset", item_text(F.col("itemset")))
 
 

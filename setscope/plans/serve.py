@@ -103,7 +103,7 @@ def sets_ordered(sets: DataFrame, order: DataFrame) -> DataFrame:
     """Sets with ``labels`` sorted by position and the positions beside them. Labels outside the order drop out."""
     keyed = sets.withColumn("set_key", F.col("labels"))
     long = keyed.select("tag", "set_key", "value", F.explode("labels").alias("node")).join(order, "node")
-    sorted_labels = F.array_sort(F.collect_list(F.struct("pos", "node")))
+    sorted_labels = F.sort_array(F.collect_list(F.struct("pos", "node")))
     rows = long.groupBy("tag", "set_key", "value").agg(sorted_labels.alias("by_pos"))
     return rows.select(
         "tag",

@@ -14,9 +14,9 @@ SIZES = [25, 50, 75, 100, 125, 150, 175, 200, 225, 250, 275, 300, 325, 350]
 SINGLE_SIZES = [10, 50, 100, 150, 200, 250, 300, 350]
 
 
-def sample_graphs(edges: DataFrame, sizes: list[int], *, seed: str) -> DataFrame:
+def sample_graphs(edges: DataFrame, sizes: list[int], *, seed: str, skip_larger: bool = True) -> DataFrame:
     """Samples as graphs of their own: ``graph_id`` is ``<graph>|<n>``, ``edge_id`` the draw."""
-    drawn = bootstrap_edges(edges, sizes, seed=seed)
+    drawn = bootstrap_edges(edges, sizes, seed=seed, skip_larger=skip_larger)
     return drawn.select(
         F.concat_ws("|", "graph_id", "n").alias("graph_id"), "n", F.col("draw").cast("bigint").alias("edge_id"), "u", "v",
         F.col("graph_id").alias("source"),

@@ -23,24 +23,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _percent() -> Column:
+    """Discount of a line in whole percent."""
+    return F.round(F.col("l_discount") * 100).cast("bigint")
+
+
 def weights(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """``(id, item, weight)``: whole quantity per order and label."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    """``(id, item, weight, percent, lines)``: whole quantity, discount and line count per order and label."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col(label).alias("item"))
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_orderkey").alias("id"), "item")
-        .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("weight"))
+        .agg(
+            F.sum(F.col("l_quantity").cast("bigint")).alias("weight"),
+            F.sum(_percent()).alias("percent"),
+            F.count(F.lit(1)).alias("lines"),
+        )
     )
 
 
+def _confidence(percent: Column, lines: Column) -> Column:
+    return F.lit(1.0) - percent.cast("double") / (F.lit(10.0) * lines)
+
+
 def basket_maps(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """``(_id, weights map, items map)``: whole weights and shares of an order."""
+    """``(_id, confidence, weights map, items map)``: whole weights and shares of an order, from one scan of the lines."""
     per_id = weights(spark, sf_dir, label).groupBy(F.col("id").alias("_id")).agg(
-        F.map_from_entries(F.collect_list(F.struct("item", "weight"))).alias("weights"), F.sum("weight").alias("total")
+        F.map_from_entries(F.collect_list(F.struct("item", "weight"))).alias("weights"),
+        F.sum("weight").alias("total"),
+        _confidence(F.sum("percent"), F.sum("lines")).alias("confidence"),
     )
     return per_id.select(
-        "_id", "weights", F.transform_values("weights", lambda _, w: w / F.col("total")).alias("items")
+        "_id", "confidence", "weights", F.transform_values("weights", lambda _, w: w / F.col("total")).alias("items")
     )
 
 
@@ -50,15 +65,9 @@ def baskets_long(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return rows.select(F.col("_id").alias("id"), "item", "weight", F.col("items")[F.col("item")].alias("share"))
 
 
-def _confidence() -> Column:
-    percent = F.sum(F.round(F.col("l_discount") * 100).cast("bigint"))
-    return (F.lit(1.0) - percent.cast("double") / (F.lit(10.0) * F.count(F.lit(1)))).alias("confidence")
-
-
 def tracks(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """``(_id, confidence, items map)``."""
-    confidence = plain_tracks(spark, sf_dir)
-    return basket_maps(spark, sf_dir, label).join(confidence, "_id").select("_id", "confidence", "items")
+    return basket_maps(spark, sf_dir, label).select("_id", "confidence", "items")
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +99,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(_id, seq array<struct<label>>)``: the events of a user and day by time."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", F.col("event_type").alias("label"))))
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", F.col("event_type").alias("label"))))
     per_day = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(ordered.alias("e"))
     return per_day.select(
         F.concat_ws("/", "user_id", "day").alias("_id"), F.transform("e", lambda x: F.struct(x["label"].alias("label"))).alias("seq")
@@ -112,9 +121,7 @@ def type_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filtered_type_transactions(spark: SparkSession, sf_dir: str, ratio: float, confidence: float) -> DataFrame:
     """``(tid, item, qty)`` with whole quantities, for shares above the ratio in confident orders."""
-    maps = basket_maps(spark, sf_dir, "p_type")
-    sure = plain_tracks(spark, sf_dir).filter(F.col("confidence") > confidence).select("_id")
-    rows = maps.join(sure, "_id", "left_semi").select(
+    rows = basket_maps(spark, sf_dir, "p_type").filter(F.col("confidence") > confidence).select(
         F.col("_id").alias("tid"), "items", F.explode("weights").alias("item", "qty")
     )
     return rows.filter(F.col("items")[F.col("item")] > ratio).select("tid", "item", "qty")
@@ -122,5 +129,5 @@ def filtered_type_transactions(spark: SparkSession, sf_dir: str, ratio: float, c
 
 def plain_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(_id, confidence)`` without label maps."""
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_orderkey").alias("_id")).agg(_confidence())
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("_id"))
+    return lines.agg(_confidence(F.sum(_percent()), F.count(F.lit(1))).alias("confidence"))

@@ -69,6 +69,6 @@ def id_batches(ids: DataFrame, *, id_col: str = "_id", size: int = 50, span: int
     indexed = ids.withColumn("rank", rank).join(before, "part").withColumn("ix", F.col("before") + F.col("rank") - 1)
     return (
         indexed.groupBy(F.expr(f"ix div {size}").alias("batch"))
-        .agg(F.count(F.lit(1)).alias("n_ids"), F.array_sort(F.collect_list("_id")).alias("ids"))
+        .agg(F.count(F.lit(1)).alias("n_ids"), F.sort_array(F.collect_list("_id")).alias("ids"))
         .withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), " "))
     )
