@@ -16,20 +16,24 @@ from pyspark.sql import functions as F
 from setscope.functions.columns import join_same
 
 
+def _block_ids(blocks: list[Column], bits: int) -> Column:
+    """Even-numbered blocks, one per level, as numbers unique over all levels; NULL elsewhere."""
+    ids = [F.when(b % 2 == 0, b.cast("bigint") + F.lit(1 << (bits - level))) for level, b in enumerate(blocks)]
+    return F.array(*ids)
+
+
 def _point_blocks(coordinate: str, bits: int) -> Column:
     # A prefix is tiled by even-numbered blocks only, so a point needs no odd-numbered block.
-    blocks = [
-        F.struct(F.lit(b).alias("level"), F.shiftright(F.col(coordinate), b).alias("block")) for b in range(bits)
-    ]
-    return F.filter(F.array(*blocks), lambda s: s["block"] % 2 == 0)
+    return _block_ids([F.shiftright(F.col(coordinate), level) for level in range(bits)], bits)
 
 
 def _query_blocks(bound: str, bits: int) -> Column:
-    # Bit b of the bound set: the block left of the bound at that level.
-    blocks = [
-        F.struct(F.lit(b).alias("level"), (F.shiftright(F.col(bound), b) - 1).alias("block")) for b in range(bits)
-    ]
-    return F.filter(F.array(*blocks), lambda s: s["block"] % 2 == 0)
+    # Where a bit of the bound is set, the block left of the bound at that level; it is odd, hence NULL, where the bit is not set.
+    return _block_ids([F.shiftright(F.col(bound), level) - 1 for level in range(bits)], bits)
+
+
+def _spread(rows: DataFrame, blocks: Column, name: str) -> DataFrame:
+    return rows.withColumn(name, F.explode(blocks)).filter(F.col(name).isNotNull())
 
 
 def covered_weight(
@@ -51,8 +55,8 @@ def covered_weight(
     group_cols = list(group_cols)
     cells = points.select(*group_cols, *coords, weight)
     for d, (coord, bound) in enumerate(zip(coords, bounds)):
-        cells = cells.withColumn(f"_b{d}", F.explode(_point_blocks(coord, bits)))
-        probes = probes.withColumn(f"_b{d}", F.explode(_query_blocks(bound, bits)))
+        cells = _spread(cells, _point_blocks(coord, bits), f"_b{d}")
+        probes = _spread(probes, _query_blocks(bound, bits), f"_b{d}")
     blocks = [f"_b{d}" for d in range(len(coords))]
     cells = cells.groupBy(*group_cols, *blocks).agg(F.sum(weight).alias("covered"))
     return join_same(probes, cells, group_cols + blocks).drop(*blocks)

@@ -7,6 +7,7 @@ because a machine-local folder would be lost together with the machine.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -38,3 +39,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the groups over all shuffle partitions, for grouped Python functions.
+
+    Groups are small in bytes and heavy in time. Adaptive execution would join such partitions by size and so put many groups in one
+    task; a fixed number of partitions is left alone, and the grouped function needs no second shuffle.
+    """
+    return df.repartition(_slots(df.sparkSession), *keys)
+
+
+def _slots(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+ROWS_PER_TASK = 250_000
+SMALL_TABLE = 20_000_000
+
+
+def spread_rows(df: DataFrame, rows: int, emitted: float, *keys: str) -> DataFrame:
+    """Spread a small table before each of its ``rows`` explodes, ``emitted`` rows in all.
+
+    A scan is split by bytes, so a small table with a large explosion would run in one task. A large table has splits enough.
+    """
+    parts = min(math.ceil(emitted / ROWS_PER_TASK), _slots(df.sparkSession))
+    return df.repartition(parts, *keys) if parts > 1 and rows <= SMALL_TABLE else df

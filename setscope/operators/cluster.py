@@ -7,16 +7,22 @@ clustering without such a bound.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import join_same
+from setscope.functions.tables import spread_groups
+
+# Kernels travel to the workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Cut heights of the two charts, the least rows of a clustered axis, and the KMeans settings.
 PAIR_HEIGHT = 1.0
@@ -125,7 +131,7 @@ def _ward(rows: DataFrame, keys: Sequence[str], point: Sequence[str], features:
         return pdf[out].assign(cluster=labels)
 
     schema = ", ".join(f"{c} {fields[c]}" for c in out) + ", cluster int"
-    return counted.groupBy(*group).applyInPandas(one_group, schema).select(*keys, *point, "cluster")
+    return spread_groups(counted, *group).groupBy(*group).applyInPandas(one_group, schema).select(*keys, *point, "cluster")
 
 
 def cluster_pairs(features: DataFrame, *, group_cols: Sequence[str] = (), height: float = PAIR_HEIGHT) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from setscope.functions.columns import join_same
 from setscope.functions.range_counts import covered_weight
+from setscope.functions.tables import materialise, spread_rows
 
 
 def edge_positions(edges: DataFrame, order: DataFrame) -> DataFrame:
@@ -77,7 +78,10 @@ def _crossed(placed: DataFrame) -> DataFrame:
       earlier = (start < s and end < t)  -  end <= s
     """
     edges = placed.filter(F.col("s") < F.col("t")).groupBy("graph_id", "s", "t").agg(F.count(F.lit(1)).alias("w"))
-    n = (placed.agg(F.max("t")).first()[0] or 0) + 1
+    edges = materialise(edges, "position-pairs")
+    last, pairs = edges.agg(F.max("t"), F.count(F.lit(1))).first()
+    n = (last or 0) + 1
+    bits = n.bit_length()
     every = F.lit(n)
 
     def probe(x, y, later: int, earlier: int) -> Column:
@@ -94,7 +98,8 @@ def _crossed(placed: DataFrame) -> DataFrame:
         probe(s, t, 0, 1),
         probe(every, s + 1, 0, -1),
     )
-    asked = edges.select("graph_id", "s", "t", F.explode(probes).alias("p")).select("graph_id", "s", "t", "p.*")
+    asking = spread_rows(edges, pairs, pairs * 6 * bits**2 / 4, "graph_id", "s", "t")
+    asked = asking.select("graph_id", "s", "t", F.explode(probes).alias("p")).select("graph_id", "s", "t", "p.*")
     counted = covered_weight(
         edges.withColumnsRenamed({"s": "start", "t": "end"}),
         asked,
@@ -102,7 +107,7 @@ def _crossed(placed: DataFrame) -> DataFrame:
         coords=["start", "end"],
         bounds=["x", "y"],
         weight="w",
-        bits=n.bit_length(),
+        bits=bits,
     )
     sums = counted.groupBy("graph_id", "s", "t").agg(
         F.sum(F.col("covered") * F.col("later")).alias("later"), F.sum(F.col("covered") * F.col("earlier")).alias("earlier")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import join_same, string_array, subsets
-from setscope.functions.tables import materialise
+from setscope.functions.tables import materialise, spread_rows
 
 # A level whose remaining subsets number less than this is finished in one aggregate instead of one job per level.
 ENUMERATION_ROWS = 50_000_000
@@ -85,14 +85,18 @@ def _enumerated(level: DataFrame, keys: Sequence[str], room: int | None) -> Data
     )
 
 
-def _reach(level: DataFrame, room: int | None) -> tuple[float, int]:
-    """How many subset rows a level would emit, and its longest suffix. One small aggregate; (0, 0) for an empty level."""
+def _reach(level: DataFrame, room: int | None) -> tuple[int, float, int]:
+    """Rows of a level, subset rows it would emit, and its longest suffix. One small aggregate; zeros for an empty level."""
     width = F.size("suffix")
-    rows = F.pow(F.lit(2.0), width)
+    emitted = F.pow(F.lit(2.0), width)
     if room is not None:
-        rows = F.least(rows, F.pow(width + F.lit(1.0), F.lit(float(room))))
-    total, widest = level.agg(F.sum(rows), F.max(width)).first()
-    return float(total or 0.0), int(widest or 0)
+        emitted = F.least(emitted, F.pow(width + F.lit(1.0), F.lit(float(room))))
+    rows, total, widest = level.agg(F.count(F.lit(1)), F.sum(emitted), F.max(width)).first()
+    return rows, float(total or 0.0), int(widest or 0)
+
+
+def _enumerable(emitted: float, widest: int, enumeration_rows: int) -> bool:
+    return emitted <= enumeration_rows and widest <= ENUMERATION_WIDTH
 
 
 def mine_levels(
@@ -104,10 +108,11 @@ def mine_levels(
     depth = 0
     while True:
         room = None if max_len is None else max_len - depth
-        rows, widest = _reach(level, room)
+        rows, emitted, widest = _reach(level, room)
         if widest == 0 and found:
             break
-        if rows <= enumeration_rows and widest <= ENUMERATION_WIDTH:
+        if _enumerable(emitted, widest, enumeration_rows):
+            level = spread_rows(level, rows, emitted, *keys, "prefix", "suffix")
             last = _enumerated(level, keys, room).filter(F.col("freq") >= F.col("floor"))
             found.append(last.select(*keys, "n", "itemset", "freq"))
             break
@@ -198,8 +203,9 @@ def count_candidates(
     level = copies
     for k in range(1, depths + 1):
         room = depths - k + 1
-        rows, widest = _reach(level, room)
-        if rows <= enumeration_rows and widest <= ENUMERATION_WIDTH:
+        rows, emitted, widest = _reach(level, room)
+        if _enumerable(emitted, widest, enumeration_rows):
+            level = spread_rows(level, rows, emitted, "prefix", "suffix")
             rest = candidates.filter(F.size("itemset") >= k)
             found.append(
                 _enumerated(level, [], room).join(rest, "itemset", "left_semi").select("n", "floor", "itemset", "freq")

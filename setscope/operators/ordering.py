@@ -7,13 +7,20 @@ with more nodes than ``MAX_NODES`` is refused with an error rather than cut.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setscope.functions.tables import spread_groups
+
+# Kernels travel to the workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 METHODS = ("avsdf", "avsdf_la", "bb", "bb_la")
 MAX_NODES = 4_000
 
@@ -155,7 +162,7 @@ def order_graphs_by(edges: DataFrame, methods: Sequence[str] = METHODS) -> DataF
         out.insert(0, "graph_id", pdf["graph_id"].iloc[0])
         return out
 
-    pairs = weighted_pairs(edges, ["graph_id"])
+    pairs = spread_groups(weighted_pairs(edges, ["graph_id"]), "graph_id")
     return pairs.groupBy("graph_id").applyInPandas(one_graph, "graph_id string, method string, node string, pos int")
 
 
@@ -189,4 +196,4 @@ def swap_gain(edges: DataFrame, order: DataFrame) -> DataFrame:
         return out
 
     schema = "graph_id string, node string, neighbour string, old_crossings bigint, new_crossings bigint"
-    return pairs.groupBy("graph_id").applyInPandas(one_graph, schema)
+    return spread_groups(pairs, "graph_id").groupBy("graph_id").applyInPandas(one_graph, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import in_row_pairs, join_same, string_array
-from setscope.functions.tables import materialise
+from setscope.functions.tables import materialise, spread_rows
 
 ENUMERATION_ROWS = 50_000_000
 ENUMERATION_WIDTH = 14
@@ -40,15 +40,16 @@ def transaction_utility(items: DataFrame, group_cols: Sequence[str] = ()) -> Dat
     return items.groupBy(*group_cols, "tid").agg(F.sum("u").alias("tu"))
 
 
+def transaction_arrays(items: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """``(group, tid, items, us)``: labels of each transaction, sorted, and their utilities. At most one entry per label."""
+    entries = F.sort_array(F.collect_list(F.struct("item", "u")))
+    per_tid = items.groupBy(*group_cols, "tid").agg(entries.alias("e"))
+    return per_tid.select(*group_cols, "tid", F.col("e.item").alias("items"), F.col("e.u").alias("us"))
+
+
 def merged_transactions(items: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """``(group, items, us)``: transactions with equal label sets added up, position by position."""
-    keys = list(group_cols)
-    entries = F.sort_array(F.collect_list(F.struct("item", "u")))
-    per_tid = items.groupBy(*keys, "tid").agg(entries.alias("e"))
-    arrays = per_tid.select(
-        *keys, F.transform("e", lambda x: x["item"]).alias("items"), F.transform("e", lambda x: x["u"]).alias("us")
-    )
-    return _add_arrays(arrays, [*keys, "items"], "us")
+    return _add_arrays(transaction_arrays(items, group_cols), [*group_cols, "items"], "us")
 
 
 def _add_arrays(rows: DataFrame, keys: Sequence[str], values: str) -> DataFrame:
@@ -142,12 +143,30 @@ def high_utility_itemsets(
     remaining utility does; a label stays in the rest of a prefix while the utility of the rows holding both does. The last is at
     most the pair bound of the two labels, so it prunes at least as much.
     """
+    items = item_utilities(transactions, utilities, group_cols, unique=unique)
+    return mine_arrays(
+        transaction_arrays(items, group_cols),
+        min_util=min_util,
+        as_share=as_share,
+        group_cols=group_cols,
+        enumeration_rows=enumeration_rows,
+    )
+
+
+def mine_arrays(
+    arrays: DataFrame,
+    *,
+    min_util: float,
+    as_share: bool = True,
+    group_cols: Sequence[str] = (),
+    enumeration_rows: int = ENUMERATION_ROWS,
+) -> DataFrame:
+    """``high_utility_itemsets`` over rows ``(group, items, us)``, one per transaction."""
     # Without groups one written column stands for the whole collection, so every step has a group key.
     keys = list(group_cols) or ["_all"]
     if not group_cols:
-        transactions = transactions.withColumn("_all", F.lit(0))
-    items = item_utilities(transactions, utilities, keys, unique=unique)
-    merged = materialise(_with_tu(merged_transactions(items, keys)), "utility-baskets")
+        arrays = arrays.withColumn("_all", F.lit(0))
+    merged = materialise(_with_tu(_add_arrays(arrays, [*keys, "items"], "us")), "utility-baskets")
     merged = join_same(merged, merged.groupBy(*keys).agg(F.sum("tu").alias("total")), keys)
     goal = F.lit(float(min_util)) * F.col("total") if as_share else F.lit(float(min_util))
     merged = merged.withColumn("goal", goal)
@@ -167,26 +186,28 @@ def _zero() -> Column:
     return F.element_at("us", 1) - F.element_at("us", 1)
 
 
-def _enumerable(level: DataFrame, enumeration_rows: int) -> tuple[bool, bool]:
-    """Whether a level is empty, and whether its remaining subsets are few enough to be summed in one aggregate."""
+def _enumerable(level: DataFrame, enumeration_rows: int) -> tuple[int, float, bool]:
+    """Rows of a level, subset rows it would emit, and whether those are few enough to be summed in one aggregate."""
     width = F.size("items")
-    rows, widest = level.agg(F.sum(F.pow(F.lit(2.0), width)), F.max(width)).first()
-    return not rows, (rows or 0.0) <= enumeration_rows and (widest or 0) <= ENUMERATION_WIDTH
+    rows, emitted, widest = level.agg(F.count(F.lit(1)), F.sum(F.pow(F.lit(2.0), width)), F.max(width)).first()
+    emitted = float(emitted or 0.0)
+    return rows, emitted, emitted <= enumeration_rows and (widest or 0) <= ENUMERATION_WIDTH
 
 
 def _grow(level: DataFrame, merged: DataFrame, keys: Sequence[str], enumeration_rows: int) -> DataFrame:
     """``(keys, total, itemset, utility)`` of all itemsets that reach the goal, level by level until the rest is small."""
-    if _enumerable(level, enumeration_rows)[1]:
-        return _finish(level, keys)
+    rows, emitted, small = _enumerable(level, enumeration_rows)
+    if small:
+        return _finish(spread_rows(level, rows, emitted, *keys, "prefix", "items"), keys)
     level = materialise(_ranked_level(merged, keys), "utility-level-0")
     found: list[DataFrame] = []
     depth = 0
     while True:
-        empty, small = _enumerable(level, enumeration_rows)
-        if empty and found:
+        rows, emitted, small = _enumerable(level, enumeration_rows)
+        if not rows and found:
             break
         if small:
-            found.append(_finish(level, keys))
+            found.append(_finish(spread_rows(level, rows, emitted, *keys, "prefix", "items"), keys))
             break
         grown = materialise(_widened(level, keys), f"utility-{depth + 1}")
         hits = grown.filter(F.col("utility") >= F.col("goal"))

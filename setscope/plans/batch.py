@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from setscope.functions.columns import join_same, string_array
 from setscope.operators.baskets import filter_confidence, items_above, items_long, normal_ids, roll_up_expr, tags_of
 from setscope.operators.itemsets import frequent_itemsets_levelwise
-from setscope.operators.utility import high_utility_itemsets
+from setscope.operators.utility import item_utilities, mine_arrays, transaction_arrays
 
 # Thresholds of the batch runs.
 MIN_SUPPORT = 0.01
@@ -95,8 +95,10 @@ def high_utility_by_tag(
     """
     kept = filter_confidence(tracks, confidence).select("_id")
     sizes = with_tags(kept, meta, tag_name, tags).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    tagged = with_tags(transactions.withColumnRenamed("tid", "_id"), meta, tag_name, tags).withColumnRenamed("_id", "tid")
-    found = join_same(high_utility_itemsets(tagged, utilities, min_util=min_util, group_cols=["tag"], unique=True), sizes, ["tag"])
+    # Tags are attached to one row per transaction, not to one row per label.
+    arrays = transaction_arrays(item_utilities(transactions, utilities, unique=True)).withColumnRenamed("tid", "_id")
+    found = mine_arrays(with_tags(arrays, meta, tag_name, tags), min_util=min_util, group_cols=["tag"])
+    found = join_same(found, sizes, ["tag"])
     key = run_id(F.col("tag"), tags, minimum=min_util, ratio=ratio, confidence=confidence, ending=F.lit("hui"))
     return found.select(
         key.alias("run_id"),
