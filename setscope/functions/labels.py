@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setscope.functions.tables import local_table
+
 # The twelve root notes and the label qualities, in the default order of the circle.
 ROOTS = ("C", "Db", "D", "Eb", "E", "F", "Gb", "G", "Ab", "A", "Bb", "B")
 QUALITIES = ("maj", "maj7", "min", "min7", "7")
@@ -19,13 +22,17 @@ def default_labels(rolled_up: bool = False) -> list[str]:
 
 def chord_roll_up(spark: SparkSession) -> DataFrame:
     """``(item, parent)``: every label and the major/minor label it rolls up to."""
-    rows = [(r + q, r + p) for r in ROOTS for q, p in QUALITY_ROLL_UP.items()]
-    return spark.createDataFrame(rows, "item string, parent string")
+    mapping = chord_parents()
+    return local_table(spark, {"item": list(mapping), "parent": list(mapping.values())})
+
+
+def chord_parents() -> dict[str, str]:
+    return {r + q: r + p for r in ROOTS for q, p in QUALITY_ROLL_UP.items()}
 
 
 def order_frame(spark: SparkSession, labels: list[str]) -> DataFrame:
     """``(node, pos)`` of a list of labels."""
-    return spark.createDataFrame([(n, i) for i, n in enumerate(labels)], "node string, pos int")
+    return local_table(spark, {"node": pa.array(labels, pa.string()), "pos": pa.array(range(len(labels)), pa.int32())})
 
 
 def default_order(spark: SparkSession, rolled_up: bool = False) -> DataFrame:

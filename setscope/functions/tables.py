@@ -11,6 +11,7 @@ import math
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -65,3 +66,11 @@ def spread_rows(df: DataFrame, rows: int, emitted: float, *keys: str) -> DataFra
     """
     parts = min(math.ceil(emitted / ROWS_PER_TASK), _slots(df.sparkSession))
     return df.repartition(parts, *keys) if parts > 1 and rows <= SMALL_TABLE else df
+
+
+def local_table(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A literal table that carries its size, so the optimizer broadcasts it because it is known to be small.
+
+    A table made from a list of rows has no size; next to it the large side of a join would be shuffled on its few keys.
+    """
+    return spark.createDataFrame(pa.table(columns))

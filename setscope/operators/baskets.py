@@ -43,10 +43,9 @@ def items_long(tracks: DataFrame, ratio: float | None) -> DataFrame:
 
 def basket_rollup(tracks: DataFrame, ratio: float | None, roll_up: DataFrame) -> DataFrame:
     """``(_id, items)`` after mapping each label to its parent; ``roll_up`` is ``(item, parent)``. Empty baskets stay."""
-    parents = items_long(tracks, ratio).join(roll_up, "item").groupBy("_id").agg(F.collect_set("parent").alias("items"))
-    return tracks.select("_id").join(parents, "_id", "left").select(
-        "_id", F.sort_array(F.coalesce("items", string_array([]))).alias("items")
-    )
+    long = tracks.select("_id", F.explode_outer(items_above(F.col("items"), ratio)).alias("item"))
+    parents = F.sort_array(F.collect_set("parent")).alias("items")
+    return long.join(roll_up, "item", "left").groupBy("_id").agg(parents)
 
 
 def roll_up_expr(items: Column, mapping: dict[str, str]) -> Column:
@@ -112,16 +111,20 @@ def weighted_transactions(
     return items_long(known, ratio).select(F.col("_id").alias("tid"), "item", F.col("share").alias("qty"))
 
 
+def ranked_items(items: Column) -> Column:
+    """Entries ``(minus, label)`` of a share map by falling share, ties by label; null shares left out."""
+    entries = F.map_entries(F.map_filter(items, lambda _, v: v.isNotNull()))
+    return F.sort_array(F.transform(entries, lambda e: F.struct((-e["value"]).alias("minus"), e["key"].alias("label"))))
+
+
+def with_ranked_items(tracks: DataFrame) -> DataFrame:
+    """``items`` replaced by ``labels`` and ``shares``, parallel arrays by falling share."""
+    ranked = tracks.withColumn("ranked", ranked_items(F.col("items"))).drop("items")
+    return ranked.withColumn("labels", F.col("ranked.label")).withColumn(
+        "shares", F.transform("ranked.minus", lambda m: -m)
+    ).drop("ranked")
+
+
 def tracks_ranked_items(tracks: DataFrame) -> DataFrame:
-    """``(_id, labels, shares)``: parallel arrays by falling share, ties by label; null shares left out."""
-    ranked = F.sort_array(
-        F.transform(
-            F.map_entries(F.map_filter("items", lambda _, v: v.isNotNull())),
-            lambda e: F.struct((-e["value"]).alias("minus"), e["key"].alias("label")),
-        )
-    )
-    return tracks.select(
-        "_id",
-        F.transform(ranked, lambda e: e["label"]).alias("labels"),
-        F.transform(ranked, lambda e: -e["minus"]).alias("shares"),
-    )
+    """``(_id, labels, shares)``."""
+    return with_ranked_items(tracks.select("_id", "items"))

@@ -70,8 +70,8 @@ def _with_tu(merged: DataFrame) -> DataFrame:
 def twu_items(items: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """``(group, item, twu, rank)``: utility of the transactions holding a label, ranked upwards, ties by label."""
     keys = list(group_cols)
-    tu = transaction_utility(items, keys)
-    weighted = join_same(items, tu, [*keys, "tid"]).groupBy(*keys, "item").agg(F.sum("tu").alias("twu"))
+    arrays = _with_tu(transaction_arrays(items, keys))
+    weighted = arrays.select(*keys, F.explode("items").alias("item"), "tu").groupBy(*keys, "item").agg(F.sum("tu").alias("twu"))
     # The window runs over the label domain, one row per label.
     order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("twu", "item")
     return weighted.withColumn("rank", F.row_number().over(order))

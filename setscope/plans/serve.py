@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import join_same, string_array
-from setscope.operators.baskets import normal_ids, tags_all_of, tracks_ranked_items, tracks_with_items
+from setscope.operators.baskets import normal_ids, tags_all_of, tracks_with_items, with_ranked_items
 
 # Size of a track sample and share bound of the item search.
 SAMPLE_SIZE = 5
@@ -196,19 +196,26 @@ def matching_tracks(
     tag_vals: str | Sequence[str] | None = None,
     items: Sequence[str] = (),
 ) -> DataFrame:
-    """Metadata of the tracks that have all tags and, above the share bound, all items."""
+    """Metadata of the tracks that have all tags and, above the share bound, all items; with items, their share map too."""
     found = normal_ids(meta if tag_vals is None else tags_all_of(meta, tag_name, tag_vals))
     if items:
-        with_items = tracks_with_items(tracks, items, ITEM_SHARE).select("_id")
-        found = found.join(with_items, "_id", "left_semi")
+        found = found.join(tracks_with_items(tracks, items, ITEM_SHARE).select("_id", "items"), "_id")
     return found
 
 
-def search_tracks(meta: DataFrame, tracks: DataFrame, *, seed: str, n: int = SAMPLE_SIZE, **request) -> DataFrame:
-    """A sample of the matching tracks with their labels by falling share. The sample has ``n`` rows, hence the broadcast."""
-    sample = sample_tracks(matching_tracks(meta, tracks, **request), seed=seed, n=n)
-    wanted = tracks.join(F.broadcast(sample.select("_id")), "_id", "left_semi")
-    return sample.join(tracks_ranked_items(wanted), "_id", "left")
+def search_tracks(
+    meta: DataFrame, tracks: DataFrame, *, seed: str, n: int = SAMPLE_SIZE, items: Sequence[str] = (), **request
+) -> DataFrame:
+    """A sample of the matching tracks with their labels by falling share.
+
+    With an item search the shares come along with the match. Without one they are fetched for the sample, ``n`` rows, hence the
+    broadcast.
+    """
+    sample = sample_tracks(matching_tracks(meta, tracks, items=items, **request), seed=seed, n=n)
+    if not items:
+        wanted = tracks.join(F.broadcast(sample.select("_id")), "_id", "left_semi").select("_id", "items")
+        sample = sample.join(wanted, "_id", "left")
+    return with_ranked_items(sample)
 
 
 def _first_ampersand(name: str) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setscope.functions.tables import local_table
+
 # Unit utilities per part type.
 TYPE_UTILITY = {"ECONOMY": 1, "LARGE": 5, "MEDIUM": 3, "PROMO": 2, "SMALL": 1, "STANDARD": 4}
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -107,11 +109,11 @@ def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brand_roll_up(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(BRAND_PARENT.items()), "item string, parent string")
+    return local_table(spark, {"item": list(BRAND_PARENT), "parent": list(BRAND_PARENT.values())})
 
 
 def type_utilities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(TYPE_UTILITY.items()), "item string, eutil bigint")
+    return local_table(spark, {"item": list(TYPE_UTILITY), "eutil": list(TYPE_UTILITY.values())})
 
 
 def type_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
