@@ -145,7 +145,25 @@ def _ordered(spark: SparkSession, sf: str, method: str) -> DataFrame:
     return serve.choose_order(pair_graphs(spark, sf), brand_order(spark), method)
 
 
-@query("order_avsdf")
+# Depth-first placement with an explicit stack. All nodes start on it, smallest degree on top, which also restarts components.
+AVSDF = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+degrees AS (SELECT graph_id, node, COUNT(*) AS degree FROM ends GROUP BY 1, 2),
+near AS (SELECT graph_id, u AS node, v AS neighbour FROM pairs UNION SELECT graph_id, v, u FROM pairs),
+next_nodes AS (
+  SELECT n.graph_id, n.node, LIST(n.neighbour ORDER BY d.degree DESC, n.neighbour DESC) AS pushed
+  FROM near n JOIN degrees d ON n.graph_id = d.graph_id AND n.neighbour = d.node GROUP BY 1, 2),
+walk AS (
+  SELECT graph_id, LIST(node ORDER BY degree DESC, node DESC) AS stack, CAST([] AS VARCHAR[]) AS placed FROM degrees GROUP BY 1
+  UNION ALL
+  SELECT w.graph_id,
+    CASE WHEN LIST_CONTAINS(w.placed, w.stack[-1]) THEN w.stack[:-2] ELSE LIST_CONCAT(w.stack[:-2], x.pushed) END,
+    CASE WHEN LIST_CONTAINS(w.placed, w.stack[-1]) THEN w.placed ELSE LIST_APPEND(w.placed, w.stack[-1]) END
+  FROM walk w JOIN next_nodes x ON w.graph_id = x.graph_id AND x.node = w.stack[-1]),
+done AS (SELECT graph_id, placed FROM walk WHERE LEN(stack) = 0)
+SELECT graph_id, UNNEST(placed) AS node, CAST(UNNEST(RANGE(0, LEN(placed))) AS INTEGER) AS pos FROM done"""
+
+
+@query("order_avsdf", AVSDF)
 def order_avsdf(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(spark, sf, "avsdf")
 
@@ -155,7 +173,37 @@ def order_avsdf_la(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(spark, sf, "avsdf_la")
 
 
-@query("order_bb")
+# One placement per step. Nodes are numbered by (degree, label); near[i + 1] lists the neighbours of node i.
+BAUR_BRANDES = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+degrees AS (SELECT graph_id, node, COUNT(*) AS degree FROM ends GROUP BY 1, 2),
+ranks AS (SELECT graph_id, node, ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY degree, node) - 1 AS i FROM degrees),
+links AS (SELECT graph_id, u, v FROM pairs UNION SELECT graph_id, v, u FROM pairs),
+lists AS (
+  SELECT a.graph_id, a.i, LIST(b.i) AS near FROM links l JOIN ranks a ON l.graph_id = a.graph_id AND l.u = a.node
+    JOIN ranks b ON l.graph_id = b.graph_id AND l.v = b.node GROUP BY 1, 2),
+graphs AS (SELECT graph_id, LIST(near ORDER BY i) AS near, COUNT(*) AS n FROM lists GROUP BY 1),
+walk AS (
+  SELECT graph_id, near, n, [n - 1] AS placed, RANGE(0, n - 1) AS free FROM graphs
+  UNION ALL
+  SELECT graph_id, near, n, CASE WHEN r < l THEN LIST_APPEND(placed, node) ELSE LIST_PREPEND(node, placed) END,
+    LIST_FILTER(free, LAMBDA y: y <> node)
+  FROM (
+    SELECT *,
+      LIST_SUM(LIST_TRANSFORM(RANGE(1, LEN(placed) + 1), LAMBDA k: closing[k] * COALESCE(LIST_SUM(still[:k - 1]), 0))) AS l,
+      LIST_SUM(LIST_TRANSFORM(RANGE(1, LEN(placed) + 1), LAMBDA k: closing[k] * COALESCE(LIST_SUM(still[k + 1:]), 0))) AS r
+    FROM (
+      SELECT *, LIST_TRANSFORM(placed, LAMBDA v: CAST(LIST_CONTAINS(near[v + 1], node) AS INTEGER)) AS closing,
+        LIST_TRANSFORM(placed, LAMBDA v: LEN(LIST_FILTER(near[v + 1], LAMBDA y: y <> node AND LIST_CONTAINS(free, y)))) AS still
+      FROM (
+        SELECT *, LIST_MIN(LIST_TRANSFORM(free, LAMBDA x:
+          LEN(LIST_FILTER(near[x + 1], LAMBDA y: LIST_CONTAINS(free, y))) * 1000 + x)) % 1000 AS node
+        FROM walk WHERE LEN(free) > 0)))),
+done AS (
+  SELECT graph_id, UNNEST(placed) AS i, CAST(UNNEST(RANGE(0, LEN(placed))) AS INTEGER) AS pos FROM walk WHERE LEN(free) = 0)
+SELECT d.graph_id, k.node, d.pos FROM done d JOIN ranks k ON d.graph_id = k.graph_id AND d.i = k.i"""
+
+
+@query("order_bb", BAUR_BRANDES)
 def order_bb(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(spark, sf, "bb")
 
