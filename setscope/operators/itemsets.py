@@ -18,8 +18,9 @@ from setscope.functions.columns import join_same, string_array, subsets
 from setscope.functions.tables import materialise, spread_rows
 
 # A level whose remaining subsets number less than this is finished in one aggregate instead of one job per level.
+# No row may emit more than ENUMERATION_PER_ROW subsets at that.
 ENUMERATION_ROWS = 50_000_000
-ENUMERATION_WIDTH = 14
+ENUMERATION_PER_ROW = 1 << 14
 
 
 def support_floor(n: Column, min_support: float, strict: bool) -> Column:
@@ -85,18 +86,18 @@ def _enumerated(level: DataFrame, keys: Sequence[str], room: int | None) -> Data
     )
 
 
-def _reach(level: DataFrame, room: int | None) -> tuple[int, float, int]:
-    """Rows of a level, subset rows it would emit, and its longest suffix. One small aggregate; zeros for an empty level."""
+def _reach(level: DataFrame, room: int | None) -> tuple[int, float, float]:
+    """Rows of a level, the subset rows it would emit, and the most of one row. One small aggregate."""
     width = F.size("suffix")
     emitted = F.pow(F.lit(2.0), width)
     if room is not None:
         emitted = F.least(emitted, F.pow(width + F.lit(1.0), F.lit(float(room))))
-    rows, total, widest = level.agg(F.count(F.lit(1)), F.sum(emitted), F.max(width)).first()
-    return rows, float(total or 0.0), int(widest or 0)
+    rows, total, largest = level.agg(F.count(F.lit(1)), F.sum(emitted), F.max(emitted)).first()
+    return rows, total or 0.0, largest or 0.0
 
 
-def _enumerable(emitted: float, widest: int, enumeration_rows: int) -> bool:
-    return emitted <= enumeration_rows and widest <= ENUMERATION_WIDTH
+def _enumerable(emitted: float, largest: float, enumeration_rows: int) -> bool:
+    return emitted <= enumeration_rows and largest <= ENUMERATION_PER_ROW
 
 
 def mine_levels(
@@ -108,10 +109,10 @@ def mine_levels(
     depth = 0
     while True:
         room = None if max_len is None else max_len - depth
-        rows, emitted, widest = _reach(level, room)
-        if widest == 0 and found:
+        rows, emitted, largest = _reach(level, room)
+        if rows == 0 and found:
             break
-        if _enumerable(emitted, widest, enumeration_rows):
+        if _enumerable(emitted, largest, enumeration_rows):
             level = spread_rows(level, rows, emitted, *keys, "prefix", "suffix")
             last = _enumerated(level, keys, room).filter(F.col("freq") >= F.col("floor"))
             found.append(last.select(*keys, "n", "itemset", "freq"))
@@ -203,8 +204,8 @@ def count_candidates(
     level = copies
     for k in range(1, depths + 1):
         room = depths - k + 1
-        rows, emitted, widest = _reach(level, room)
-        if _enumerable(emitted, widest, enumeration_rows):
+        rows, emitted, largest = _reach(level, room)
+        if _enumerable(emitted, largest, enumeration_rows):
             level = spread_rows(level, rows, emitted, "prefix", "suffix")
             rest = candidates.filter(F.size("itemset") >= k)
             found.append(
@@ -250,6 +251,7 @@ def frequent_itemsets_son(
     whole = totals.groupBy("suffix", "n").agg(F.sum("mult").alias("mult"))
     level = _first_level(whole, support_floor(F.col("n"), min_support, strict=True))
     if candidates.isEmpty():
-        return _shares(candidates.select("itemset", F.lit(0).cast("bigint").alias("freq"), F.lit(n).cast("bigint").alias("n")), ())
+        zero, size = F.lit(0).cast("bigint"), F.lit(n).cast("bigint")
+        return _shares(candidates.select("itemset", zero.alias("freq"), size.alias("n")), ())
     counted = count_candidates(level, candidates, enumeration_rows=enumeration_rows)
     return _shares(counted.filter(F.col("freq") >= F.col("floor")), ())

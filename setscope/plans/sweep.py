@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setscope.functions.tables import materialise
@@ -43,3 +43,16 @@ def order_sweep(edges: DataFrame, default: DataFrame, *, sizes: list[int], seed:
     counted = crossings_total(placed).join(labels, "graph_id")
     wide = counted.groupBy("source", "n").pivot("method", ways).agg(F.first("crossings"))
     return wide.withColumnsRenamed({w: f"cross_{w}" for w in ways})
+
+
+RECORDS = "source string, n int, " + ", ".join(f"cross_{w} bigint" for w in ["default", *METHODS])
+
+
+def write_records(records: DataFrame, path: str, fmt: str = "json") -> None:
+    """Sweep records as JSON lines, CSV with a header, or parquet."""
+    columns = [F.col(name).cast(kind).alias(name) for name, kind in (field.split() for field in RECORDS.split(", "))]
+    records.select(*columns).write.format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
+
+
+def read_records(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    return spark.read.schema(RECORDS).format(fmt).options(**({"header": True} if fmt == "csv" else {})).load(path)

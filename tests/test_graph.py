@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from setscope.functions.labels import order_frame
 from setscope.functions.range_counts import weight_below
+from setscope.functions.tables import new_path
 from setscope.operators import cluster as C
 from setscope.operators import graph as G
 from setscope.operators import ordering as O
@@ -190,6 +191,11 @@ def test_sweep_keeps_every_sample(spark):
     assert {r.n for r in got} == {5, 21}
     for r in got:
         assert r.cross_avsdf_la <= r.cross_avsdf and r.cross_bb_la <= r.cross_bb
+    for fmt in ("json", "csv", "parquet"):
+        path = new_path(spark, "sweep")
+        sweep.write_records(spark.createDataFrame(got), path, fmt)
+        back = sweep.read_records(spark, path, fmt).select(*got[0].asDict()).collect()
+        assert sorted(map(tuple, back)) == sorted(map(tuple, got))
     # A rerun draws the same samples.
     again = sweep.order_sweep(data.repartition(5), order_frame(spark, nodes), sizes=[5, 21, 50], seed="x").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))

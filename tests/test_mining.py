@@ -126,3 +126,29 @@ def test_high_utility_equals_brute_force(spark, rows, share):
     ).collect()
     assert {tuple(r.itemset): r.utility for r in got} == want
     assert all(r.value == r.utility / total for r in got)
+
+
+@pytest.mark.parametrize("rows", [0, 50_000_000])
+def test_partition_count_does_not_matter(spark, rows):
+    one = I.frequent_itemsets_levelwise(frame(spark).repartition(1), min_support=0.2, enumeration_rows=rows)
+    many = I.frequent_itemsets_levelwise(frame(spark).repartition(9), min_support=0.2, enumeration_rows=rows)
+    assert sorted(map(tuple, ((tuple(r.itemset), r.freq) for r in one.collect()))) == sorted(
+        map(tuple, ((tuple(r.itemset), r.freq) for r in many.collect()))
+    )
+
+
+def test_wide_baskets_are_mined_level_by_level(spark):
+    # 30 labels in one basket: 2**30 subsets, of which only those of the shared core are frequent.
+    core = ["a", "b", "c"]
+    rows = [(i, core + [f"x{i}_{j:02d}" for j in range(27)]) for i in range(6)] + [(9, [])]
+    data = spark.createDataFrame(rows, "_id long, items array<string>")
+    want = {s: 6 for k in (1, 2, 3) for s in combinations(core, k)}
+    assert as_dict(I.frequent_itemsets_levelwise(data, min_support=0.5)) == want
+    assert as_dict(I.frequent_itemsets_son(data, min_support=0.5, chunks=1)) == want
+    price = spark.createDataFrame([(x, 1) for x in core] + [(f"x{i}_{j:02d}", 1) for i in range(6) for j in range(27)], "item string, eutil long")
+    long = data.select(F.col("_id").alias("tid"), F.explode("items").alias("item"), F.lit(1).cast("bigint").alias("qty"))
+    got = U.high_utility_itemsets(long.filter(F.col("item").isin(*core) | F.col("item").endswith("_00")), price, min_util=12, as_share=False)
+    assert {tuple(r.itemset): r.utility for r in got.collect()} == {s: 6 * len(s) for k in (2, 3) for s in combinations(core, k)}
+    repeated = spark.createDataFrame([(1, "a", 2), (1, "a", 3), (1, "b", 1)], "tid long, item string, qty long")
+    got = U.high_utility_itemsets(repeated, price, min_util=1, as_share=False).collect()
+    assert {tuple(r.itemset): r.utility for r in got} == {("a",): 5, ("b",): 1, ("a", "b"): 6}
