@@ -10,9 +10,13 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from setscope.functions.columns import join_same
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -51,6 +55,14 @@ def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(_slots(df.sparkSession), *keys)
 
 
+def bounded_groups(df: DataFrame, keys: Sequence[str], most: int, what: str) -> DataFrame:
+    """``df`` unchanged, but failing before any group of more than ``most`` rows is gathered. Counting is a partial aggregate."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    checked = join_same(df, counts, keys)
+    message = F.concat(F.lit(f"{what}: more than {most} rows in one group: "), F.col("_rows").cast("string"))
+    return checked.filter(F.assert_true(F.col("_rows") <= most, message).isNull()).drop("_rows")
+
+
 def _slots(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import join_same
-from setscope.functions.tables import spread_groups
+from setscope.functions.tables import bounded_groups, spread_groups
 
 # Kernels travel to the workers by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -131,6 +131,7 @@ def _ward(rows: DataFrame, keys: Sequence[str], point: Sequence[str], features:
         return pdf[out].assign(cluster=labels)
 
     schema = ", ".join(f"{c} {fields[c]}" for c in out) + ", cluster int"
+    counted = bounded_groups(counted, group, MAX_POINTS, "Ward clustering, use KMeans instead")
     return spread_groups(counted, *group).groupBy(*group).applyInPandas(one_group, schema).select(*keys, *point, "cluster")
 
 

@@ -2,7 +2,7 @@
 
 The heuristics place one node after another, so a graph is ordered inside one task and Spark spreads the graphs. Parallel edges
 are summed before the graph is gathered: the task receives at most one row per node pair, however many edges the graph has. A graph
-with more nodes than ``MAX_NODES`` is refused with an error rather than cut.
+with more nodes than ``MAX_NODES`` is refused with an error rather than cut, before its rows are gathered when they are that many.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setscope.functions.tables import spread_groups
+from setscope.functions.tables import bounded_groups, spread_groups
 
 # Kernels travel to the workers by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,6 +31,12 @@ def weighted_pairs(edges: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("w"))
 
 
+def _graphs(edges: DataFrame) -> DataFrame:
+    """Distinct pairs, each graph in one partition, all graphs small enough to be gathered."""
+    pairs = bounded_groups(weighted_pairs(edges, ["graph_id"]), ["graph_id"], MAX_NODES * (MAX_NODES + 1) // 2, "graph too large")
+    return spread_groups(pairs, "graph_id")
+
+
 def weight_matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted node labels and the symmetric matrix of edge counts."""
     nodes = np.unique(np.concatenate([pdf["a"].to_numpy(object), pdf["b"].to_numpy(object)]))
@@ -162,8 +168,7 @@ def order_graphs_by(edges: DataFrame, methods: Sequence[str] = METHODS) -> DataF
         out.insert(0, "graph_id", pdf["graph_id"].iloc[0])
         return out
 
-    pairs = spread_groups(weighted_pairs(edges, ["graph_id"]), "graph_id")
-    return pairs.groupBy("graph_id").applyInPandas(one_graph, "graph_id string, method string, node string, pos int")
+    return _graphs(edges).groupBy("graph_id").applyInPandas(one_graph, "graph_id string, method string, node string, pos int")
 
 
 def order_graphs(edges: DataFrame, *, method: str) -> DataFrame:
@@ -178,7 +183,7 @@ def swap_gain(edges: DataFrame, order: DataFrame) -> DataFrame:
     """
     at = order.select(F.col("node").alias("a"), F.col("pos").alias("pos_a"))
     bt = order.select(F.col("node").alias("b"), F.col("pos").alias("pos_b"))
-    pairs = weighted_pairs(edges, ["graph_id"]).join(at, "a").join(bt, "b")
+    pairs = _graphs(edges).join(at, "a").join(bt, "b")
 
     def one_graph(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, matrix = weight_matrix(pdf)
@@ -196,4 +201,4 @@ def swap_gain(edges: DataFrame, order: DataFrame) -> DataFrame:
         return out
 
     schema = "graph_id string, node string, neighbour string, old_crossings bigint, new_crossings bigint"
-    return spread_groups(pairs, "graph_id").groupBy("graph_id").applyInPandas(one_graph, schema)
+    return pairs.groupBy("graph_id").applyInPandas(one_graph, schema)

@@ -94,9 +94,9 @@ def basket_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sequence_shape",
-    """SELECT CAST(user_id AS VARCHAR) || '/' || STRFTIME(ts, '%Y-%m-%d') AS _id,
+    """SELECT CAST(user_id AS VARCHAR) || '/' || STRFTIME(ts, '%Y-%m-%d') || '/' || CAST(event_id // 65536 AS VARCHAR) AS _id,
       STRING_AGG(event_type, '>' ORDER BY ts, event_id) AS sequence, CAST(COUNT(*) AS INTEGER) AS k
-    FROM events GROUP BY user_id, STRFTIME(ts, '%Y-%m-%d')""",
+    FROM events GROUP BY user_id, STRFTIME(ts, '%Y-%m-%d'), event_id // 65536""",
 )
 def sequence_shape(spark: SparkSession, sf: str) -> DataFrame:
     shaped = B.sequence_shape(D.event_sequences(spark, sf))
@@ -217,9 +217,10 @@ def frequent_itemsets_son(spark: SparkSession, sf: str) -> DataFrame:
     return _text(I.frequent_itemsets_son(type_baskets(spark, sf), min_support=0.05, chunks=4))
 
 
-SEQUENCES = """WITH e AS (
-  SELECT CAST(user_id AS VARCHAR) || '/' || STRFTIME(ts, '%Y-%m-%d') AS id, event_type AS label,
-    ROW_NUMBER() OVER (PARTITION BY user_id, STRFTIME(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS pos FROM events),
+# {part} is part of the key, or empty for whole days.
+SEQUENCES_SQL = """WITH e AS (
+  SELECT CONCAT_WS('/', user_id, STRFTIME(ts, '%Y-%m-%d'){part}) AS id, event_type AS label,
+    ROW_NUMBER() OVER (PARTITION BY user_id, STRFTIME(ts, '%Y-%m-%d'){part} ORDER BY ts, event_id) AS pos FROM events),
 n AS (SELECT COUNT(DISTINCT id) AS n FROM e),
 found AS (
   SELECT label AS sequence, CAST(1 AS INTEGER) AS k, COUNT(DISTINCT id) AS freq FROM e GROUP BY 1
@@ -232,14 +233,14 @@ SELECT sequence, k, freq, CAST(freq AS DOUBLE) / CAST(n AS DOUBLE) AS value, n F
 WHERE freq >= CEIL(CAST(0.02 AS DOUBLE) * n)"""
 
 
-@query("frequent_sequences", SEQUENCES)
+@query("frequent_sequences", SEQUENCES_SQL.format(part=", event_id // 65536"))
 def frequent_sequences(spark: SparkSession, sf: str) -> DataFrame:
     shaped = B.sequence_shape(D.event_sequences(spark, sf))
     found = S.frequent_sequences(shaped, min_support=0.02, max_pattern_length=3)
     return found.withColumn("sequence", F.array_join(F.flatten("sequence"), ">"))
 
 
-@query("frequent_sequences_long", SEQUENCES)
+@query("frequent_sequences_long", SEQUENCES_SQL.format(part=""))
 def frequent_sequences_long(spark: SparkSession, sf: str) -> DataFrame:
     events = D.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     found = S.frequent_sequences_long(

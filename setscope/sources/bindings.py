@@ -13,6 +13,7 @@ from setscope.functions.tables import local_table
 
 # Unit utilities per part type.
 TYPE_UTILITY = {"ECONOMY": 1, "LARGE": 5, "MEDIUM": 3, "PROMO": 2, "SMALL": 1, "STANDARD": 4}
+SEQUENCE_BITS = 16
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
 TAGS = PRIORITIES + SEGMENTS
@@ -98,13 +99,27 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sequence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(user_id, day, part, ts, event_id, label)``: events with the key of their sequence.
+
+    A part is a run of 65,536 event ids, so no sequence of a user and day is longer than that, whoever the user is.
+    """
+    return table(spark, sf_dir, "events").select(
+        "user_id",
+        F.to_date("ts").alias("day"),
+        F.shiftright("event_id", SEQUENCE_BITS).alias("part"),
+        "ts",
+        "event_id",
+        F.col("event_type").alias("label"),
+    )
+
+
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(_id, seq array<struct<label>>)``: the events of a user and day by time."""
-    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", F.col("event_type").alias("label"))))
-    per_day = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(ordered.alias("e"))
-    return per_day.select(
-        F.concat_ws("/", "user_id", "day").alias("_id"), F.transform("e", lambda x: F.struct(x["label"].alias("label"))).alias("seq")
+    """``(_id, seq array<struct<label>>)``: the events of a user, day and part by time."""
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "label"))).alias("e")
+    per_part = sequence_events(spark, sf_dir).groupBy("user_id", "day", "part").agg(ordered)
+    return per_part.select(
+        F.concat_ws("/", "user_id", "day", "part").alias("_id"), F.transform("e", lambda x: F.struct(x["label"].alias("label"))).alias("seq")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from setscope.functions.labels import order_frame
 from setscope.functions.range_counts import weight_below
-from setscope.functions.tables import new_path
+from setscope.functions.tables import bounded_groups, new_path
 from setscope.operators import cluster as C
 from setscope.operators import graph as G
 from setscope.operators import ordering as O
@@ -199,3 +199,10 @@ def test_sweep_keeps_every_sample(spark):
     # A rerun draws the same samples.
     again = sweep.order_sweep(data.repartition(5), order_frame(spark, nodes), sizes=[5, 21, 50], seed="x").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_oversized_groups_fail_before_they_are_gathered(spark):
+    data = spark.range(20).select(F.when(F.col("id") < 15, "big").otherwise("small").alias("g"), "id")
+    assert bounded_groups(data, ["g"], 15, "too large").count() == 20
+    with pytest.raises(Exception, match="too large"):
+        bounded_groups(data, ["g"], 14, "too large").collect()
