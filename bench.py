@@ -58,6 +58,8 @@ def main() -> None:
     utilities = D.type_utilities(spark)
     sequences = materialise(sequence_shape(D.event_sequences(spark, SF_DIR)), "bench-sequences")
     baskets.groupBy(F.size("items")).count().collect()
+    # Python workers are started before the clock, too.
+    spark.range(int(CPUS), numPartitions=int(CPUS)).mapInPandas(lambda frames: frames, "id bigint").collect()
 
     for support in SUPPORTS:
         timed(f"fpgrowth_{support}", lambda: I.frequent_itemsets(baskets, min_support=support))

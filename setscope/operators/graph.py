@@ -143,8 +143,9 @@ def crossings_per_node(placed: DataFrame) -> DataFrame:
 def bootstrap_edges(edges: DataFrame, sizes: list[int], *, seed: str, skip_larger: bool = True) -> DataFrame:
     """``(graph_id, n, draw, edge_id, u, v)``: ``n`` edges drawn with replacement from each graph, for each size.
 
-    With ``skip_larger`` a size is drawn only when the graph has at least ``size - 1`` edges. The drawn index is a hash of seed, graph, size and draw modulo the number of edges, so a rerun draws the same. Indexes come
-    from a window over the edges of a graph, at most one per node pair after ``distinct``.
+    With ``skip_larger`` a size is drawn only when the graph has at least ``size - 1`` edges. The drawn index is a hash of seed, graph,
+    size and draw modulo the number of edges, so a rerun draws the same. Indexes come from a window over the edges of a graph, at most
+    one per node pair after ``distinct``.
     """
     known = edges.select("graph_id", "edge_id", "u", "v").distinct()
     at = F.row_number().over(Window.partitionBy("graph_id").orderBy("edge_id")) - 1

@@ -138,10 +138,11 @@ def high_utility_itemsets(
 ) -> DataFrame:
     """``(group, itemset, k, utility, value)`` of itemsets whose utility reaches the threshold.
 
-    The threshold is a share of the group's total utility or an absolute utility; ``value`` is of the same kind. A level holds ``(prefix, utility of the prefix, remaining labels and utilities)``. Three exact
-    bounds prune it: an itemset is emitted when its utility reaches the threshold; a prefix is widened when utility plus
-    remaining utility does; a label stays in the rest of a prefix while the utility of the rows holding both does. The last is at
-    most the pair bound of the two labels, so it prunes at least as much.
+    The threshold is a share of the group's total utility or an absolute utility; ``value`` is of the same kind. A level holds
+    ``(prefix, utility of the prefix, remaining labels and utilities)``. Three exact bounds prune it: an itemset is emitted when its
+    utility reaches the threshold; a prefix is widened when utility plus remaining utility does; a label stays in the rest of a prefix
+    while the utility of the rows holding both does. The last is at most the pair bound of the two labels (``eucs_pairs``), so it prunes
+    at least as much.
     """
     items = item_utilities(transactions, utilities, group_cols, unique=unique)
     return mine_arrays(

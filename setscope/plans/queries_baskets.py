@@ -103,6 +103,22 @@ def sequence_shape(spark: SparkSession, sf: str) -> DataFrame:
     return shaped.withColumn("k", F.size("sequence")).withColumn("sequence", F.array_join(F.flatten("sequence"), ">"))
 
 
+EVENT_KIND = {"click": "act", "purchase": "act", "signup": "act", "view": "look"}
+
+
+@query(
+    "sequence_rollup",
+    """SELECT CAST(user_id AS VARCHAR) || '/' || STRFTIME(ts, '%Y-%m-%d') || '/' || CAST(event_id // 65536 AS VARCHAR) AS _id,
+      COALESCE(STRING_AGG(CASE event_type WHEN 'view' THEN 'look' WHEN 'error' THEN NULL ELSE 'act' END, '>' ORDER BY ts, event_id), '')
+        AS sequence
+    FROM events GROUP BY user_id, STRFTIME(ts, '%Y-%m-%d'), event_id // 65536""",
+)
+def sequence_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    # Errors have no parent, so they leave the sequence.
+    rolled = B.sequence_rollup(B.sequence_shape(D.event_sequences(spark, sf)), EVENT_KIND)
+    return rolled.withColumn("sequence", F.array_join(F.flatten("sequence"), ">"))
+
+
 @query(
     "tag_filter",
     f"""WITH {Q.META} SELECT _id, name FROM meta WHERE g1 = 'household' OR g2 = 'household'""",

@@ -189,7 +189,8 @@ def parallel_control_points(spark: SparkSession, sf: str) -> DataFrame:
     one AS (SELECT DISTINCT tag, labels, value, MIN(src) AS start FROM segments GROUP BY ALL),
     top AS (SELECT tag, MAX(value) AS top FROM one GROUP BY tag)
     SELECT o.tag, o.labels, o.value, {r("POW(o.value, 1.5) * 50", "width")}, {r("POW(o.value / t.top, 2)", "opacity")},
-      {r("o.value / CAST(0.2 AS DOUBLE)", "hue")}, CASE WHEN o.tag IS NOT NULL THEN CAST(l.ix AS INTEGER) END AS tag_index, {r("CAST(o.start AS DOUBLE) / 24", "path_start")}
+      {r("o.value / CAST(0.2 AS DOUBLE)", "hue")}, CASE WHEN o.tag IS NOT NULL THEN CAST(l.ix AS INTEGER) END AS tag_index,
+      {r("CAST(o.start AS DOUBLE) / 24", "path_start")}
     FROM one o JOIN top t ON o.tag IS NOT DISTINCT FROM t.tag LEFT JOIN taglist l ON o.tag = l.tag""",
 )
 def link_style(spark: SparkSession, sf: str) -> DataFrame:
