@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setscope.llm import decontaminate, licenses, pieces, secrets
+from setscope.llm import decontaminate, licenses, pieces, secrets, simhash
 from setscope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_decontamination"] = decontaminate.ORACLE
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.near_duplicate_classes(read(spark, sf_dir, "documents"), width=3, distance=3)
+    return classes.select("doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
