@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setscope.llm import decontaminate, licenses, pieces, secrets, simhash
+from setscope.functions.tables import materialise
+from setscope.llm import decontaminate, licenses, pieces, secrets, simhash, topk, warc
 from setscope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,17 @@ ORACLES["op10_decontamination"] = decontaminate.ORACLE
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicate_classes(read(spark, sf_dir, "documents"), width=3, distance=3)
     return classes.select("doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = materialise(topk.whole_vectors(read(spark, sf_dir, "embeddings")), "top-k-vectors")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+ORACLES["op3_exact_top_k"] = topk.ORACLE
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages")).drop("url")
