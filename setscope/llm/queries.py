@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from setscope.functions.tables import materialise
-from setscope.llm import decontaminate, licenses, pieces, secrets, simhash, topk, warc
+from setscope.llm import decontaminate, hmm, licenses, pieces, secrets, simhash, topk, warc
 from setscope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ ORACLES["op3_exact_top_k"] = topk.ORACLE
 @query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages")).drop("url")
+
+
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(read(spark, sf_dir, "documents"))
