@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from setscope.functions.tables import materialise
-from setscope.llm import decontaminate, hmm, licenses, pieces, quality, secrets, simhash, topk, warc
+from setscope.llm import decontaminate, hmm, licenses, pieces, quality, secrets, simhash, suffixes, topk, warc
 from setscope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels"))).select("doc_id", "p_good", "p_toxic", "accepted")
+
+
+@query
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(read(spark, sf_dir, "documents")).drop("text_hash")
