@@ -5,8 +5,8 @@ most: two segments for three bits. Each segment is indexed as it is and with eac
 bucket's members are compared bit by bit. A key with a bit left out only links fingerprints that differ in that bit, since all others
 meet in the plain key.
 
-Copies share a fingerprint and are one node from the start. A bucket gives a tree for each connected group of its members, never all
-pairs. Segment values with very many members (a family of near-copies) are indexed again by the rest of their bits until buckets are
+Copies share a fingerprint and are one node from the start. A bucket gives a tree for each connected group of its members, or, if it
+has a handful of them, their links. Segment values with very many members (a family of near-copies) are indexed again by the rest of their bits until buckets are
 small, so no bucket grows with the input and none is cut short.
 
 Words are split at ASCII white space and A-Z lower-cased. Fewer words than a shingle are one shingle; no words, null texts among them,
@@ -16,8 +16,10 @@ repeated results.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from setscope.llm.components import components
 BITS, SEED = 64, 42
 #: Members of a bucket that are compared in one task at most.
 BUCKET = 4096
+#: Buckets of so many members give all their links, larger ones a tree.
+SMALL = 16
 #: Fingerprints of shingles summed at once: bounds the memory of very long texts.
 CHUNK = 1 << 15
 
@@ -55,11 +59,16 @@ def _joined(words: list[bytes], width: int) -> tuple[Iterator[bytes], int]:
     return map(b" ".join, zip(*[words[i:] for i in range(width)])), len(words) - width + 1
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """SimHash of a text's shingles, as a signed number: a bit is set if it is in over half the hashes."""
+def fingerprint(text: str | None, width: int, most: int = 0) -> int:
+    """SimHash of a text's shingles, as a signed number: a bit is set if it is in over half the hashes.
+
+    With ``most``, a shingle counts so many times at most: frequent words then say less, and texts of one language come apart."""
     shingles, n = _joined((text or "").encode().lower().split(), width)
     if not n:
         return 0
+    if most:
+        times = {s: min(most, c) for s, c in Counter(shingles).items()}
+        shingles, n = chain.from_iterable(map(repeat, times, times.values())), sum(times.values())
     counts = _counts(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), n)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
@@ -83,14 +92,14 @@ def sketch(text: str | None, width: int) -> tuple[int, int]:
     return int(low), int(high)
 
 
-def fingerprints(docs: DataFrame, width: int, sketch_width: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int, sketch_width: int = 0, most: int = 0) -> DataFrame:
     """``(doc_id, fp, s0, s1)``; the sketches are zero without a ``sketch_width``."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", "s0", "s1")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() for t in b["text"]]
-            fps = pa.array([fingerprint(t, width) for t in texts], pa.int64())
+            fps = pa.array([fingerprint(t, width, most) for t in texts], pa.int64())
             both = [sketch(t, sketch_width) if sketch_width else (0, 0) for t in texts]
             yield pa.RecordBatch.from_arrays([b["doc_id"], fps, *[pa.array([s[i] for s in both], pa.int64()) for i in (0, 1)]], schema=schema)
 
@@ -171,17 +180,22 @@ def _bucket_trees(keyed: DataFrame, distance: int, mismatches: int) -> DataFrame
         def linked(rows: dict[str, np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
             starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
             sizes, out = ends - starts, []
-            # Most buckets hold one or two members; pairs are compared all at once.
-            two = starts[sizes == 2]
-            apart = rows["fp"][two] ^ rows["fp"][two + 1]
-            near = (np.bitwise_count(apart) <= distance) & ((apart & rows["must"][two]) == rows["must"][two])
-            if mismatches < 128:
-                near &= sum(np.bitwise_count(rows[s][two] ^ rows[s][two + 1]).astype(int) for s in ("s0", "s1")) <= mismatches
-            two = two[near]
-            for a, z in zip(starts[sizes > 2], ends[sizes > 2]):
+            # Most buckets are small: their pairs are compared all at once, by how far apart they stand.
+            small, at, pairs = np.repeat(sizes <= SMALL, sizes), np.arange(ends[-1]), []
+            last = np.repeat(ends, sizes)
+            for step in range(1, SMALL):
+                one = at[small & (at + step < last)]
+                if not len(one):
+                    break
+                apart = rows["fp"][one] ^ rows["fp"][one + step]
+                one = one[(np.bitwise_count(apart) <= distance) & ((apart & rows["must"][one]) == rows["must"][one])]
+                if mismatches < 128:
+                    one = one[sum(np.bitwise_count(rows[s][one] ^ rows[s][one + step]).astype(int) for s in ("s0", "s1")) <= mismatches]
+                pairs.append(np.stack([rows["node"][one], rows["node"][one + step]], axis=1).view(np.int64))
+            for a, z in zip(starts[sizes > SMALL], ends[sizes > SMALL], strict=True):
                 out.extend(bucket_links({c: v[a:z] for c, v in rows.items()}, distance, mismatches))
-            more = np.array(out, dtype=np.int64).reshape(-1, 2)
-            return _frame(a=np.concatenate([rows["node"][two].view(np.int64), more[:, 0]]), b=np.concatenate([rows["node"][two + 1].view(np.int64), more[:, 1]]))
+            found = np.concatenate([np.array(out, dtype=np.int64).reshape(-1, 2), *pairs])
+            return _frame(a=found[:, 0], b=found[:, 1])
 
         for b in batches:
             rows = {c: b[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in b.schema.names}
@@ -223,10 +237,10 @@ def near_links(nodes: DataFrame, distance: int = 3, mismatches: int = 128, bucke
 
 
 def near_duplicate_classes(
-    docs: DataFrame, width: int = 3, distance: int = 3, sketch_width: int = 0, mismatches: int = 128, bucket: int = BUCKET
+    docs: DataFrame, width: int = 3, distance: int = 3, sketch_width: int = 0, mismatches: int = 128, most: int = 0, bucket: int = BUCKET
 ) -> DataFrame:
     """``(doc_id, fp, component_id)`` per document; the class id is the smallest id reachable over links."""
-    prints = materialise(fingerprints(docs, width, sketch_width), "simhash-prints")
+    prints = materialise(fingerprints(docs, width, sketch_width, most), "simhash-prints")
     node = F.xxhash64("fp", "s0", "s1") if sketch_width else F.col("fp")
     prints = prints.withColumn("node", node)
     nodes = materialise(prints.groupBy("node", "fp", "s0", "s1").agg(F.min("doc_id").alias("least")), "simhash-nodes")
