@@ -1,7 +1,8 @@
 """Repeated passages by a sparse suffix array.
 
 Of every run of words as long as a passage must be, the start of its least k-word piece is retained, so equal passages retain equal
-suffixes. Suffixes whose k words occur in one document only are left out. The others are sorted as far as a passage can reach to the
+suffixes. A passage reaches half its length to the right of such a place, or half to the left; places where neither half occurs in
+another document are left out, which leaves little but repeated text. The suffixes are sorted as far as a passage can reach to the
 right, and, for a second order, as far as it can reach to the left; each is compared with its neighbours of other documents, and a
 match is extended word by word to the right and to the left. If it is long enough in all, the words are a repeated passage of both.
 Every suffix's longest match to the right is a neighbour in the first order and to the left in the second, so a passage is found whole
@@ -9,7 +10,8 @@ unless each of its two longest partial matches lies elsewhere and both together
 
 Suffixes with equal surroundings are one row, with the smallest and the largest of their documents: copies and passages that many
 documents share cost one row however many they are. Sorting is by ranges of the surroundings themselves, so a frequent opening is
-split between tasks; what stands at the edges of the ranges is compared once more in a small last step.
+split between tasks; what stands at the edges of the ranges is compared once more in a small last step. Suffixes that open alike stand
+together in the first order, so the second is made on the spot; where they are too many for that, or at an edge, they are sorted again.
 
 Words are split at ASCII white space and compared exactly. Passages repeat across documents: those within one document, and rows that
 share an id, do not count. Rows without an id and null texts take no part, nor do texts shorter than a passage. Other columns are not
@@ -31,45 +33,80 @@ from setscope.functions.tables import materialise, new_path
 from setscope.llm.common import fields, partitions
 
 PASSAGE, PIECE = 50, 8
+#: Rows that are broadcast at most, where they are counted before; more are joined by a shuffle.
+BROADCAST_KEYS, BROADCAST_PLACES = 1_000_000, 2_000_000
+#: Suffixes that open alike and are put into the second order within a task.
+OPENING = 2048
 KEY = ["doc_id", "text_hash"]
 
 
-def retained(words: list[bytes], passage: int, piece: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places retained in a text, and hashes of the pieces there: the leftmost least piece of every run of ``passage`` words."""
+def retained(words: list[bytes], passage: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places retained in a text, where the leftmost least piece of every run of ``passage`` words starts, with hashes of the half
+    passages to the right of it and to the left, the piece included in both; zero where the text is too short for the half."""
+    none = np.empty(0, np.int64)
     if len(words) < passage:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none, none, none
     word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     n = len(words) - piece + 1
     hashed = np.zeros(n, dtype=np.uint64)
     for j in range(piece):
         hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + word[j : j + n]
-    hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    hashed ^= hashed >> np.uint64(29)
-    runs = np.lib.stride_tricks.sliding_window_view(hashed, passage - piece + 1)
+    runs = np.lib.stride_tricks.sliding_window_view(_mixed(hashed), passage - piece + 1)
     at = np.unique(np.arange(len(runs)) + runs.argmin(axis=1))
-    return at, hashed[at]
+    return at, *[_half(word, at + shift, passage // 2).view(np.int64) for shift in (0, piece - passage // 2)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def _half(word: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    there = (first >= 0) & (first + size <= len(word))
+    out = np.zeros(len(first), dtype=np.uint64)
+    for j in range(size):
+        out[there] = out[there] * np.uint64(0x9E3779B97F4A7C15) + word[first[there] + j]
+    out[there] = _mixed(out[there]) | np.uint64(1)
+    return out
 
 
 def suffix_starts(docs: DataFrame, passage: int, piece: int) -> DataFrame:
-    """``(doc_id, text_hash, at, piece)`` of the retained places."""
-    schema = pa.schema([(c, pa.int64()) for c in (*KEY, "at", "piece")])
+    """``(doc_id, text_hash, at, right_half, left_half)`` of the retained places."""
+    names = [*KEY, "at", "right_half", "left_half"]
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [retained(t.as_py().encode().split(), passage, piece) for t in b["text"]]
-            sizes = np.array([len(at) for at, _ in found], dtype=np.int64)
+            sizes = np.array([len(x[0]) for x in found], dtype=np.int64)
             keys = [np.repeat(b[c].to_numpy(zero_copy_only=False), sizes) for c in KEY]
-            more = [np.concatenate([x[i] for x in found] or [np.empty(0, np.int64)]).view(np.int64) for i in (0, 1)]
+            more = [np.concatenate([x[i] for x in found] or [np.empty(0, np.int64)]) for i in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys, *more)], schema=schema)
 
-    return docs.select(*KEY, "text").mapInArrow(run, "doc_id bigint, text_hash bigint, at bigint, piece bigint")
+    return docs.select(*KEY, "text").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+
+
+def counted_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
+    return F.broadcast(df) if rows <= most else df
+
+
+def shared_starts(starts: DataFrame) -> DataFrame:
+    """The places with a half that stands in another document, too."""
+    kept = starts
+    for half in ("right_half", "left_half"):
+        found = starts.filter(F.col(half) != 0).groupBy(half).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        found = materialise(found.filter("low <> high").select(half, F.lit(True).alias(f"{half}_shared")), f"suffix-{half}")
+        kept = kept.join(counted_broadcast(found, found.count(), BROADCAST_KEYS), half, "left")
+    return kept.filter("right_half_shared or left_half_shared").select(*KEY, "at").distinct()
 
 
 def surroundings(docs: DataFrame, starts: DataFrame, passage: int, piece: int) -> DataFrame:
     """``(doc_id, text_hash, at, right, left, ctx)``: words from a place on, and words before it from the nearest to the farthest."""
     reach = passage - piece
     schema = pa.schema([*[(c, pa.int64()) for c in (*KEY, "at")], ("right", pa.string()), ("left", pa.string())])
-    rows = docs.join(starts.groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("places")), KEY)
+    starts = materialise(starts.groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("places")), "suffix-places")
+    places = starts.agg(F.sum(F.size("places"))).first()[0] or 0
+    rows = docs.join(counted_broadcast(starts, places, BROADCAST_PLACES), KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,6 +154,7 @@ NEIGHBOURS = pa.schema(
     + [(c, pa.int64()) for c in ("low", "high")]
     + [(c, pa.int32()) for c in ("l", "r", "part", "seq")]
 )
+COLUMNS = ["a", "b", "right", "left", "low", "high"]
 NEIGHBOURS_SQL = "a bigint, b bigint, right string, left string, low bigint, high bigint, l int, r int, part int, seq int"
 
 
@@ -163,29 +201,87 @@ class Neighbours:
         return [*first, *[t for t in tail if t not in first]]
 
 
-def neighbour_matches(rows: DataFrame, passage: int, order: list[str]) -> DataFrame:
+class Openings:
+    """Gathers suffixes that open alike and compares them in the second order; too many of them, and the first and the last of a
+    range, which may go on in another, are handed over."""
+
+    def __init__(self, passage: int, piece: int):
+        self.passage, self.piece, self.out, self.first = passage, piece, [], True
+        self.rows: list[_Row] = []
+        self.opening: list[str] | None = None
+        self.many = False
+
+    def add(self, row: _Row) -> None:
+        opening = row.right[: self.piece]
+        if self.opening is not None and self.opening != opening:
+            self.close(self.first)
+            self.first = False
+        self.opening = opening
+        self.rows.append(row)
+        if len(self.rows) > OPENING or self.many:
+            self.many = True
+            self._hand_over()
+
+    def close(self, hand_over: bool) -> None:
+        if hand_over or self.many:
+            self._hand_over()
+        elif len(self.rows) > 2:
+            walker = Neighbours(self.passage)
+            for r in sorted(self.rows, key=lambda r: (r.left, r.right)):
+                walker.add(r)
+            self.out.extend(walker.out)
+        self.rows, self.many = [], False
+
+    def _hand_over(self) -> None:
+        self.out.extend((*r.values, None, None, None, None) for r in self.rows)
+        self.rows = []
+
+
+def neighbour_matches(rows: DataFrame, passage: int, piece: int) -> DataFrame:
     """``(a, b, low, high, l, r)``: for surroundings ``a, b``, documents that share at least a passage, and how far it goes."""
-    columns = ["a", "b", "right", "left", "low", "high"]
+    found = _in_order(rows, passage, piece, ["right", "left"])
+    rest = found.filter("seq is null and right is not null").select(*COLUMNS)
+    again = _in_order(rest, passage, 0, ["left", "right"])
+    return _matches(found, passage).unionByName(_matches(again, passage))
+
+
+def _in_order(rows: DataFrame, passage: int, piece: int, order: list[str]) -> DataFrame:
+    """NEIGHBOURS of the sorted rows: matches, edges of the ranges and, with a piece, rows for the second order."""
     spread = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
 
-    def walk(edges: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walker, openings = Neighbours(passage), Openings(passage, piece)
+        for b in batches:
+            for values in zip(*[b[c].to_pylist() for c in COLUMNS], strict=True):
+                row = _Row(values)
+                walker.add(row)
+                if piece:
+                    openings.add(row)
+            if walker.out or openings.out:
+                yield _neighbours(walker.out + openings.out)
+                walker.out, openings.out = [], []
+        if walker.last is not None:
+            openings.close(True)
+            part = TaskContext.get().partitionId()
+            yield _neighbours([*openings.out, *[(*x.values, None, None, part, i) for i, x in enumerate(walker.edges())]])
+
+    return materialise(spread.select(*COLUMNS).mapInArrow(run, NEIGHBOURS_SQL), "suffix-neighbours")
+
+
+def _matches(found: DataFrame, passage: int) -> DataFrame:
+    """The matches, and those across the edges: a few rows for each range, in the order of the ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walker = Neighbours(passage)
         for b in batches:
-            for values in zip(*[b[c].to_pylist() for c in columns], strict=True):
+            for values in zip(*[b[c].to_pylist() for c in COLUMNS], strict=True):
                 walker.add(_Row(values))
-            if walker.out:
-                yield _neighbours(walker.out)
-                walker.out = []
-        if edges and walker.last is not None:
-            part = TaskContext.get().partitionId()
-            yield _neighbours([(*x.values, None, None, part, i) for i, x in enumerate(walker.edges())])
+        if walker.out:
+            yield _neighbours(walker.out)
 
-    found = materialise(spread.select(*columns).mapInArrow(lambda b: walk(True, b), NEIGHBOURS_SQL), "suffix-neighbours")
-    # A few rows for each range, in the order of the ranges.
-    edges = found.filter("seq is not null").coalesce(1).sortWithinPartitions("part", "seq").select(*columns)
-    across = edges.mapInArrow(lambda b: walk(False, b), NEIGHBOURS_SQL)
+    edges = found.filter("seq is not null").coalesce(1).sortWithinPartitions("part", "seq").select(*COLUMNS)
     kept = ["a", "b", "low", "high", "l", "r"]
-    return found.filter("seq is null").select(*kept).unionByName(across.select(*kept))
+    return found.filter("right is null").select(*kept).unionByName(edges.mapInArrow(run, NEIGHBOURS_SQL).select(*kept))
 
 
 def _neighbours(rows: list[tuple]) -> pa.RecordBatch:
@@ -204,9 +300,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, piece: int = PIEC
     as disjoint spans, with a document that has one of them."""
     rows = fields(docs, doc_id="bigint", text="string").filter("doc_id is not null and text is not null")
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    starts = materialise(suffix_starts(rows, passage, piece), "suffix-starts")
-    shared = starts.groupBy("piece").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("piece")
-    starts = starts.join(shared, "piece").select(*KEY, "at").distinct()
+    starts = shared_starts(materialise(suffix_starts(rows, passage, piece), "suffix-starts"))
     around = _packed(surroundings(rows, starts, passage, piece), "suffix-surroundings")
     places = around.select(*KEY, "at", "ctx.a", "ctx.b").distinct()
     classes = around.groupBy("ctx.a", "ctx.b", "right", "left").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -214,8 +308,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, piece: int = PIEC
     words = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, " ")))
     same = classes.filter("low <> high").select("a", "b", "low", "high", words("left").alias("l"), words("right").alias("r"))
     same = same.filter(F.col("l") + F.col("r") >= passage)
-    found = same.unionByName(neighbour_matches(classes, passage, ["right", "left"]))
-    found = found.unionByName(neighbour_matches(classes, passage, ["left", "right"]))
+    found = same.unionByName(neighbour_matches(classes, passage, piece))
     reach = found.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("l", "r", "high")], F.min("low").alias("low"))
     other = F.when(F.col("low") != F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
     spans = places.join(reach, ["a", "b"]).select(*KEY, (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"), other.alias("other"))
