@@ -56,7 +56,7 @@ def main() -> None:
     baskets = materialise(basket_items(D.basket_maps(spark, SF_DIR, "p_type"), 0.05), "bench-baskets")
     transactions = materialise(D.type_transactions(spark, SF_DIR), "bench-transactions")
     utilities = D.type_utilities(spark)
-    sequences = materialise(sequence_shape(D.event_sequences(spark, SF_DIR)), "bench-sequences")
+    sequences = materialise(sequence_shape(D.order_sequences(spark, SF_DIR)), "bench-sequences")
     baskets.groupBy(F.size("items")).count().collect()
     # Python workers are started before the clock, too.
     spark.range(int(CPUS), numPartitions=int(CPUS)).mapInPandas(lambda frames: frames, "id bigint").collect()

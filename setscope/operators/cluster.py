@@ -170,9 +170,9 @@ def cluster_axis(
     height: float = AXIS_HEIGHT,
     min_rows: int = AXIS_MIN_ROWS,
 ) -> DataFrame:
-    """Segments with the Ward cluster of their axis, for axes with more than ``min_rows`` segments; others have no rows."""
+    """Segments with the Ward cluster of their axis; on an axis with ``min_rows`` segments or fewer the cluster is NULL."""
     keys = [*group_cols, "axis"]
     crowded = segments.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > min_rows).drop("rows")
     kept = join_same(segments, crowded, keys, "left_semi")
     found = _ward(kept, keys, ["src", "tgt"], ["src", "tgt"], height)
-    return join_same(kept, found, [*keys, "src", "tgt"])
+    return join_same(segments, found, [*keys, "src", "tgt"], "left")

@@ -30,9 +30,13 @@ def support_floor(n: Column, min_support: float, strict: bool) -> Column:
 
 
 def basket_copies(baskets: DataFrame, group_cols: Sequence[str] = (), items_col: str = "items") -> DataFrame:
-    """``(group, suffix, mult)``: equal baskets of a group merged. Null baskets are ignored, empty ones count."""
+    """``(group, suffix, mult)``: equal baskets of a group merged. Null baskets are ignored, empty ones count.
+
+    A basket is a set: a repeated label counts once, a null label is none.
+    """
     known = baskets.filter(F.col(items_col).isNotNull())
-    return known.groupBy(*group_cols, F.sort_array(items_col).alias("suffix")).agg(F.count(F.lit(1)).alias("mult"))
+    labels = F.sort_array(F.array_distinct(F.array_compact(items_col)))
+    return known.groupBy(*group_cols, labels.alias("suffix")).agg(F.count(F.lit(1)).alias("mult"))
 
 
 def _with_totals(copies: DataFrame, group_cols: Sequence[str]) -> DataFrame:

@@ -47,21 +47,12 @@ sets AS (
   FROM (SELECT UNNEST(RANGE(1, 64)) AS mask) s JOIN bits b ON (s.mask & b.bit) <> 0 GROUP BY s.mask)"""
 
 
-def item_sets(source: str, groups: str, longest: int = 3) -> str:
-    """``sets1..n(groups, a, b, .., freq)`` by self-joins of ``source(groups, id, item)``; groups is a column list without NULLs."""
-    g = [c.strip() for c in groups.split(",") if c.strip()]
-    letters = "abc"[:longest]
-    parts = []
-    for k in range(1, longest + 1):
-        cols = ", ".join([*(f"x1.{c} AS {c}" for c in g), *(f"x{i + 1}.item AS {letters[i]}" for i in range(k))])
-        joins = f"{source} x1"
-        for i in range(2, k + 1):
-            on = " AND ".join([f"x{i}.id = x1.id", f"x{i}.item > x{i - 1}.item", *(f"x{i}.{c} = x1.{c}" for c in g)])
-            joins += f" JOIN {source} x{i} ON {on}"
-        parts.append(f"sets{k} AS (SELECT {cols}, COUNT(*) AS freq FROM {joins} GROUP BY ALL)")
-    text = {1: "a", 2: "a || ',' || b", 3: "a || ',' || b || ',' || c"}
-    lead = "".join(f"{c}, " for c in g)
-    union = " UNION ALL ".join(
-        f"SELECT {lead}{text[k]} AS itemset, CAST({k} AS INTEGER) AS k, freq FROM sets{k}" for k in range(1, longest + 1)
-    )
-    return ",\n".join(parts) + f",\nallsets AS ({union})"
+def item_sets(source: str, groups: str) -> str:
+    """``allsets(groups, itemset, k, freq)``: all label sets of ``source(groups, id, item)``, of any length; groups is a column list
+    without NULLs. A basket's sets are counted by the bits of the numbers from 1."""
+    return f"""
+baskets_of AS (SELECT {groups}, id, LIST(item ORDER BY item) AS l FROM {source} GROUP BY ALL),
+sets_of AS (SELECT {groups}, l, UNNEST(RANGE(1, CAST(1 AS BIGINT) << LEN(l))) AS m FROM baskets_of),
+allsets AS (
+  SELECT {groups}, ARRAY_TO_STRING(LIST_FILTER(l, LAMBDA x, i: (m >> (i - 1)) & 1 = 1), ',') AS itemset,
+    CAST(BIT_COUNT(m) AS INTEGER) AS k, COUNT(*) AS freq FROM sets_of GROUP BY ALL)"""

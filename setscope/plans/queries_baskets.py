@@ -92,30 +92,34 @@ def basket_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return _text(rolled, "items")
 
 
+LINES_OF = """lines_of AS (
+  SELECT l_orderkey AS id, p_type AS label, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
 @query(
     "sequence_shape",
-    """SELECT CAST(user_id AS VARCHAR) || '/' || STRFTIME(ts, '%Y-%m-%d') || '/' || CAST(event_id // 65536 AS VARCHAR) AS _id,
-      STRING_AGG(event_type, '>' ORDER BY ts, event_id) AS sequence, CAST(COUNT(*) AS INTEGER) AS k
-    FROM events GROUP BY user_id, STRFTIME(ts, '%Y-%m-%d'), event_id // 65536""",
+    f"""WITH {LINES_OF} SELECT CAST(id AS VARCHAR) AS _id, STRING_AGG(label, '>' ORDER BY pos) AS sequence, CAST(COUNT(*) AS INTEGER) AS k
+    FROM lines_of GROUP BY id""",
 )
 def sequence_shape(spark: SparkSession, sf: str) -> DataFrame:
-    shaped = B.sequence_shape(D.event_sequences(spark, sf))
+    shaped = B.sequence_shape(D.order_sequences(spark, sf))
     return shaped.withColumn("k", F.size("sequence")).withColumn("sequence", F.array_join(F.flatten("sequence"), ">"))
 
 
-EVENT_KIND = {"click": "act", "purchase": "act", "signup": "act", "view": "look"}
+TYPE_KIND = {"ECONOMY": "plain", "LARGE": "sized", "MEDIUM": "sized", "SMALL": "sized", "STANDARD": "plain"}
 
 
 @query(
     "sequence_rollup",
-    """SELECT CAST(user_id AS VARCHAR) || '/' || STRFTIME(ts, '%Y-%m-%d') || '/' || CAST(event_id // 65536 AS VARCHAR) AS _id,
-      COALESCE(STRING_AGG(CASE event_type WHEN 'view' THEN 'look' WHEN 'error' THEN NULL ELSE 'act' END, '>' ORDER BY ts, event_id), '')
-        AS sequence
-    FROM events GROUP BY user_id, STRFTIME(ts, '%Y-%m-%d'), event_id // 65536""",
+    f"""WITH {LINES_OF} SELECT CAST(id AS VARCHAR) AS _id,
+      COALESCE(STRING_AGG(CASE WHEN label IN ('ECONOMY', 'STANDARD') THEN 'plain' WHEN label = 'PROMO' THEN NULL ELSE 'sized' END,
+        '>' ORDER BY pos), '') AS sequence
+    FROM lines_of GROUP BY id""",
 )
 def sequence_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    # Errors have no parent, so they leave the sequence.
-    rolled = B.sequence_rollup(B.sequence_shape(D.event_sequences(spark, sf)), EVENT_KIND)
+    # Promotions have no parent, so they leave the sequence.
+    rolled = B.sequence_rollup(B.sequence_shape(D.order_sequences(spark, sf)), TYPE_KIND)
     return rolled.withColumn("sequence", F.array_join(F.flatten("sequence"), ">"))
 
 
@@ -233,39 +237,34 @@ def frequent_itemsets_son(spark: SparkSession, sf: str) -> DataFrame:
     return _text(I.frequent_itemsets_son(type_baskets(spark, sf), min_support=0.05, chunks=4))
 
 
-# {part} is part of the key, or empty for whole days.
-SEQUENCES_SQL = """WITH e AS (
-  SELECT CONCAT_WS('/', user_id, STRFTIME(ts, '%Y-%m-%d'){part}) AS id, event_type AS label,
-    ROW_NUMBER() OVER (PARTITION BY user_id, STRFTIME(ts, '%Y-%m-%d'){part} ORDER BY ts, event_id) AS pos FROM events),
-n AS (SELECT COUNT(DISTINCT id) AS n FROM e),
-found AS (
-  SELECT label AS sequence, CAST(1 AS INTEGER) AS k, COUNT(DISTINCT id) AS freq FROM e GROUP BY 1
-  UNION ALL
-  SELECT x.label || '>' || y.label, 2, COUNT(DISTINCT x.id) FROM e x JOIN e y ON x.id = y.id AND x.pos < y.pos GROUP BY 1
-  UNION ALL
-  SELECT x.label || '>' || y.label || '>' || z.label, 3, COUNT(DISTINCT x.id)
-  FROM e x JOIN e y ON x.id = y.id AND x.pos < y.pos JOIN e z ON y.id = z.id AND y.pos < z.pos GROUP BY 1)
-SELECT sequence, k, freq, CAST(freq AS DOUBLE) / CAST(n AS DOUBLE) AS value, n FROM found, n
-WHERE freq >= CEIL(CAST(0.02 AS DOUBLE) * n)"""
+def sequences_sql(source: str, support: str, longest: int) -> str:
+    """Patterns of up to ``longest`` labels in ``e(id, label, pos)``, found by joining each with the labels behind it."""
+    found = []
+    for k in range(1, longest + 1):
+        names = " || '>' || ".join(f"x{i}.label" for i in range(k))
+        joins = "".join(f" JOIN e x{i} ON x{i}.id = x{i - 1}.id AND x{i}.pos > x{i - 1}.pos" for i in range(1, k))
+        found.append(f"SELECT {names} AS sequence, CAST({k} AS INTEGER) AS k, COUNT(DISTINCT x0.id) AS freq FROM e x0{joins} GROUP BY 1")
+    return f"""WITH {source}, n AS (SELECT COUNT(DISTINCT id) AS n FROM e), found AS ({" UNION ALL ".join(found)})
+    SELECT sequence, k, freq, CAST(freq AS DOUBLE) / CAST(n AS DOUBLE) AS value, n FROM found, n
+    WHERE freq >= CEIL(CAST({support} AS DOUBLE) * n)"""
 
 
-@query("frequent_sequences", SEQUENCES_SQL.format(part=", event_id // 65536"))
+@query("frequent_sequences", sequences_sql(f"{LINES_OF}, e AS (SELECT * FROM lines_of)", "0.005", 5))
 def frequent_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    shaped = B.sequence_shape(D.event_sequences(spark, sf))
-    found = S.frequent_sequences(shaped, min_support=0.02, max_pattern_length=3)
+    shaped = B.sequence_shape(D.order_sequences(spark, sf))
+    found = S.frequent_sequences(shaped, min_support=0.005)
     return found.withColumn("sequence", F.array_join(F.flatten("sequence"), ">"))
 
 
-@query("frequent_sequences_long", SEQUENCES_SQL.format(part=""))
+DAYS = """e AS (
+  SELECT CONCAT_WS('/', user_id, STRFTIME(ts, '%Y-%m-%d')) AS id, event_type AS label,
+    ROW_NUMBER() OVER (PARTITION BY user_id, STRFTIME(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS pos FROM events)"""
+
+
+@query("frequent_sequences_long", sequences_sql(DAYS, "0.001", 3))
 def frequent_sequences_long(spark: SparkSession, sf: str) -> DataFrame:
-    events = D.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     found = S.frequent_sequences_long(
-        events,
-        id_cols=["user_id", "day"],
-        order_cols=["ts", "event_id"],
-        label_col="event_type",
-        min_support=0.02,
-        max_pattern_length=3,
+        D.sequence_events(spark, sf), id_cols=["user_id", "day"], order_cols=["ts", "event_id"], min_support=0.001, max_pattern_length=3
     )
     return found.withColumn("sequence", F.array_join("sequence", ">"))
 

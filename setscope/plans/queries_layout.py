@@ -158,28 +158,34 @@ def bundle_ratio_search(spark: SparkSession, sf: str) -> DataFrame:
     return L.bundle_ratio_search(clustered(spark, sf), layout(spark))
 
 
+def _axes(spark: SparkSession, sf: str) -> int:
+    """As many axes as the longest stored set has labels."""
+    results = stored_results(spark, sf).filter((F.col("fi_type") == "frequent") & ~F.col("rollup"))
+    return L.axis_count(results.select(F.col("itemset").alias("labels")))
+
+
 @query(
     "parallel_layout",
     f"""{SEGMENTS}, n AS (SELECT MAX(LENGTH(itemset) - LENGTH(REPLACE(itemset, ',', '')) + 1) AS axes FROM names)
     SELECT CAST(a.axis AS INTEGER) AS axis, o.node, o.pos, {r("60 + a.axis * (800 - 70.0) / (n.axes - 1)", "x")}, {r("20 + o.pos * (600 - 40.0) / 24", "y")}
-    FROM n, (SELECT UNNEST(RANGE(0, 3)) AS axis) a, ord o WHERE a.axis < n.axes""",
+    FROM n, UNNEST(RANGE(0, CAST(n.axes AS BIGINT))) AS a(axis), ord o""",
 )
 def parallel_layout(spark: SparkSession, sf: str) -> DataFrame:
-    results = stored_results(spark, sf).filter((F.col("fi_type") == "frequent") & ~F.col("rollup"))
-    axes = L.axis_count(results.select(F.col("itemset").alias("labels")))
-    return rounded(L.parallel_layout(brand_order(spark), axes, width=WIDTH, height=HEIGHT), "x", "y")
+    return rounded(L.parallel_layout(brand_order(spark), _axes(spark, sf), width=WIDTH, height=HEIGHT), "x", "y")
 
 
 @query(
     "parallel_control_points",
-    f"""{SEGMENTS}, c AS (SELECT axis, CAST(src // 5 AS INTEGER) AS cluster, AVG(20 + src * (600 - 40.0) / 24) AS y0,
-      AVG(20 + tgt * (600 - 40.0) / 24) AS y1, 60 + axis * 730.0 / 2 AS x0, 60 + (axis + 1) * 730.0 / 2 AS x1 FROM segments GROUP BY 1, 2)
+    f"""{SEGMENTS}, n AS (SELECT MAX(LENGTH(itemset) - LENGTH(REPLACE(itemset, ',', '')) + 1) AS axes FROM names),
+    c AS (SELECT axis, CAST(src // 5 AS INTEGER) AS cluster, AVG(20 + src * (600 - 40.0) / 24) AS y0,
+      AVG(20 + tgt * (600 - 40.0) / 24) AS y1, 60 + axis * 730.0 / (ANY_VALUE(n.axes) - 1) AS x0,
+      60 + (axis + 1) * 730.0 / (ANY_VALUE(n.axes) - 1) AS x1 FROM segments, n GROUP BY 1, 2)
     SELECT axis, cluster, {r("x0 - 0.2 * (x0 - x1)", "lx")}, {r("y0 - 0.2 * (y0 - y1)", "ly")}, {r("x1 - 0.2 * (x1 - x0)", "rx")},
       {r("y1 - 0.2 * (y1 - y0)", "ry")} FROM c""",
 )
 def parallel_control_points(spark: SparkSession, sf: str) -> DataFrame:
     bundles = segments(spark, sf).withColumn("cluster", F.floor(F.col("src") / 5).cast("int"))
-    points = L.parallel_control_points(bundles, 25, 3, width=WIDTH, height=HEIGHT)
+    points = L.parallel_control_points(bundles, brand_order(spark).count(), _axes(spark, sf), width=WIDTH, height=HEIGHT)
     return rounded(points, "lx", "ly", "rx", "ry")
 
 

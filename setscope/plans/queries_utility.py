@@ -110,7 +110,6 @@ def mined_frequent(spark: SparkSession, sf: str) -> DataFrame:
         tag_name="genres",
         tags=D.TAGS,
         roll_up=D.BRAND_PARENT,
-        max_len=3,
     )
 
 

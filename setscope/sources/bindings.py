@@ -13,7 +13,6 @@ from setscope.functions.tables import local_table
 
 # Unit utilities per part type.
 TYPE_UTILITY = {"ECONOMY": 1, "LARGE": 5, "MEDIUM": 3, "PROMO": 2, "SMALL": 1, "STANDARD": 4}
-SEQUENCE_BITS = 16
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SEGMENTS = ["automobile", "building", "furniture", "household", "machinery"]
 TAGS = PRIORITIES + SEGMENTS
@@ -100,26 +99,21 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(user_id, day, part, ts, event_id, label)``: events with the key of their sequence.
+    """``(user_id, day, ts, event_id, label)``: events with the key of their sequence, a user's whole day."""
+    return table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", F.col("event_type").alias("label"))
 
-    A part is a run of 65,536 event ids, so no sequence of a user and day is longer than that, whoever the user is.
-    """
-    return table(spark, sf_dir, "events").select(
-        "user_id",
-        F.to_date("ts").alias("day"),
-        F.shiftright("event_id", SEQUENCE_BITS).alias("part"),
-        "ts",
-        "event_id",
-        F.col("event_type").alias("label"),
-    )
 
+def order_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(_id, seq array<struct<label>>)``: the part types of an order's lines by line and part number.
 
-def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(_id, seq array<struct<label>>)``: the events of a user, day and part by time."""
-    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "label"))).alias("e")
-    per_part = sequence_events(spark, sf_dir).groupBy("user_id", "day", "part").agg(ordered)
-    return per_part.select(
-        F.concat_ws("/", "user_id", "day", "part").alias("_id"), F.transform("e", lambda x: F.struct(x["label"].alias("label"))).alias("seq")
+    The lines of one order are few by nature, so they are gathered; events of a user have no such bound and stay in long form.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("label"))
+    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "label"))).alias("e")
+    per_order = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(ordered)
+    return per_order.select(
+        F.col("l_orderkey").cast("string").alias("_id"), F.transform("e", lambda x: F.struct(x["label"].alias("label"))).alias("seq")
     )
 
 
