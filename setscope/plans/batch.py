@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import join_same, string_array
+from setscope.functions.tables import local_table
 from setscope.operators.baskets import filter_confidence, items_above, items_long, normal_ids, roll_up_expr, tags_of
 from setscope.operators.itemsets import frequent_itemsets_levelwise
 from setscope.operators.utility import item_utilities, mine_arrays, transaction_arrays
@@ -47,6 +48,37 @@ def with_tags(tracks: DataFrame, meta: DataFrame, tag_name: str, tags: Sequence[
     return joined.withColumn("tag", F.explode(F.concat(whole, F.coalesce("t", string_array([]))))).drop("t")
 
 
+def run_headers(
+    tracks: DataFrame,
+    meta: DataFrame,
+    *,
+    tag_name: str,
+    tags: Sequence[str],
+    fi_type: str,
+    minimum: float,
+    ratio: float | None = FILTER_RATIO,
+    confidence: float | None = FILTER_CONFIDENCE,
+) -> DataFrame:
+    """A header for every run of a batch, also of tags that no track has: parameters and the number of tracks."""
+    spark = tracks.sparkSession
+    sizes = with_tags(filter_confidence(tracks, confidence).select("_id"), meta, tag_name, tags)
+    sizes = sizes.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    rollups = [False, True] if fi_type == "frequent" else [False]
+    wanted = [(t, r) for t in [*tags, None] for r in rollups]
+    runs = local_table(spark, {"tag": [t for t, _ in wanted], "rollup": [r for _, r in wanted]})
+    ending = frequent_ending(F.col("rollup")) if fi_type == "frequent" else F.lit(fi_type)
+    known = join_same(runs, sizes, ["tag"], "left")
+    return known.select(
+        run_id(F.col("tag"), tags, minimum=minimum, ratio=ratio, confidence=confidence, ending=ending).alias("run_id"),
+        _name(tag_name),
+        "tag",
+        *[F.lit(v).cast("double").alias(c) for c, v in (("minimum", minimum), ("ratio", ratio), ("confidence", confidence))],
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+        F.lit(fi_type).alias("fi_type"),
+        "rollup",
+    )
+
+
 def frequent_by_tag(
     tracks: DataFrame,
     meta: DataFrame,

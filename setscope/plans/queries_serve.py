@@ -12,7 +12,7 @@ from setscope.plans import batch, serve
 from setscope.plans import fragments as Q
 from setscope.plans.catalogue import query
 from setscope.plans.queries_utility import FREQUENT_BY_TAG, HIGH_BY_TAG
-from setscope.plans.stored import brand_order, parent_order, stored_results
+from setscope.plans.stored import brand_order, parent_order, stored_headers, stored_results
 from setscope.sources import bindings as D
 from setscope.sources import results as R
 
@@ -69,15 +69,48 @@ def upsert_results(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT * FROM (WITH {HIGH_BY_TAG} SELECT run_id, tag_name, tag, rollup, fi_type, itemset, k, freq, value, n FROM hui)""",
 )
 def sink_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Written as JSON and read back, then written twice as a versioned table and read at its newest version."""
+    """Written as JSON and read back, then written twice as versioned runs and read at their newest version."""
     json_path, table_path = new_path(spark, "json"), new_path(spark, "table")
     R.write_json(stored_results(spark, sf), json_path)
     rows = R.read_json(spark, json_path)
-    R.write_results(rows, table_path, 0)
-    R.write_results(rows.filter(F.col("tag").isNotNull()), table_path, 1)
+    headers = stored_headers(spark, sf)
+    R.write_results(headers, rows, table_path, 0)
+    R.write_results(headers.filter(F.col("tag").isNotNull()), rows.filter(F.col("tag").isNotNull()), table_path, 1)
     return _labels(R.read_results(spark, table_path).withColumnRenamed("itemset", "labels"))
 
 
+RUN_HEADERS = f"""WITH {Q.CONFIDENCE}, {Q.META}, {Q.TAG_LIST},
+sure AS (SELECT id FROM conf WHERE confidence > CAST(0.6 AS DOUBLE)),
+sizes AS (SELECT '' AS tag, COUNT(*) AS n FROM sure UNION ALL SELECT t.tag, COUNT(*) FROM sure s JOIN tags t ON s.id = t.id GROUP BY t.tag),
+kinds(fi_type, rollup, ending) AS (VALUES ('frequent', FALSE, 'Falsef'), ('frequent', TRUE, 'Truef'), ('hui', FALSE, 'hui')),
+headers AS (
+  SELECT LPAD(CAST(l.ix AS VARCHAR), 4, '0') || '-0.01-0.05-0.6-' || k.ending AS run_id, CASE WHEN l.tag IS NOT NULL THEN 'genres' END AS tag_name,
+    l.tag, CAST(0.01 AS DOUBLE) AS minimum, CAST(0.05 AS DOUBLE) AS ratio, CAST(0.6 AS DOUBLE) AS confidence,
+    CAST(COALESCE(z.n, 0) AS BIGINT) AS n, k.fi_type, k.rollup
+  FROM taglist l CROSS JOIN kinds k LEFT JOIN sizes z ON z.tag = COALESCE(l.tag, ''))"""
+
+
+@query("run_headers", f"{RUN_HEADERS} SELECT * FROM headers")
+def run_headers(spark: SparkSession, sf: str) -> DataFrame:
+    return stored_headers(spark, sf)
+
+
+@query(
+    "emptied_runs",
+    f"""SELECT * FROM (WITH {FREQUENT_BY_TAG} SELECT run_id, tag, rollup, fi_type, itemset AS labels, k, freq, value, n FROM frequent
+      WHERE tag IS NULL OR tag NOT LIKE '%e%')
+    UNION ALL SELECT * FROM (WITH {HIGH_BY_TAG} SELECT run_id, tag, rollup, fi_type, itemset, k, freq, value, n FROM hui
+      WHERE tag IS NULL OR tag NOT LIKE '%e%')""",
+)
+def emptied_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A second version of some runs finds nothing, and nothing of the first one is left."""
+    path = new_path(spark, "emptied")
+    headers, rows = stored_headers(spark, sf), stored_results(spark, sf)
+    R.write_results(headers, rows, path, 0)
+    R.write_results(headers.filter(F.col("tag").contains("e")), rows.limit(0), path, 1)
+    return _labels(R.read_results(spark, path).withColumnRenamed("itemset", "labels")).drop("tag_name")
+
+
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return D.basket_maps(spark, sf, "p_brand").select("_id", "items", "weights", F.sort_array(F.map_keys("items")).alias("names"))
 

@@ -7,22 +7,39 @@ from pyspark.sql import functions as F
 
 from setscope.functions.labels import order_frame
 from setscope.functions.tables import new_path
+from setscope.plans import batch
 from setscope.plans.queries_utility import mined_frequent, mined_high_utility
 from setscope.sources import bindings as D
-from setscope.sources.results import read_results, write_results
+from setscope.sources.results import read_headers, read_results, write_results
 
 _PATHS: dict[tuple[str, str], str] = {}
 
 
-def stored_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Result rows of all tags, roll-ups and pattern types, read from the partitioned table."""
+def headers(spark: SparkSession, sf: str, fi_type: str) -> DataFrame:
+    """Headers of a batch over the test collection."""
+    minimum = batch.MIN_SUPPORT if fi_type == "frequent" else batch.MIN_UTILITY
+    tracks, meta = D.plain_tracks(spark, sf), D.metadata(spark, sf)
+    return batch.run_headers(tracks, meta, tag_name="genres", tags=D.TAGS, fi_type=fi_type, minimum=minimum)
+
+
+def stored_path(spark: SparkSession, sf: str) -> str:
+    """Folder with the runs of all tags, roll-ups and pattern types."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _PATHS:
         path = new_path(spark, "results")
-        write_results(mined_frequent(spark, sf), path, 0)
-        write_results(mined_high_utility(spark, sf), path, 0)
+        write_results(headers(spark, sf, "frequent"), mined_frequent(spark, sf), path, 0)
+        write_results(headers(spark, sf, "hui"), mined_high_utility(spark, sf), path, 0)
         _PATHS[key] = path
-    return read_results(spark, _PATHS[key])
+    return _PATHS[key]
+
+
+def stored_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Result rows of all tags, roll-ups and pattern types, read from the partitioned table."""
+    return read_results(spark, stored_path(spark, sf))
+
+
+def stored_headers(spark: SparkSession, sf: str) -> DataFrame:
+    return read_headers(spark, stored_path(spark, sf))
 
 
 def brand_order(spark: SparkSession) -> DataFrame:

@@ -1,7 +1,9 @@
-"""The result table: one row per mined itemset, partitioned by pattern type and roll-up.
+"""The result store: a header per run and a row per mined itemset, both partitioned by pattern type and roll-up.
 
-A write appends a version; a reader sees the newest version of each run. Appending is safe against lost tasks and concurrent
-readers, and the newest version is found with a partial aggregate, not a sort of the table. ``compact`` rewrites it.
+A write appends a version: first the itemsets, then the headers that make it visible. A header holds the run's parameters and the size
+of its collection, and is there even if nothing was found. A reader takes the newest header of each run and the itemsets of that
+version, so a run that finds nothing replaces an older one. Headers are few; a request's filter on pattern type and roll-up prunes the
+folders of both tables. Appending is safe against lost tasks and concurrent readers. ``compact`` rewrites the newest versions.
 """
 
 from __future__ import annotations
@@ -12,10 +14,16 @@ from pyspark.sql import functions as F
 from setscope.functions.columns import join_same
 
 PARTITIONS = ["fi_type", "rollup"]
+RUN = ["run_id", *PARTITIONS]
 RESULTS = (
     "run_id string, tag_name string, tag string, itemset array<string>, k int, freq bigint, value double, n bigint, "
     "version bigint, fi_type string, rollup boolean"
 )
+HEADERS = (
+    "run_id string, tag_name string, tag string, minimum double, ratio double, confidence double, n bigint, version bigint, "
+    "fi_type string, rollup boolean"
+)
+# Field names of the stored documents.
 COLUMN_DOCUMENT = (
     "struct<items:map<string,array<string>>,freq:map<string,bigint>,supportPc:map<string,double>>"
 )
@@ -34,19 +42,33 @@ def upsert(old: DataFrame, new: DataFrame, *, key: str = "run_id") -> DataFrame:
     return latest(versions, key=key).drop("version")
 
 
-def write_results(rows: DataFrame, path: str, version: int) -> None:
-    """Append a version of the runs in ``rows``."""
-    out = rows.withColumn("version", F.lit(version).cast("bigint"))
-    out.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+def write_results(headers: DataFrame, rows: DataFrame, path: str, version: int) -> None:
+    """Append a version of the runs in ``headers``; their itemsets are ``rows``."""
+    for name, part in (("sets", rows), ("headers", headers)):
+        out = part.withColumn("version", F.lit(version).cast("bigint"))
+        out.write.mode("append").partitionBy(*PARTITIONS).parquet(f"{path}/{name}")
+
+
+def _newest(spark: SparkSession, path: str) -> DataFrame:
+    headers = spark.read.schema(HEADERS).parquet(f"{path}/headers")
+    newest = headers.groupBy(*RUN).agg(F.max("version").alias("version"))
+    return headers.join(newest, [*RUN, "version"], "left_semi")
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The newest header of each run."""
+    return _newest(spark, path).drop("version")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return latest(spark.read.schema(RESULTS).parquet(path)).drop("version")
+    """The itemsets of the newest version of each run."""
+    sets = spark.read.schema(RESULTS).parquet(f"{path}/sets")
+    return sets.join(_newest(spark, path).select(*RUN, "version"), [*RUN, "version"], "left_semi").drop("version")
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Write the newest versions to another folder."""
-    write_results(read_results(spark, path), target, 0)
+    write_results(read_headers(spark, path), read_results(spark, path), target, 0)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

@@ -112,15 +112,28 @@ def test_result_versions(spark):
             "run_id string, tag_name string, tag string, itemset array<string>, k int, freq long, value double, n long, fi_type string, rollup boolean",
         )
 
+    def headers(*runs):
+        return spark.createDataFrame(
+            [(run, "genres", "pop", 0.01, None, 0.6, 4, "frequent", False) for run in runs],
+            "run_id string, tag_name string, tag string, minimum double, ratio double, confidence double, n long, fi_type string, rollup boolean",
+        )
+
     path, target = new_path(spark, "test"), new_path(spark, "test")
-    T.write_results(rows("r1", 0.1).unionByName(rows("r2", 0.2)), path, 0)
-    T.write_results(rows("r1", 0.9).filter("itemset[0] = 'a'"), path, 1)
+    T.write_results(headers("r1", "r2", "r3"), rows("r1", 0.1).unionByName(rows("r2", 0.2)).unionByName(rows("r3", 0.3)), path, 0)
+    T.write_results(headers("r1", "r3"), rows("r1", 0.9).filter("itemset[0] = 'a'"), path, 1)
     want = [("r1", "a", 0.9), ("r2", "a", 0.2), ("r2", "b", 0.2)]
     assert sorted((r.run_id, r.itemset[0], r.value) for r in T.read_results(spark, path).collect()) == want
     T.compact(spark, path, target)
     assert sorted((r.run_id, r.itemset[0], r.value) for r in T.read_results(spark, target).collect()) == want
-    plan = T.read_results(spark, path).filter("fi_type = 'hui'")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [" in plan and "fi_type" in plan
+    assert sorted(r.run_id for r in T.read_headers(spark, target).collect()) == ["r1", "r2", "r3"]
+    with_room = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = T.read_results(spark, path).filter("fi_type = 'hui' and not rollup")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", with_room)
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    # The scan that finds the newest versions is pruned by what the other side's filter leaves.
+    assert all("fi_type" in s.split("PartitionFilters: [")[1].split("]")[0] for s in scans)
+    assert sum("= hui)" in s for s in scans) >= 2
 
 
 def test_served_sets_force_roll_up_off_for_utility(spark):
