@@ -29,14 +29,16 @@ def support_floor(n: Column, min_support: float, strict: bool) -> Column:
     return (F.floor(exact) + 1 if strict else F.ceil(exact)).cast("bigint")
 
 
-def basket_copies(baskets: DataFrame, group_cols: Sequence[str] = (), items_col: str = "items") -> DataFrame:
+def basket_copies(
+    baskets: DataFrame, group_cols: Sequence[str] = (), items_col: str = "items", times_col: str | None = None
+) -> DataFrame:
     """``(group, suffix, mult)``: equal baskets of a group merged. Null baskets are ignored, empty ones count.
 
-    A basket is a set: a repeated label counts once, a null label is none.
+    A basket is a set: a repeated label counts once, a null label is none. With ``times_col`` a row stands for so many baskets.
     """
     known = baskets.filter(F.col(items_col).isNotNull())
     labels = F.sort_array(F.array_distinct(F.array_compact(items_col)))
-    return known.groupBy(*group_cols, labels.alias("suffix")).agg(F.count(F.lit(1)).alias("mult"))
+    return known.groupBy(*group_cols, labels.alias("suffix")).agg(F.sum(F.col(times_col) if times_col else F.lit(1)).alias("mult"))
 
 
 def _with_totals(copies: DataFrame, group_cols: Sequence[str]) -> DataFrame:
@@ -154,12 +156,13 @@ def frequent_itemsets_levelwise(
     min_support: float,
     group_cols: Sequence[str] = (),
     items_col: str = "items",
+    times_col: str | None = None,
     strict: bool = False,
     max_len: int | None = None,
     enumeration_rows: int = ENUMERATION_ROWS,
 ) -> DataFrame:
     """``(group, itemset, k, freq, value, n)`` of every frequent itemset, for one collection or many groups in one job."""
-    copies = materialise(basket_copies(baskets, group_cols, items_col), "baskets")
+    copies = materialise(basket_copies(baskets, group_cols, items_col, times_col), "baskets")
     totals = _with_totals(copies, group_cols)
     level = _first_level(totals, support_floor(F.col("n"), min_support, strict))
     found = mine_levels(level, group_cols=group_cols, max_len=max_len, enumeration_rows=enumeration_rows)

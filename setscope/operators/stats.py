@@ -28,17 +28,16 @@ def popular_tags(meta: DataFrame, tags: Column, *, above: int = POPULAR_ABOVE) -
 def tag_cooccurrence(meta: DataFrame, tags: Column, *, above: int | None = None) -> DataFrame:
     """``(a, b, weight)``: records that hold both tags, a before b; with a cut, only popular tags.
 
-    Equal tag arrays are merged before pairs are formed inside a row, so copies cost one row.
+    Equal tag arrays are merged, and rare tags left out, before pairs are formed inside a row.
     """
     arrays = meta.select(F.sort_array(F.array_distinct(tags)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    if above is not None:
+        popular = tag_counts(meta, tags).filter(F.col("count") > above).select("tag")
+        rest = arrays.select("t", "n", F.explode("t").alias("tag")).join(popular, "tag", "left_semi")
+        rest = rest.groupBy("t", "n").agg(F.sort_array(F.collect_list("tag")).alias("left"))
+        arrays = rest.groupBy(F.col("left").alias("t")).agg(F.sum("n").alias("n"))
     pairs = arrays.select("n", F.explode(in_row_pairs(F.col("t"))).alias("p"))
-    found = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("weight"))
-    if above is None:
-        return found
-    popular = tag_counts(meta, tags).filter(F.col("count") > above).select("tag")
-    for end in ("a", "b"):
-        found = found.join(popular.withColumnRenamed("tag", end), end, "left_semi")
-    return found.select("a", "b", "weight")
+    return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("weight"))
 
 
 def tag_graph_style(counts: DataFrame, cooccurrence: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -168,7 +168,11 @@ def mine_arrays(
     if not group_cols:
         arrays = arrays.withColumn("_all", F.lit(0))
     merged = materialise(_with_tu(_add_arrays(arrays, [*keys, "items"], "us")), "utility-baskets")
-    merged = join_same(merged, merged.groupBy(*keys).agg(F.sum("tu").alias("total")), keys)
+    if group_cols:
+        merged = join_same(merged, merged.groupBy(*keys).agg(F.sum("tu").alias("total")), keys)
+    else:
+        whole = merged.agg(F.sum("tu").alias("total"))
+        merged = merged.withColumn("total", F.lit(whole.first()[0]).cast(whole.schema["total"].dataType))
     goal = F.lit(float(min_util)) * F.col("total") if as_share else F.lit(float(min_util))
     merged = merged.withColumn("goal", goal)
 

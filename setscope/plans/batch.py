@@ -42,10 +42,19 @@ def with_tags(tracks: DataFrame, meta: DataFrame, tag_name: str, tags: Sequence[
 
     A left join, so tracks without metadata still count in the whole collection.
     """
-    known = normal_ids(meta).select("_id", F.array_intersect(F.array_distinct(tags_of(tag_name)), string_array(tags)).alias("t"))
-    whole = F.array(F.lit(None).cast("string"))
-    joined = tracks.join(known, "_id", "left")
-    return joined.withColumn("tag", F.explode(F.concat(whole, F.coalesce("t", string_array([]))))).drop("t")
+    return each_tag(wanted_tags(tracks, meta, tag_name, tags))
+
+
+def wanted_tags(tracks: DataFrame, meta: DataFrame, tag_name: str, tags: Sequence[str]) -> DataFrame:
+    """Tracks with ``t``, their wanted tags as a sorted array; empty without metadata."""
+    own = F.array_sort(F.array_intersect(F.array_distinct(tags_of(tag_name)), string_array(tags)))
+    joined = tracks.join(normal_ids(meta).select("_id", own.alias("t")), "_id", "left")
+    return joined.withColumn("t", F.coalesce("t", string_array([])))
+
+
+def each_tag(rows: DataFrame) -> DataFrame:
+    """A row for NULL and for each tag in ``t``."""
+    return rows.withColumn("tag", F.explode(F.concat(F.array(F.lit(None).cast("string")), "t"))).drop("t")
 
 
 def run_headers(
@@ -98,9 +107,12 @@ def frequent_by_tag(
         F.struct(F.lit(False).alias("rollup"), F.col("plain").alias("items")),
         F.struct(F.lit(True).alias("rollup"), roll_up_expr(F.col("plain"), roll_up).alias("items")),
     )
-    grouped = with_tags(baskets, meta, tag_name, tags).select("tag", F.explode(both).alias("b")).select("tag", "b.*")
+    # Equal baskets with equal tags are merged before they are multiplied by tags and roll-ups.
+    merged = wanted_tags(baskets, meta, tag_name, tags).withColumn("plain", F.array_sort("plain"))
+    merged = merged.groupBy("t", "plain").agg(F.count(F.lit(1)).alias("times"))
+    grouped = each_tag(merged).select("tag", "times", F.explode(both).alias("b")).select("tag", "times", "b.*")
     found = frequent_itemsets_levelwise(
-        grouped, min_support=min_support, group_cols=["tag", "rollup"], max_len=max_len
+        grouped, min_support=min_support, group_cols=["tag", "rollup"], times_col="times", max_len=max_len
     )
     key = run_id(
         F.col("tag"), tags, minimum=min_support, ratio=ratio, confidence=confidence, ending=frequent_ending(F.col("rollup"))

@@ -36,7 +36,7 @@ def load_tracks(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {Q.CONFIDENCE} SELECT id AS _id, confidence FROM conf ORDER BY id LIMIT 1000""",
 )
 def scan_limit(spark: SparkSession, sf: str) -> DataFrame:
-    return B.scan_limit(D.tracks(spark, sf, "p_brand"), 1000).select("_id", "confidence")
+    return B.scan_limit(D.plain_tracks(spark, sf), 1000).select("_id", "confidence")
 
 
 @query(
@@ -64,7 +64,7 @@ def weighted_transactions(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {Q.CONFIDENCE} SELECT id AS _id, confidence FROM conf WHERE confidence > CAST(0.6 AS DOUBLE)""",
 )
 def filter_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return B.filter_confidence(D.tracks(spark, sf, "p_brand"), 0.6).select("_id", "confidence")
+    return B.filter_confidence(D.plain_tracks(spark, sf), 0.6).select("_id", "confidence")
 
 
 @query(
@@ -165,7 +165,7 @@ def join_meta(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {Q.CONFIDENCE} SELECT COUNT(*) AS n FROM conf WHERE confidence > CAST(0.6 AS DOUBLE)""",
 )
 def basket_count(spark: SparkSession, sf: str) -> DataFrame:
-    return B.filter_confidence(D.tracks(spark, sf, "p_brand"), 0.6).agg(F.count(F.lit(1)).alias("n"))
+    return B.filter_confidence(D.plain_tracks(spark, sf), 0.6).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import string_array
+from setscope.functions.tables import materialise
 from setscope.operators.baskets import normal_ids, tags_all_of, tracks_with_items, with_ranked_items
 
 # Size of a track sample and share bound of the item search.
@@ -208,12 +209,13 @@ def search_tracks(
 ) -> DataFrame:
     """A sample of the matching tracks with their labels by falling share.
 
-    With an item search the shares come along with the match. Without one they are fetched for the sample, ``n`` rows, hence the
-    broadcast.
+    With an item search the shares come along with the match. Without one they are fetched for the sample, which is written first: it
+    is computed once, and its known size decides how it is joined.
     """
     sample = sample_tracks(matching_tracks(meta, tracks, items=items, **request), seed=seed, n=n)
     if not items:
-        wanted = tracks.join(F.broadcast(sample.select("_id")), "_id", "left_semi").select("_id", "items")
+        sample = materialise(sample, "search")
+        wanted = tracks.join(sample.select("_id"), "_id", "left_semi").select("_id", "items")
         sample = sample.join(wanted, "_id", "left")
     return with_ranked_items(sample)
 
