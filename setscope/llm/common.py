@@ -41,11 +41,14 @@ def fields(df: DataFrame, **kinds: str) -> DataFrame:
 
 
 def worker_object(key: object, build: Callable[[], object]) -> object:
-    """An object that a Python worker keeps from task to task. ``key`` must name all that ``build`` depends on."""
+    """An object that a Python worker keeps from task to task, the last one it asked for. ``key`` must name all that ``build`` depends
+    on. Workers serve one operator after the other, so what an earlier one kept is given up."""
     kept = sys.modules.setdefault("setscope_worker_objects", types.ModuleType("setscope_worker_objects"))
-    if key not in kept.__dict__:
-        kept.__dict__[key] = build()
-    return kept.__dict__[key]
+    if getattr(kept, "key", None) != key:
+        kept.key = kept.value = None
+        kept.value = build()
+        kept.key = key
+    return kept.value
 
 
 def partitions(spark: SparkSession) -> int:

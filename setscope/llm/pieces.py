@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from setscope.llm.common import fields, worker_object
 
 MARK = "▁"
-KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 900_000, 48, 500_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_PAIRS = 700_000, 48, 400_000
 #: Before the ids of a word that is not decoded to itself.
 ODD = "!"
 

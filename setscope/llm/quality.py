@@ -34,7 +34,7 @@ from setscope.llm.common import fields, worker_object
 LABELLED, POOL, ROUNDS = 4500, 1500, 3
 SURE, PRECISION, PSEUDO_WEIGHT = 0.97, 0.97, 0.5
 #: A word or beginning counts if so many documents of the sample have it; how many are kept per head at most.
-LEAST_DOCS, MOST_MARKS, KEPT_WORDS = 4, 40_000, 400_000
+LEAST_DOCS, MOST_MARKS, KEPT_WORDS = 4, 40_000, 150_000
 HEADS = ("good", "toxic")
 UPPER_BYTES = bytes(range(65, 91))
 SYMBOL_BYTES = b"!#$%&*+/<=>@[\\]^_`{|}~"
@@ -184,10 +184,10 @@ def _ratios(words: list[set[str]], y: np.ndarray) -> dict[str, float]:
     return {m: r for m, r in strongest if abs(r) > 0.5}
 
 
-def _head(own: list[set[str]], stats: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: tuple) -> Head:
+def _head(own: list[set[str]], stats: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: tuple, unknown: float) -> Head:
     """Co-training of one head. Of the labelled rows, a third gives the ratios, a third fits, a third is kept aside."""
     if not len(y) or y.min() == y.max() or min((y == v)[i::3].sum() for v in (0, 1) for i in range(3)) == 0:
-        return Head({}, Logistic(), Logistic(), Logistic(), float(y.mean()) if len(y) else None)
+        return Head({}, Logistic(), Logistic(), Logistic(), float(y.mean()) if len(y) else unknown)
     third = np.arange(len(y)) % 3
     ratios = _ratios([w for w, t in zip(own, third, strict=True) if t != 2], y[third != 2])
     # Ratios for fitting come from rows that are not fitted; those for use come from both thirds.
@@ -231,8 +231,8 @@ def fit(labelled: list[dict], pool: list[dict]) -> Model:
 
     own, stats, meta = prepared(labelled)
     unlabelled = prepared(pool)
-    for head in HEADS:
-        model.heads[head] = _head(own, stats, meta, np.array([r[head] for r in labelled], dtype=float), unlabelled)
+    for head, unknown in zip(HEADS, (1.0, 0.0), strict=True):
+        model.heads[head] = _head(own, stats, meta, np.array([r[head] for r in labelled], dtype=float), unlabelled, unknown)
     model.name = hashlib.sha256(repr([(h.weight.tolist() if isinstance(h, Logistic) else sorted(h.items())) for x in model.heads.values() for h in (x.text, x.meta, x.combined, x.ratios)]).encode()).hexdigest()
     return model
 

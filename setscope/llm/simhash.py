@@ -98,10 +98,11 @@ def fingerprints(docs: DataFrame, width: int, sketch_width: int = 0, most: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b["text"]]
-            fps = pa.array([fingerprint(t, width, most) for t in texts], pa.int64())
-            both = [sketch(t, sketch_width) if sketch_width else (0, 0) for t in texts]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], fps, *[pa.array([s[i] for s in both], pa.int64()) for i in (0, 1)]], schema=schema)
+            prints = np.zeros((b.num_rows, 3), dtype=np.int64)
+            for i, text in enumerate(b["text"]):
+                text = text.as_py()
+                prints[i] = fingerprint(text, width, most), *(sketch(text, sketch_width) if sketch_width else (0, 0))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(np.ascontiguousarray(prints[:, i])) for i in range(3)]], schema=schema)
 
     return fields(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, fp bigint, s0 bigint, s1 bigint")
 
