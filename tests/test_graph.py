@@ -180,7 +180,9 @@ def test_axis_needs_more_than_ten_rows(spark):
     sets = spark.createDataFrame(rows, "tag string, labels array<string>, positions array<int>, value double")
     segments = C.axis_segments(sets)
     assert segments.filter("axis = 1").count() == 9
-    assert {r.axis for r in C.cluster_axis(segments).collect()} == {0}
+    got = C.cluster_axis(segments).collect()
+    assert len(got) == segments.count()
+    assert {(r.axis, r.cluster is None) for r in got} == {(0, False), (1, True)}
 
 
 def test_sweep_keeps_every_sample(spark):

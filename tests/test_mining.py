@@ -152,3 +152,13 @@ def test_wide_baskets_are_mined_level_by_level(spark):
     repeated = spark.createDataFrame([(1, "a", 2), (1, "a", 3), (1, "b", 1)], "tid long, item string, qty long")
     got = U.high_utility_itemsets(repeated, price, min_util=1, as_share=False).collect()
     assert {tuple(r.itemset): r.utility for r in got} == {("a",): 5, ("b",): 1, ("a", "b"): 6}
+
+
+@pytest.mark.parametrize("rows", [0, 50_000_000])
+def test_a_basket_is_a_set(spark, rows):
+    data = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["a", "b", None]), (3, ["b"]), (4, None)], "_id long, items array<string>")
+    want = {("a",): 2, ("b",): 3, ("a", "b"): 2}
+    assert as_dict(I.frequent_itemsets_levelwise(data, min_support=0.3, enumeration_rows=rows)) == want
+    assert as_dict(I.frequent_itemsets_son(data, min_support=0.3, chunks=2, enumeration_rows=rows)) == want
+    weighted = spark.createDataFrame([(["a", "b", "a"], 2), (["b"], 1)], "items array<string>, times long")
+    assert as_dict(I.frequent_itemsets_levelwise(weighted, min_support=0.3, times_col="times", enumeration_rows=rows)) == want
