@@ -309,7 +309,9 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, piece: int = PIEC
     same = classes.filter("low <> high").select("a", "b", "low", "high", words("left").alias("l"), words("right").alias("r"))
     same = same.filter(F.col("l") + F.col("r") >= passage)
     found = same.unionByName(neighbour_matches(classes, passage, piece))
+    # Written, so that the join deals both sides anew and can split surroundings that very many documents share.
     reach = found.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("l", "r", "high")], F.min("low").alias("low"))
+    reach = materialise(reach, "suffix-reach")
     other = F.when(F.col("low") != F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
     spans = places.join(reach, ["a", "b"]).select(*KEY, (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"), other.alias("other"))
     spans = spans.groupBy(*KEY, "start", "end").agg(F.min("other").alias("other"))
