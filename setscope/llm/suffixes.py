@@ -34,7 +34,7 @@ from setscope.llm.common import fields, partitions
 
 PASSAGE, PIECE = 50, 8
 #: Rows that are broadcast at most, where they are counted before; more are joined by a shuffle.
-BROADCAST_KEYS, BROADCAST_PLACES = 1_000_000, 2_000_000
+BROADCAST_KEYS = 1_000_000
 #: Suffixes that open alike and are put into the second order within a task.
 OPENING = 2048
 KEY = ["doc_id", "text_hash"]
@@ -104,9 +104,8 @@ def surroundings(docs: DataFrame, starts: DataFrame, passage: int, piece: int) -
     """``(doc_id, text_hash, at, right, left, ctx)``: words from a place on, and words before it from the nearest to the farthest."""
     reach = passage - piece
     schema = pa.schema([*[(c, pa.int64()) for c in (*KEY, "at")], ("right", pa.string()), ("left", pa.string())])
-    starts = materialise(starts.groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("places")), "suffix-places")
-    places = starts.agg(F.sum(F.size("places"))).first()[0] or 0
-    rows = docs.join(counted_broadcast(starts, places, BROADCAST_PLACES), KEY)
+    # Places grow with the corpus, so the texts that have some are shuffled to them at every size.
+    rows = docs.join(starts.groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("places")), KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

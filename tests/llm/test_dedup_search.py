@@ -56,7 +56,6 @@ def test_repeated_passages_equal_brute_force(spark, docs, monkeypatch, small):
     if small:
         monkeypatch.setattr(suffixes, "OPENING", 2)
         monkeypatch.setattr(suffixes, "BROADCAST_KEYS", 0)
-        monkeypatch.setattr(suffixes, "BROADCAST_PLACES", 0)
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert found_words(suffixes.repeated_passages(docs)) == covered(rows)
 
