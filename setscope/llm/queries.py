@@ -35,6 +35,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_summary(read(spark, sf_dir, "documents"))
 
 
+ORACLES["op6_secret_scan"] = secrets.oracle()
+
+
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_summary(licenses.scan_licenses(read(spark, sf_dir, "documents")))
@@ -68,6 +71,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages")).drop("url")
 
 
+ORACLES["op7_warc"] = warc.ORACLE
+
+
 @query
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(read(spark, sf_dir, "documents"))

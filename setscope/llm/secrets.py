@@ -155,3 +155,53 @@ def redact(docs: DataFrame, placeholder: str = "[SECRET]") -> DataFrame:
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_spans", zero, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
     return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+
+
+def _either_case(pattern: str) -> str:
+    """Spells out the names of a pattern in either case, for an engine that folds letters beyond ASCII, too."""
+    if not pattern.startswith("(?i:"):
+        return pattern
+    names, rest = pattern[4:].split(")", 1)
+    # The classes of ``jdbc:[a-z]+`` stand for both cases as well.
+    names = names.replace("[a-z]", "[a-zA-Z]")
+    spelled, inside = "", False
+    for c in names:
+        inside = c == "[" or inside and c != "]"
+        spelled += f"[{c}{c.upper()}]" if c.isalpha() and not inside else c
+    return f"(?:{spelled}){rest}"
+
+
+def oracle() -> str:
+    """SQL for ``secret_summary`` over the table ``documents``."""
+    found = []
+    for i, (_, pattern, group, least) in enumerate(STRONG + WEAK):
+        p = "'" + _either_case(pattern).replace("'", "''") + "'"
+        found.append(
+            f"SELECT r, {i} AS kind, string_split_regex(t, {p}) AS g, regexp_extract_all(t, {p}) AS w, "
+            f"regexp_extract_all(t, {p}, {group}) AS v, {least} AS least FROM d WHERE regexp_matches(t, {p})"
+        )
+    role = " ".join(f"WHEN {i} THEN '{ROLES[k]}'" for i, k in enumerate(KINDS))
+    name = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS))
+    half = SCOPE // 2
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(found)}),
+p AS (
+  SELECT r, kind, len(w[k]) AS n, len(v[k]) >= least AS kept,
+    list_sum(list_transform(g[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(w[1:k - 1], lambda x: len(x))), 0) AS a
+  FROM m, unnest(range(1, len(w) + 1)) AS t(k)),
+parts AS (SELECT r, kind, CAST(a AS BIGINT) AS a, CAST(a + n AS BIGINT) AS z, CASE kind {role} END AS role FROM p WHERE kept),
+scoped AS (SELECT *, unnest(range(greatest(a // {half} - 1, 0), (z - 1) // {half} + 1)) AS s FROM parts),
+met AS (SELECT r, s FROM scoped GROUP BY r, s HAVING bool_or(role = 'identifier') AND bool_or(role = 'secret')),
+said AS (
+  SELECT r, kind, a, z FROM parts WHERE kind < {len(STRONG)}
+  UNION ALL SELECT DISTINCT r, kind, a, z FROM scoped SEMI JOIN met USING (r, s) WHERE kind >= {len(STRONG)}),
+texts AS (SELECT *, CASE kind {name} END || ':' || a || ':' || z AS shown FROM said),
+sums AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(shown, ',' ORDER BY a, kind) FILTER (kind < {len(STRONG)}) AS base, string_agg(shown, ',' ORDER BY a, kind) AS spans
+  FROM texts GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN sums ON d.r = sums.r
+"""

@@ -262,3 +262,19 @@ def archive_round_trip(pages: DataFrame, *, least_revisit: int = 0) -> DataFrame
     folder = new_path(pages.sparkSession, "warc")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     return read_warc(write_warc(pages, folder, least_revisit=least_revisit), folder, payloads=False).drop("payload")
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits FROM p),
+b AS (
+  SELECT page_id, html, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, i * 5 + j + 1, 1) AS BIGINT) << (4 - j))) AS BIGINT), 1)), '')
+    AS payload_digest
+  FROM h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM b)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
+"""
