@@ -16,14 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setscope.functions.tables import materialise
-from setscope.llm import decontaminate, pieces, quality, secrets, simhash
+from setscope.llm import decontaminate, pieces, quality, resemblance, secrets
 from setscope.llm.common import read
 from setscope.llm.queries import piece_model
 
-#: Near-duplicates: fingerprints of words, each counted three times at most, find pairs, and 128 one-bit minimum hashes of five-word
-#: shingles decide. A similarity of 0.8 leaves 10 % of these bits different, 12.8 of 128 on average; 18 are one and a half standard
-#: deviations more.
-WORDS, MOST_TIMES, FINGERPRINT_BITS, SHINGLE, MOST_MISMATCHES = 1, 3, 7, 5, 18
+#: Near-duplicates share four fifths of their five-word shingles; SimHash links go first, an exact join finds the rest.
+SHINGLE = 5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates, the document with the smallest id; of rows with that id, one."""
-    classes = simhash.near_duplicate_classes(docs, WORDS, FINGERPRINT_BITS, SHINGLE, MOST_MISMATCHES, MOST_TIMES)
+    classes = resemblance.resemblance_classes(docs, SHINGLE)
     # Documents without an id have no place in a class; they stay.
     kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])

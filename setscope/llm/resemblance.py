@@ -1,0 +1,177 @@
+"""Near-duplicates by the exact Jaccard similarity of their sets of shingles, 0.8 or more.
+
+Two sets so similar share one of the first ``n - ceil(0.8 n) + 1`` members of each, in any order that all sets follow. Those members
+are indexed, with common shingles last; the order is taken from a sample and bears on speed only, no pair depends on it. Every link is
+proved with both whole sets, so nothing is decided by an estimate.
+
+Not all pairs of a large family are needed, as classes are connected components. First the links of SimHash fingerprints are proved,
+then each key's members with one member of the key, chosen by a hash. What is left are pairs that share a key and are not connected
+yet; all of these are proved. Keys whose members are one class by then make no pairs.
+
+Words, short texts and null ids are as in ``simhash``; texts without words are one class. Shingles count as equal if their 64-bit
+hashes are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from setscope.functions.tables import materialise
+from setscope.llm.common import fields
+from setscope.llm.components import components
+from setscope.llm.simhash import _joined, fingerprint, near_links
+
+#: Texts of the sample that orders the shingles, in how many of them a shingle is common, and how many are told apart.
+SAMPLE, COMMON, MOST_COMMON = 4000, 4, 300_000
+#: How often each key's members are proved with one of them before the pairs that are left.
+STARS = 2
+#: Rows that go back to Spark at once.
+ROWS = 500
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    shingles, n = _joined((text or "").encode().lower().split(), width)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64, count=n))
+
+
+def set_id(members: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(members.tobytes())).view(np.int64))
+
+
+def prefix(members: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The members by which a set is found, ``common`` ones (sorted, in ``times`` texts of the sample) last."""
+    n = len(members)
+    weight = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, members), len(common) - 1)
+        weight = np.where(common[at] == members, times[at], 0)
+    return members[np.lexsort((members, weight))[: n - (4 * n + 4) // 5 + 1]] if n else members
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.array([], np.uint64)]).view(np.int64)))
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """``(node, members)`` of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                found = [shingle_set(t.as_py(), width) for t in whole.slice(at, ROWS)["text"]]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(m) for m in found], pa.int64()), _lists(found)], names=["node", "members"])
+
+    return texts.select("text").mapInArrow(run, "node bigint, members array<bigint>")
+
+
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample of the texts, sorted, and in how many texts of it they are."""
+    parts = max(1, texts.count() // SAMPLE)
+    sample = texts.filter(F.pmod("text_hash", F.lit(parts)) == 0).dropDuplicates(["text_hash"])
+    counts = _sets(sample, width).select(F.explode("members").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()
+    keys, n = (rows[c].to_numpy() for c in ("key", "n"))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], n[order]
+
+
+def _prints(texts: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, text_hash, fp, node, n, prefix)`` of every row."""
+    common, times = _common(texts, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                b = whole.slice(start, ROWS)
+                fp, node, n, found = [], [], [], []
+                for text in b["text"]:
+                    text = text.as_py()
+                    members = shingle_set(text, width)
+                    fp.append(fingerprint(text, width))
+                    node.append(set_id(members))
+                    n.append(len(members))
+                    found.append(prefix(members, common, times))
+                numbers = [pa.array(x, pa.int64()) for x in (fp, node, n)]
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], *numbers, _lists(found)], names=["doc_id", "text_hash", "fp", "node", "n", "prefix"])
+
+    return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint, node bigint, n bigint, prefix array<bigint>")
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Sizes and, at the first member that two sets share, what is left of both must allow the similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    rest = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * rest >= 4 * (n + m)) & (F.col(f"{a}.root") != F.col(f"{b}.root"))
+
+
+def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
+    return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
+
+
+def _proved(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose whole sets have a similarity of 0.8 or more."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    hashes = nodes.join(ends, "node", "left_semi").select("text_hash")
+    sets = materialise(_sets(texts.join(hashes, "text_hash", "left_semi").dropDuplicates(["text_hash"]), width), "resemblance-sets")
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
+    shared = 9 * F.size(F.array_intersect("of_a", "of_b")) >= 4 * (F.size("of_a") + F.size("of_b"))
+    return materialise(pairs.join(left, "a").join(right, "b").filter(shared).select("a", "b"), "resemblance-links")
+
+
+def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    return nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _unsettled(index: DataFrame, links: DataFrame) -> DataFrame:
+    """The index with the class of each node so far, without the keys of one class."""
+    named = materialise(_named(index, links), "resemblance-named")
+    several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    return materialise(named.join(several, "key", "left_semi"), "resemblance-index")
+
+
+def resemblance_classes(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``(doc_id, text_hash, component_id)`` per document; the class id is the smallest id reachable over links."""
+    texts = fields(docs, doc_id="bigint", text="string").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    prints = materialise(_prints(texts, width), "resemblance-prints")
+    nodes = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("text_hash", "fp", "n")], F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"))
+    nodes = materialise(nodes, "resemblance-nodes")
+
+    # Fingerprints: their nodes with the least of them, and that one over the links.
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    zero = F.lit(0).cast("bigint")
+    close = near_links(heads.select(F.col("fp").alias("node"), "fp", zero.alias("s0"), zero.alias("s1")))
+    for end in ("a", "b"):
+        close = close.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}")), end)
+    tested = _pairs(nodes.join(heads, "fp").select("node", "head").unionByName(close.select(F.col("head_a").alias("node"), F.col("head_b").alias("head"))), "node", "head")
+    tested = materialise(tested, "resemblance-pairs")
+    links = _proved(tested, texts, nodes, width)
+
+    every = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key")
+    index = materialise(every.join(shared, "key", "left_semi"), "resemblance-index")
+    for turn in range(STARS + 1):
+        index = _unsettled(index.select("node", "n", "pos", "key"), links)
+        if index.isEmpty():
+            break
+        other = index.select("key", F.struct("node", "n", "pos", "root").alias("b"))
+        if turn < STARS:
+            other = index.groupBy("key").agg(F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", F.lit(turn))).alias("b"))
+        met = index.select("key", F.struct("node", "n", "pos", "root").alias("a")).join(other, "key").filter(_may_link("a", "b"))
+        pairs = _pairs(met.select(F.col("a.node").alias("x"), F.col("b.node").alias("y")), "x", "y")
+        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "resemblance-pairs")
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(_proved(pairs, texts, nodes, width))
+
+    roots = materialise(_named(nodes.select("node", "least"), links), "resemblance-roots")
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = roots.join(least, "root").select("node", "component_id")
+    return prints.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "component_id")

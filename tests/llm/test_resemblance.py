@@ -1,0 +1,59 @@
+"""Near-duplicates of the pipeline beside exact similarities of all pairs."""
+
+import random
+
+import corpus_pipeline
+import pytest
+from edge import documents, frame, odd_rows, words
+
+from setscope.llm import resemblance
+
+
+def shingles(text: str | None, width: int = 5) -> frozenset:
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+
+def exact_classes(rows: list[tuple]) -> dict:
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (doc, _), g in zip(rows, group, strict=True):
+        if doc is not None:
+            least[g] = min(doc, least.get(g, doc))
+    return {(doc, text): least.get(g) for (doc, text), g in zip(rows, group, strict=True)}
+
+
+@pytest.fixture(scope="module")
+def rows() -> list[tuple]:
+    """Blocks appended, beginnings dropped, words changed, at similarities around 0.8; a family with a common passage."""
+    out, rnd = odd_rows(), random.Random(7)
+    for i in range(24):
+        n = rnd.randrange(60, 500)
+        base = words(n, 1000 + i, 5000).split()
+        share = 0.16 + 0.01 * (i % 8)
+        extra = words(int(n * share / (1 - share)), 2000 + i, 5000).split()
+        scattered = [f"z{k}" if k % 45 == 9 else w for k, w in enumerate(base)]
+        out += [(1000 + 4 * i + k, " ".join(v)) for k, v in enumerate((base, base + extra, base[int(n * share) :], scattered))]
+    passage = words(120, 3000, 5000)
+    out += [(2000 + i, f"{passage} {words(10 + 2 * (i % 12), 3100 + i, 5000)}") for i in range(40)]
+    return out
+
+
+@pytest.mark.parametrize("stars", [2, 0])
+def test_classes_equal_exact_similarity(spark, rows, monkeypatch, stars):
+    monkeypatch.setattr(resemblance, "STARS", stars)
+    docs = frame(spark, documents(rows))
+    got = resemblance.resemblance_classes(docs).collect()
+    want = exact_classes(rows)
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {d: c for (d, _), c in want.items() if d is not None}
+
+
+def test_stage_drops_what_is_similar_by_blocks(spark, rows):
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, frame(spark, documents(rows)), "").collect()}
+    assert kept == {d for (d, _), c in exact_classes(rows).items() if d is None or d == c}
