@@ -147,8 +147,7 @@ def resemblance_classes(docs: DataFrame, width: int = 5) -> DataFrame:
 
     # Fingerprints: their nodes with the least of them, and that one over the links.
     heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
-    zero = F.lit(0).cast("bigint")
-    close = near_links(heads.select(F.col("fp").alias("node"), "fp", zero.alias("s0"), zero.alias("s1")))
+    close = near_links(heads)
     for end in ("a", "b"):
         close = close.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}")), end)
     tested = _pairs(nodes.join(heads, "fp").select("node", "head").unionByName(close.select(F.col("head_a").alias("node"), F.col("head_b").alias("head"))), "node", "head")

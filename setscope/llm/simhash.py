@@ -5,9 +5,10 @@ most: two segments for three bits. Each segment is indexed as it is and with eac
 bucket's members are compared bit by bit. A key with a bit left out only links fingerprints that differ in that bit, since all others
 meet in the plain key.
 
-Copies share a fingerprint and are one node from the start. A bucket gives a tree for each connected group of its members, or, if it
-has a handful of them, their links. Segment values with very many members (a family of near-copies) are indexed again by the rest of their bits until buckets are
-small, so no bucket grows with the input and none is cut short.
+Only distinct fingerprints are indexed, however many texts share one. A bucket gives a tree for each connected group of its members, or,
+if it has a handful of them, their links. Segment values with very many members (a family of near-copies) are indexed again by the rest of
+their bits, for the distance that the bits left out so far leave, until buckets are small or no bits are left. Then a bucket's members
+differ in bits left out only, which are as many as the distance at most, so no bucket grows with the input and none is cut short.
 
 Words are split at ASCII white space and A-Z lower-cased. Fewer words than a shingle are one shingle; no words, null texts among them,
 give fingerprint zero, which links like any other. Null ids never become class ids. Other columns are not read; repeated rows give
@@ -16,10 +17,8 @@ repeated results.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -59,52 +58,25 @@ def _joined(words: list[bytes], width: int) -> tuple[Iterator[bytes], int]:
     return map(b" ".join, zip(*[words[i:] for i in range(width)])), len(words) - width + 1
 
 
-def fingerprint(text: str | None, width: int, most: int = 0) -> int:
-    """SimHash of a text's shingles, as a signed number: a bit is set if it is in over half the hashes.
-
-    With ``most``, a shingle counts so many times at most: frequent words then say less, and texts of one language come apart."""
+def fingerprint(text: str | None, width: int) -> int:
+    """SimHash of a text's shingles, as a signed number: a bit is set if it is in over half the hashes."""
     shingles, n = _joined((text or "").encode().lower().split(), width)
     if not n:
         return 0
-    if most:
-        times = {s: min(most, c) for s, c in Counter(shingles).items()}
-        shingles, n = chain.from_iterable(map(repeat, times, times.values())), sum(times.values())
     counts = _counts(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), n)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def sketch(text: str | None, width: int) -> tuple[int, int]:
-    """128 one-bit minimum hashes of a text's set of shingles; the share of equal bits estimates (1 + Jaccard similarity) / 2."""
-    shingles, n = _joined((text or "").encode().lower().split(), width)
-    if not n:
-        return 0, 0
-    seeds = np.arange(1, 129, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    least = np.full(128, np.iinfo(np.uint64).max, dtype=np.uint64)
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64, count=n))
-    for at in range(0, len(hashes), 1024):
-        mixed = hashes[at : at + 1024, None] ^ seeds[None, :]
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(32)
-        least = np.minimum(least, mixed.min(axis=0))
-    low, high = np.packbits((least & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
-    return int(low), int(high)
-
-
-def fingerprints(docs: DataFrame, width: int, sketch_width: int = 0, most: int = 0) -> DataFrame:
-    """``(doc_id, fp, s0, s1)``; the sketches are zero without a ``sketch_width``."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", "s0", "s1")])
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, fp)``."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.zeros((b.num_rows, 3), dtype=np.int64)
-            for i, text in enumerate(b["text"]):
-                text = text.as_py()
-                prints[i] = fingerprint(text, width, most), *(sketch(text, sketch_width) if sketch_width else (0, 0))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(np.ascontiguousarray(prints[:, i])) for i in range(3)]], schema=schema)
+            prints = [fingerprint(text.as_py(), width) for text in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(prints, pa.int64())], schema=schema)
 
-    return fields(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, fp bigint, s0 bigint, s1 bigint")
+    return fields(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -121,7 +93,7 @@ def segment_masks(free: int, distance: int) -> list[int]:
     return [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:]) if z > a]
 
 
-COLUMNS = ("key", "must", "free", "node", "fp", "s0", "s1")
+COLUMNS = ("key", "must", "free", "fp")
 SCHEMA = ", ".join(f"{c} bigint" for c in COLUMNS)
 
 
@@ -136,11 +108,13 @@ def _keys(rows: DataFrame, distance: int, wildcards: bool = True) -> DataFrame:
         with np.errstate(over="ignore"):
             for b in batches:
                 table = {c: b[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in COLUMNS}
-                for free in np.unique(table["free"]):
-                    at = table["free"] == free
+                spent = np.bitwise_count(table["must"]).astype(np.uint64)
+                for free, so_far in np.unique(np.stack([table["free"], spent]), axis=1).T:
+                    at = (table["free"] == free) & (spent == so_far)
                     own = {c: v[at] for c, v in table.items()}
-                    for number, mask in enumerate(segment_masks(int(free), distance)):
-                        left_out = [1 << i for i in range(BITS) if mask >> i & 1] if wildcards else []
+                    rest = distance - int(so_far)
+                    for number, mask in enumerate(segment_masks(int(free), rest)):
+                        left_out = [1 << i for i in range(BITS) if mask >> i & 1] if wildcards and rest else []
                         for bit in [0, *left_out]:
                             path = _mix(own["key"] + np.uint64((number << 8) + bit.bit_length() + 1))
                             key = _mix(path ^ (own["fp"] & np.uint64(mask & ~bit)))
@@ -150,7 +124,7 @@ def _keys(rows: DataFrame, distance: int, wildcards: bool = True) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
-def bucket_links(rows: dict[str, np.ndarray], distance: int, mismatches: int) -> list[tuple[int, int]]:
+def bucket_links(rows: dict[str, np.ndarray], distance: int) -> list[tuple[int, int]]:
     """A tree for each connected group of one bucket's members."""
     fp, must = rows["fp"], rows["must"][0]
     left, out = np.arange(len(fp)), []
@@ -160,20 +134,17 @@ def bucket_links(rows: dict[str, np.ndarray], distance: int, mismatches: int) ->
             i = todo.pop()
             apart = fp[left] ^ fp[i]
             near = (np.bitwise_count(apart) <= distance) & ((apart & must) == must)
-            if mismatches < 128:
-                near &= np.bitwise_count(rows["s0"][left] ^ rows["s0"][i]) + np.bitwise_count(rows["s1"][left] ^ rows["s1"][i]) <= mismatches
             if near.any():
                 found = left[near]
                 out.extend((start, j) for j in found)
                 todo.extend(found)
                 left = left[~near]
-    return [(int(rows["node"][a].view(np.int64)), int(rows["node"][b].view(np.int64))) for a, b in out]
+    return [(int(fp[a].view(np.int64)), int(fp[b].view(np.int64))) for a, b in out]
 
 
-def _bucket_trees(keyed: DataFrame, distance: int, mismatches: int) -> DataFrame:
-    """Links ``(a, b)`` of keyed rows, sorted by key; memory holds a batch and one bucket. Without sketches a fingerprint is its node."""
-    needed = ["key", "must", "fp", *(["node", "s0", "s1"] if mismatches < 128 else [])]
-    keyed = keyed.select(*needed).repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
+def _bucket_trees(keyed: DataFrame, distance: int) -> DataFrame:
+    """Links ``(a, b)`` of keyed rows, sorted by key; memory holds a batch and one bucket."""
+    keyed = keyed.select("key", "must", "fp").repartition(partitions(keyed.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
@@ -190,17 +161,14 @@ def _bucket_trees(keyed: DataFrame, distance: int, mismatches: int) -> DataFrame
                     break
                 apart = rows["fp"][one] ^ rows["fp"][one + step]
                 one = one[(np.bitwise_count(apart) <= distance) & ((apart & rows["must"][one]) == rows["must"][one])]
-                if mismatches < 128:
-                    one = one[sum(np.bitwise_count(rows[s][one] ^ rows[s][one + step]).astype(int) for s in ("s0", "s1")) <= mismatches]
-                pairs.append(np.stack([rows["node"][one], rows["node"][one + step]], axis=1).view(np.int64))
+                pairs.append(np.stack([rows["fp"][one], rows["fp"][one + step]], axis=1).view(np.int64))
             for a, z in zip(starts[sizes > SMALL], ends[sizes > SMALL], strict=True):
-                out.extend(bucket_links({c: v[a:z] for c, v in rows.items()}, distance, mismatches))
+                out.extend(bucket_links({c: v[a:z] for c, v in rows.items()}, distance))
             found = np.concatenate([np.array(out, dtype=np.int64).reshape(-1, 2), *pairs])
             return _frame(a=found[:, 0], b=found[:, 1])
 
         for b in batches:
             rows = {c: b[c].to_numpy(zero_copy_only=False).view(np.uint64) for c in b.schema.names}
-            rows.setdefault("node", rows["fp"])
             if rest is not None:
                 rows = {c: np.concatenate([rest[c], v]) for c, v in rows.items()}
             ends = np.flatnonzero(np.diff(rows["key"])) + 1
@@ -214,43 +182,39 @@ def _bucket_trees(keyed: DataFrame, distance: int, mismatches: int) -> DataFrame
     return keyed.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_links(nodes: DataFrame, distance: int = 3, mismatches: int = 128, bucket: int = BUCKET) -> DataFrame:
-    """Links ``(a, b)`` that connect all ``(node, fp, s0, s1)``, whose node is ``fp`` if sketches do not count, within ``distance`` bits and ``mismatches`` of their sketches."""
+def near_links(nodes: DataFrame, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """Links ``(a, b)`` that connect all distinct ``fp`` of the nodes within ``distance`` bits."""
     spark = nodes.sparkSession
-    rows = nodes.select(F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("must"), F.lit(-1).cast("bigint").alias("free"), "node", "fp", "s0", "s1")
+    zero = F.lit(0).cast("bigint")
+    rows = nodes.select("fp").distinct().select(zero.alias("key"), zero.alias("must"), F.lit(-1).cast("bigint").alias("free"), "fp")
     whole = spark.createDataFrame([], "a bigint, b bigint")
     level = 0
     while True:
         # A key with a bit left out holds at most the members of two plain keys, so counting the plain ones is enough.
         plain = _keys(rows, distance, wildcards=False)
         hot = plain.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket // 2)
-        hot = materialise(plain.join(hot, "key", "left_semi").select("node").distinct(), f"simhash-hot-{level}")
         keyed = _keys(rows, distance)
-        if hot.isEmpty() or rows.filter("free <> 0").isEmpty():
-            return whole.unionByName(_bucket_trees(keyed, distance, mismatches))
+        if hot.isEmpty():
+            return whole.unionByName(_bucket_trees(keyed, distance))
         keyed = materialise(keyed, f"simhash-keys-{level}")
-        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key")
+        # Without bits to tell them apart, members of a bucket differ in the bits left out only: a handful, compared as they are.
+        sizes = keyed.filter("free <> 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("key")
         sizes = materialise(sizes, f"simhash-large-{level}")
         light = keyed.join(sizes, "key", "left_anti")
-        whole = whole.unionByName(_bucket_trees(light, distance, mismatches))
+        whole = whole.unionByName(_bucket_trees(light, distance))
         rows = materialise(keyed.join(sizes, "key", "left_semi").select(*COLUMNS), f"simhash-rest-{level}")
         level += 1
 
 
-def near_duplicate_classes(
-    docs: DataFrame, width: int = 3, distance: int = 3, sketch_width: int = 0, mismatches: int = 128, most: int = 0, bucket: int = BUCKET
-) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, width: int = 3, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, fp, component_id)`` per document; the class id is the smallest id reachable over links."""
-    prints = materialise(fingerprints(docs, width, sketch_width, most), "simhash-prints")
-    node = F.xxhash64("fp", "s0", "s1") if sketch_width else F.col("fp")
-    prints = prints.withColumn("node", node)
-    nodes = materialise(prints.groupBy("node", "fp", "s0", "s1").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    links = near_links(nodes.select("node", "fp", "s0", "s1"), distance, mismatches, bucket)
-    roots = nodes.join(components(links), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    roots = materialise(roots, "simhash-roots")
+    prints = materialise(fingerprints(docs, width), "simhash-prints")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    named = components(near_links(nodes, distance, bucket)).withColumnRenamed("node", "fp")
+    roots = materialise(nodes.join(named, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = roots.join(least, "root").select("node", "component_id")
-    return prints.join(classes, "node").select("doc_id", "fp", "component_id")
+    classes = roots.join(least, "root").select("fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_text(fp: str) -> Column:

@@ -6,7 +6,8 @@ import corpus_pipeline
 import pytest
 from edge import documents, frame, odd_rows, words
 
-from setscope.llm import resemblance
+from setscope.llm import resemblance, simhash
+from setscope.llm.components import components
 
 
 def shingles(text: str | None, width: int = 5) -> frozenset:
@@ -57,3 +58,12 @@ def test_classes_equal_exact_similarity(spark, rows, monkeypatch, stars):
 def test_stage_drops_what_is_similar_by_blocks(spark, rows):
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, frame(spark, documents(rows)), "").collect()}
     assert kept == {d for (d, _), c in exact_classes(rows).items() if d is None or d == c}
+
+
+@pytest.mark.parametrize("bucket", [1, 2])
+def test_links_when_no_bits_are_left(spark, bucket):
+    base = random.Random(5).getrandbits(63)
+    prints = [base, base ^ 0b111, base ^ 1 << 40 ^ 1 << 50 ^ 0b1000, base ^ 0b111 ^ 0b11 << 60, base ^ (1 << 63) - 1]
+    nodes = spark.createDataFrame([(p, p, s, s) for p in prints for s in range(30)], "node bigint, fp bigint, s0 bigint, s1 bigint")
+    roots = {r["node"]: r["root"] for r in components(simhash.near_links(nodes, 3, bucket=bucket)).collect()}
+    assert set(roots) == set(prints[:4]) and len(set(roots.values())) == 1
