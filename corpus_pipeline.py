@@ -31,12 +31,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the document with the smallest id; of rows with that id, one."""
+    """Of each class of near-duplicates, the document with the smallest id and text hash; of equal rows of it, one by a fixed order."""
     classes = resemblance.resemblance_classes(docs, SHINGLE)
     # Documents without an id have no place in a class; they stay.
-    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    kept = classes.filter("doc_id = component_id and text_hash = component_hash").select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash")).distinct()
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    named = docs.join(kept, (docs["doc_id"] == kept["_kept"]) & (own == kept["_hash"]), "left_semi")
+    whole = F.struct(*docs.columns)
+    once = named.groupBy(F.col("doc_id").alias("_kept"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    return once.select("_row.*").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

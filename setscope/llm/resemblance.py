@@ -139,10 +139,11 @@ def _unsettled(index: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def resemblance_classes(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, text_hash, component_id)`` per document; the class id is the smallest id reachable over links."""
+    """``(doc_id, text_hash, component_id, component_hash)`` per document; the class id is the smallest id reachable over links, the hash
+    the smallest of its texts. Different texts with one id are documents of their own."""
     texts = fields(docs, doc_id="bigint", text="string").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     prints = materialise(_prints(texts, width), "resemblance-prints")
-    nodes = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("text_hash", "fp", "n")], F.min("doc_id").alias("least"), F.first("prefix").alias("prefix"))
+    nodes = prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("text_hash", "fp", "n")], F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.col("text_hash").alias("least_hash")))).alias("least"), F.first("prefix").alias("prefix"))
     nodes = materialise(nodes, "resemblance-nodes")
 
     # Fingerprints: their nodes with the least of them, and that one over the links.
@@ -171,6 +172,6 @@ def resemblance_classes(docs: DataFrame, width: int = 5) -> DataFrame:
         links = links.unionByName(_proved(pairs, texts, nodes, width))
 
     roots = materialise(_named(nodes.select("node", "least"), links), "resemblance-roots")
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = roots.join(least, "root").select("node", "component_id")
-    return prints.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "component_id")
+    least = roots.groupBy("root").agg(F.min("least").alias("first"))
+    classes = roots.join(least, "root").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.least_hash").alias("component_hash"))
+    return prints.select("doc_id", "text_hash", "node").join(classes, "node").select("doc_id", "text_hash", "component_id", "component_hash")

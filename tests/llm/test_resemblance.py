@@ -67,3 +67,10 @@ def test_links_when_no_bits_are_left(spark, bucket):
     nodes = spark.createDataFrame([(p, p, s, s) for p in prints for s in range(30)], "node bigint, fp bigint, s0 bigint, s1 bigint")
     roots = {r["node"]: r["root"] for r in components(simhash.near_links(nodes, 3, bucket=bucket)).collect()}
     assert set(roots) == set(prints[:4]) and len(set(roots.values())) == 1
+
+
+def test_stage_keeps_different_texts_of_one_id(spark):
+    one, other, third = words(80, 1, 5000), words(90, 2, 5000), words(70, 3, 5000)
+    rows = [(1, one), (1, other), (2, other), (3, one + " end"), (3, third), (1, one)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, documents(rows)), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, other), (3, third)])
