@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from setscope.functions.tables import materialise
-from setscope.llm import decontaminate, hmm, licenses, pieces, quality, secrets, simhash, suffixes, topk, warc
+from setscope.llm import decontaminate, hmm, importance, licenses, phrases, pieces, quality, secrets, simhash, suffixes, topk, warc, weak_rules
 from setscope.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,21 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.rule_summary(read(spark, sf_dir, "documents"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = phrases.ORACLE
+
+
+@query
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
