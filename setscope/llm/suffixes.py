@@ -35,6 +35,8 @@ from setscope.llm.common import fields, partitions
 PASSAGE, PIECE = 50, 8
 #: Rows that are broadcast at most, where they are counted before; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Bytes of surroundings that a task holds before it hands them over.
+WRITTEN = 1 << 22
 #: Suffixes that open alike and are put into the second order within a task.
 OPENING = 2048
 KEY = ["doc_id", "text_hash"]
@@ -108,17 +110,28 @@ def surroundings(docs: DataFrame, starts: DataFrame, passage: int, piece: int) -
     rows = docs.join(starts.groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("places")), KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], [], []]
+        written = 0
+
+        def flushed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            for column in out:
+                column.clear()
+            return batch
+
         for b in batches:
-            for start in range(0, b.num_rows, 256):
-                part = b.slice(start, 256)
-                out: list[list] = [[], [], [], [], []]
-                for doc, text_hash, text, places in zip(*[part[c] for c in (*KEY, "text", "places")], strict=True):
-                    words = text.as_py().encode().split()
-                    for at in places.as_py():
-                        right, left = words[at : at + passage], words[max(0, at - reach) : at][::-1]
-                        for column, v in zip(out, (doc.as_py(), text_hash.as_py(), at, b" ".join(right).decode(), b" ".join(left).decode()), strict=True):
-                            column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            for doc, text_hash, text, places in zip(*[b[c] for c in (*KEY, "text", "places")], strict=True):
+                words = text.as_py().encode().split()
+                for at in places:
+                    at = at.as_py()
+                    right, left = b" ".join(words[at : at + passage]), b" ".join(words[max(0, at - reach) : at][::-1])
+                    for column, v in zip(out, (doc.as_py(), text_hash.as_py(), at, right.decode(), left.decode()), strict=True):
+                        column.append(v)
+                    written += len(right) + len(left)
+                    if written > WRITTEN:
+                        written = 0
+                        yield flushed()
+        yield flushed()
 
     around = rows.select(*KEY, "text", "places").mapInArrow(run, "doc_id bigint, text_hash bigint, at bigint, right string, left string")
     # Two hashes name the surroundings.
