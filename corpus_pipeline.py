@@ -16,12 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setscope.functions.tables import materialise
-from setscope.llm import decontaminate, pieces, quality, resemblance, secrets
+from setscope.llm import decontaminate, pieces, quality, secrets, simhash
 from setscope.llm.common import read
 from setscope.llm.queries import piece_model
 
-#: Near-duplicates share four fifths of their five-word shingles; SimHash links go first, an exact join finds the rest.
-SHINGLE = 5
+#: Near-duplicates have fingerprints of three-word shingles that differ by three bits or fewer.
+SHINGLE, DISTANCE = 3, 3
+
+
+def _as_rows(docs: DataFrame) -> DataFrame:
+    """``(row, id, hash)``: the table as one struct beside its key, so that its columns may have any names."""
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    return docs.select(whole.alias("row"), docs["doc_id"].cast("bigint").alias("id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("hash"))
+
+
+def _as_table(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,30 +41,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the document with the smallest id and text hash; of equal rows of it, one by a fixed order."""
-    classes = resemblance.resemblance_classes(docs, SHINGLE)
-    # Documents without an id have no place in a class; they stay.
-    kept = classes.filter("doc_id = component_id and text_hash = component_hash").select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash")).distinct()
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    named = docs.join(kept, (docs["doc_id"] == kept["_kept"]) & (own == kept["_hash"]), "left_semi")
-    whole = F.struct(*docs.columns)
-    once = named.groupBy(F.col("doc_id").alias("_kept"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash")).agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
-    return once.select("_row.*").unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Of each class of near-duplicates, the document with the smallest id; of several texts or equal rows of it, one by a fixed order.
+    Documents without an id have no place in a class; they stay."""
+    classes = simhash.near_duplicate_classes(docs, SHINGLE, DISTANCE)
+    first = classes.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    kept = first.select(F.col("kept.doc_id").alias("of_id"), F.col("kept.text_hash").alias("of_hash")).distinct()
+    rows = _as_rows(docs).withColumn("rest", F.to_json(F.struct(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "text"])))
+    named = rows.join(kept, (F.col("id") == F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left_semi")
+    once = named.groupBy("id", "hash").agg(F.min_by("row", "rest").alias("row"))
+    return _as_table(once.select("row").unionByName(rows.filter("id is null").select("row")), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark")).filter("n_hit > 0")
-    hit = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (own == hit["_hash"]), "left_anti").select(*docs.columns)
+    hit = found.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash")).distinct()
+    on = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))
+    return _as_table(_as_rows(docs).join(hit, on, "left_anti"), docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a placeholder for every secret."""
-    clean = secrets.redact(docs.withColumnRenamed("n_chars", "_chars").withColumn("_before", F.col("text")))
-    size = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("_chars")).otherwise(F.length("text").cast("bigint"))
-    return clean.withColumn("n_chars", size).select(*docs.columns)
+    """All documents, with a placeholder for every secret; ``n_chars`` is set anew where a text changed."""
+    return secrets.redact(docs, size_column="n_chars")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

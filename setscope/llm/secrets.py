@@ -134,27 +134,43 @@ def secret_summary(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, placeholder: str = "[SECRET]") -> DataFrame:
-    """``docs`` with all their columns, every reported span of ``text`` replaced; touching spans give one placeholder."""
-    spans = scan_secrets(docs).select(*KEY, F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("_spans"))
-    spans = spans.select(*[F.col(k).alias(f"_{k}") for k in KEY], "_spans")
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    on = F.col("_doc_id").eqNullSafe(F.col("doc_id").cast("bigint")) & F.col("_text_hash").eqNullSafe(F.col("_hash"))
+def redact(docs: DataFrame, placeholder: str = "[SECRET]", size_column: str | None = None) -> DataFrame:
+    """``docs`` with all their columns, every reported span of ``text`` replaced; touching spans give one placeholder. A column named
+    ``size_column`` gets the new length of texts that changed.
+
+    The table travels as one struct beside names of this function, so its columns may have any names and come back unchanged; a table
+    without spans keeps its texts, null ones too.
+    """
+    # Each span with the furthest end before it; both give the text in between.
+    earlier = Window.partitionBy(*KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    each = scan_secrets(docs).select(*KEY, F.explode("spans").alias("s")).select(*KEY, "s.start", "s.end")
+    each = each.withColumn("before", F.coalesce(F.max("end").over(earlier), F.lit(0).cast("bigint")))
+    spans = each.groupBy(*[F.col(k).alias(f"of_{k}") for k in KEY]).agg(F.sort_array(F.collect_list(F.struct("start", "end", "before"))).alias("spans"))
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        docs["doc_id"].cast("bigint").alias("doc_id"),
+        F.coalesce(docs["text"], F.lit("")).alias("text"),
+    ).withColumn("text_hash", F.xxhash64("text"))
+    on = F.col("of_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("of_text_hash") == F.col("text_hash"))
     joined = rows.join(spans, on, "left")
-    # (end of the last span, text so far); a span that starts before that end only moves it.
-    step = lambda a, s: F.struct(
-        F.greatest(a["at"], s["end"]).alias("at"),
-        F.when(
-            s["start"] > a["at"],
-            F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(placeholder)),
-        )
-        .when(a["out"] == "", F.lit(placeholder))
-        .otherwise(a["out"])
-        .alias("out"),
+    gaps = F.transform(
+        "spans",
+        lambda x, i: F.when(
+            (x["start"] > x["before"]) | (i == 0), F.concat(F.substring("text", x["before"] + 1, F.greatest(x["start"] - x["before"], F.lit(0))), F.lit(placeholder))
+        ).otherwise(""),
     )
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", zero, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    # All pieces are joined at once, so the work does not grow with the square of the spans.
+    until = F.array_max(F.transform("spans", lambda x: x["end"]))
+    clean = F.concat(F.array_join(gaps, ""), F.substring("text", until + 1, F.length("text")))
+    done = joined.withColumn("clean", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(clean))
+
+    def column(name: str) -> Column:
+        old = F.col("row").getField(name)
+        if name == size_column:
+            old = F.when(F.col("spans").isNull(), old).otherwise(F.length("clean").cast(docs.schema[name].dataType))
+        return (F.col("clean") if name == "text" else old).alias(name)
+
+    return done.select(*[column(c) for c in docs.columns])
 
 
 def _either_case(pattern: str) -> str:

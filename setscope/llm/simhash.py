@@ -68,15 +68,16 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, fp)``."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp")])
+    """``(doc_id, text_hash, fp)``; a null text counts as an empty one."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "text_hash", "fp")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = [fingerprint(text.as_py(), width) for text in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(prints, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(prints, pa.int64())], schema=schema)
 
-    return fields(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = fields(docs, doc_id="bigint", text="string").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -207,14 +208,15 @@ def near_links(nodes: DataFrame, distance: int = 3, bucket: int = BUCKET) -> Dat
 
 
 def near_duplicate_classes(docs: DataFrame, width: int = 3, distance: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per document; the class id is the smallest id reachable over links."""
+    """``(doc_id, text_hash, fp, root, component_id)`` per document; the class id is the smallest id reachable over links, ``root`` a
+    fingerprint of the class, which tells classes apart where an id repeats with different texts."""
     prints = materialise(fingerprints(docs, width), "simhash-prints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     named = components(near_links(nodes, distance, bucket)).withColumnRenamed("node", "fp")
     roots = materialise(nodes.join(named, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = roots.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = roots.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def fingerprint_text(fp: str) -> Column:

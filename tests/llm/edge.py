@@ -7,7 +7,10 @@ import random
 import pyarrow as pa
 
 #: Names that operators use inside.
-CLASHING = ("key", "at", "fp", "node", "start", "end", "kind", "label", "words", "spans", "shard", "left", "right", "text_hash", "row_id")
+CLASHING = (
+    "key", "at", "fp", "node", "start", "end", "kind", "label", "words", "spans", "shard", "left", "right", "text_hash", "row_id",
+    "row", "id", "hash", "rest", "of_id", "of_hash", "of_doc_id", "of_text_hash", "clean", "before", "_before", "_hash", "_spans", "_doc_id", "_chars",
+)
 
 
 def documents(rows: list[tuple]) -> pa.Table:

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -125,6 +126,15 @@ def test_links_connect_all_close_fingerprints(spark, distance, bucket):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, grouped.values()))
 
 
+@pytest.mark.parametrize("bucket", [1, 2])
+def test_links_when_no_bits_are_left(spark, bucket):
+    base = random.Random(5).getrandbits(63)
+    prints = [base, base ^ 0b111, base ^ 1 << 40 ^ 1 << 50 ^ 0b1000, base ^ 0b111 ^ 0b11 << 60, base ^ (1 << 63) - 1]
+    nodes = spark.createDataFrame([(p, p, s, s) for p in prints for s in range(30)], "node bigint, fp bigint, s0 bigint, s1 bigint")
+    roots = {r["node"]: r["root"] for r in components(simhash.near_links(nodes, 3, bucket=bucket)).collect()}
+    assert set(roots) == set(prints[:4]) and len(set(roots.values())) == 1
+
+
 def test_components_of_a_path_a_star_and_nothing(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     rows = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
@@ -136,17 +146,23 @@ def test_components_of_a_path_a_star_and_nothing(spark):
 
 
 def test_near_duplicate_stage_keeps_one_of_each_class(spark, docs):
-    import corpus_pipeline
-
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert kept.columns == docs.columns
     assert len(ids) == len(set(ids)) and None in ids
-    assert 70 in ids and not {71, 75, 81} & set(ids)
+    want = classes([(r["doc_id"], bits(r["text"])) for r in docs.select("doc_id", "text").collect()], 3)
+    assert set(ids) - {None} == {d for d, c in want.items() if d is not None and d == c} and 5 in ids and 6 not in ids
     # Documents that only share a passage are no near-duplicates.
     assert {40, 41, 42, 43, 44, 45, 60, 61, 62} <= set(ids)
 
 
+def test_stage_keeps_different_texts_of_one_id(spark):
+    one, other, third = words(80, 1, 5000), words(90, 2, 5000), words(70, 3, 5000)
+    rows = [(1, one), (1, other), (2, other), (3, one), (3, third), (1, one)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame(spark, documents(rows)), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, other), (3, third)])
+
+
 def test_top_k_equals_brute_force(spark):
     rnd = np.random.default_rng(5)
     vectors = rnd.normal(size=(300, 16)).round(2).tolist()

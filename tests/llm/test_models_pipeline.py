@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -176,6 +177,21 @@ def test_every_stage_takes_effect(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == sizes[-1]
 
 
+def test_stages_give_other_columns_back(spark, folder):
+    """Whatever other columns are called, a stage that keeps a document keeps them, and no secret gets into them."""
+    table = spark.read.parquet(f"{folder}/documents.parquet").toPandas()
+    ids = [None if d != d else int(d) for d in table["doc_id"].tolist()]
+    docs = frame(spark, documents(list(zip(ids, table["text"].tolist()))))
+    names = [c for c in docs.columns if c not in ("text", "n_chars")]
+    before = Counter(tuple(r) for r in docs.select(*names).collect())
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.schema == docs.schema
+        rows = out.collect()
+        assert not Counter(tuple(r[c] for c in names) for r in rows) - before
+    assert not any("hunter22secret" in str(v) for r in rows for v in r if r["doc_id"] == 504)
+
+
 def test_stages_of_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
