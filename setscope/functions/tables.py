@@ -52,7 +52,7 @@ def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
     Groups are small in bytes and heavy in time. Adaptive execution would join such partitions by size and so put many groups in one
     task; a fixed number of partitions is left alone, and the grouped function needs no second shuffle.
     """
-    return df.repartition(_slots(df.sparkSession), *keys)
+    return df.repartition(task_slots(df.sparkSession), *keys)
 
 
 def bounded_groups(df: DataFrame, keys: Sequence[str], most: int, what: str) -> DataFrame:
@@ -63,7 +63,8 @@ def bounded_groups(df: DataFrame, keys: Sequence[str], most: int, what: str) ->
     return checked.filter(F.assert_true(F.col("_rows") <= most, message).isNull()).drop("_rows")
 
 
-def _slots(spark: SparkSession) -> int:
+def task_slots(spark: SparkSession) -> int:
+    """How many partitions spread work over the whole cluster."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
@@ -76,7 +77,7 @@ def spread_rows(df: DataFrame, rows: int, emitted: float, *keys: str) -> DataFra
 
     A scan is split by bytes, so a small table with a large explosion would run in one task. A large table has splits enough.
     """
-    parts = min(math.ceil(emitted / ROWS_PER_TASK), _slots(df.sparkSession))
+    parts = min(math.ceil(emitted / ROWS_PER_TASK), task_slots(df.sparkSession))
     return df.repartition(parts, *keys) if parts > 1 and rows <= SMALL_TABLE else df
 
 

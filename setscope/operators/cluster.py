@@ -1,28 +1,19 @@
 """Edge bundling: features of pairs and axis segments, and their clusters.
 
-Ward clustering works on the distinct points of a group with their multiplicities. Points are pairs of node positions, so a group
-has at most (number of nodes) squared points, however many sets it holds. Above ``MAX_POINTS`` the task refuses; KMeans is the
-clustering without such a bound.
+Clustering works on the distinct points of a group with their multiplicities. Ward merging is in ``ward``; KMeans follows here.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import join_same
-from setscope.functions.tables import bounded_groups, spread_groups
-
-# Kernels travel to the workers by value, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from setscope.operators.kmeans import kmeans_clusters
+from setscope.operators.ward import ward_clusters
 
 # Cut heights of the two charts, the least rows of a clustered axis, and the KMeans settings.
 PAIR_HEIGHT = 1.0
@@ -30,7 +21,8 @@ AXIS_HEIGHT = 30.0
 AXIS_MIN_ROWS = 10
 KMEANS_K = 40
 KMEANS_SEED = 44
-MAX_POINTS = 40_000
+#: Sines and cosines become whole numbers of this fineness, so sums of clusters are exact.
+UNITS = 1_000_000_000
 FEATURES = ["sin1", "cos1", "sin2", "cos2"]
 
 
@@ -66,87 +58,32 @@ def pair_features(pairs: DataFrame, order: DataFrame) -> DataFrame:
     )
 
 
-def ward_labels(points: np.ndarray, weights: np.ndarray, height: float) -> np.ndarray:
-    """Flat Ward clusters of weighted points: merge while the merge height is below ``height``.
+def _units(features: Sequence[str]) -> list[Column]:
+    """Features as whole numbers of 1 / UNITS."""
+    return [F.round(F.col(f) * UNITS).cast("bigint").alias(f"unit_{f}") for f in features]
 
-    Nearest-neighbour chain with centroids: linear memory, quadratic time. Clusters are numbered by their first point.
-    """
-    n = len(points)
-    if n > MAX_POINTS:
-        raise ValueError(f"{n} distinct points in one group; Ward takes at most {MAX_POINTS}, use the KMeans operator")
-    centre = points.astype(float).copy()
-    size = weights.astype(float).copy()
-    alive = np.ones(n, dtype=bool)
-    parent = np.arange(n)
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = int(parent[i])
-        return i
-
-    chain: list[int] = []
-    for _ in range(n - 1):
-        if not chain:
-            chain = [int(np.argmax(alive))]
-        while True:
-            top = chain[-1]
-            square = 2 * size[top] * size / (size[top] + size) * ((centre - centre[top]) ** 2).sum(1)
-            square[~alive] = np.inf
-            square[top] = np.inf
-            near = int(np.argmin(square))
-            if len(chain) > 1 and square[chain[-2]] <= square[near]:
-                near = chain[-2]
-            if len(chain) > 1 and near == chain[-2]:
-                break
-            chain.append(near)
-        gap = float(np.sqrt(square[near]))
-        kept, gone = min(top, near), max(top, near)
-        # Heights never fall along the tree, so cutting keeps exactly the merges below the bound.
-        if gap < height:
-            parent[root(gone)] = root(kept)
-        centre[kept] = (size[top] * centre[top] + size[near] * centre[near]) / (size[top] + size[near])
-        size[kept] = size[top] + size[near]
-        alive[gone] = False
-        chain = chain[:-2]
-    roots = np.array([root(i) for i in range(n)])
-    first = {}
-    for i, r in enumerate(roots):
-        first.setdefault(r, len(first))
-    return np.array([first[r] for r in roots], dtype="int32")
-
-
-def _ward(rows: DataFrame, keys: Sequence[str], point: Sequence[str], features: Sequence[str], height: float) -> DataFrame:
-    """``(keys, point, cluster)``: Ward on the distinct points of each group."""
-    counted = rows.groupBy(*keys, *point).agg(*[F.first(f).alias(f) for f in features if f not in point], F.count(F.lit(1)).alias("w"))
-    group = list(keys) or ["_all"]
-    if not keys:
-        counted = counted.withColumn("_all", F.lit(0))
-    fields = {f.name: f.dataType.simpleString() for f in counted.schema.fields}
-    out = [*group, *point]
-
-    def one_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(point)).reset_index(drop=True)
-        labels = ward_labels(pdf[list(features)].to_numpy(float), pdf["w"].to_numpy(), height)
-        return pdf[out].assign(cluster=labels)
-
-    schema = ", ".join(f"{c} {fields[c]}" for c in out) + ", cluster int"
-    counted = bounded_groups(counted, group, MAX_POINTS, "Ward clustering, use KMeans instead")
-    return spread_groups(counted, *group).groupBy(*group).applyInPandas(one_group, schema).select(*keys, *point, "cluster")
+
+def pair_points(features: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, pos1, pos2, unit features, w)``: the distinct points with the number of their rows."""
+    units = _units(FEATURES)
+    names = [f"unit_{f}" for f in FEATURES]
+    rows = features.select(*keys, "pos1", "pos2", *units)
+    return rows.groupBy(*keys, "pos1", "pos2").agg(*[F.min(c).alias(c) for c in names], F.count(F.lit(1)).alias("w"))
 
 
 def cluster_pairs(features: DataFrame, *, group_cols: Sequence[str] = (), height: float = PAIR_HEIGHT) -> DataFrame:
     """Pair features with their Ward cluster; one clustering over all rows, or one per group."""
-    found = _ward(features, group_cols, ["pos1", "pos2"], FEATURES, height)
-    return join_same(features, found, [*group_cols, "pos1", "pos2"])
+    keys = list(group_cols)
+    points = pair_points(features, keys)
+    coords = [f"unit_{f}" for f in FEATURES]
+    found = ward_clusters(points, keys=keys, names=["pos1", "pos2"], coords=coords, height=height * UNITS)
+    return join_same(features, found, [*keys, "pos1", "pos2"])
 
 
 def cluster_pairs_kmeans(features: DataFrame, *, k: int = KMEANS_K, seed: int = KMEANS_SEED) -> DataFrame:
-    """Pair features with their KMeans cluster, trained on distinct points weighted by their rows."""
-    distinct = features.groupBy("pos1", "pos2").agg(*[F.first(f).alias(f) for f in FEATURES], F.count(F.lit(1)).alias("w"))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="point").transform(distinct)
-    model = KMeans(k=k, seed=seed, featuresCol="point", predictionCol="cluster", weightCol="w").fit(vectors)
-    found = model.transform(vectors).select("pos1", "pos2", "cluster")
+    """Pair features with their KMeans cluster, fitted to distinct points weighted by their rows."""
+    points = pair_points(features, [])
+    found = kmeans_clusters(points, names=["pos1", "pos2"], coords=[f"unit_{f}" for f in FEATURES], k=k, seed=seed)
     return join_same(features, found, ["pos1", "pos2"])
 
 
@@ -174,5 +111,12 @@ def cluster_axis(
     keys = [*group_cols, "axis"]
     crowded = segments.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > min_rows).drop("rows")
     kept = join_same(segments, crowded, keys, "left_semi")
-    found = _ward(kept, keys, ["src", "tgt"], ["src", "tgt"], height)
+    points = kept.groupBy(*keys, "src", "tgt").agg(F.count(F.lit(1)).alias("w"))
+    found = ward_clusters(points, keys=keys, names=["src", "tgt"], coords=["src", "tgt"], height=height)
     return join_same(segments, found, [*keys, "src", "tgt"], "left")
+
+
+def set_clusters(segments: DataFrame, set_cols: Sequence[str] = ("tag", "labels", "value")) -> DataFrame:
+    """``(set columns, km_label)``: for each set the clusters of its segments by axis, NULL on sparse axes; equal sets stay one row."""
+    steps = F.sort_array(F.collect_list(F.struct("axis", "cluster")))
+    return segments.select(*set_cols, "axis", "cluster").distinct().groupBy(*set_cols).agg(steps.getField("cluster").alias("km_label"))

@@ -261,10 +261,10 @@ DAYS = """e AS (
     ROW_NUMBER() OVER (PARTITION BY user_id, STRFTIME(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS pos FROM events)"""
 
 
-@query("frequent_sequences_long", sequences_sql(DAYS, "0.001", 3))
+@query("frequent_sequences_long", sequences_sql(DAYS, "0.001", 5))
 def frequent_sequences_long(spark: SparkSession, sf: str) -> DataFrame:
     found = S.frequent_sequences_long(
-        D.sequence_events(spark, sf), id_cols=["user_id", "day"], order_cols=["ts", "event_id"], min_support=0.001, max_pattern_length=3
+        D.sequence_events(spark, sf), id_cols=["user_id", "day"], order_cols=["ts", "event_id"], min_support=0.001
     )
     return found.withColumn("sequence", F.array_join("sequence", ">"))
 

@@ -243,7 +243,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     return C.pair_features(tagged_pairs(spark, sf), brand_order(spark))
 
 
-def _rounded(rows: DataFrame) -> DataFrame:
+def rounded(rows: DataFrame) -> DataFrame:
     for name in C.FEATURES:
         # Adding zero turns a negative zero into zero.
         rows = rows.withColumn(name, F.round(name, 9) + F.lit(0.0))
@@ -256,17 +256,38 @@ def _rounded(rows: DataFrame) -> DataFrame:
       ROUND(SIN({ANGLE.format("pos2")}), 9) + 0.0 AS sin2, ROUND(COS({ANGLE.format("pos2")}), 9) + 0.0 AS cos2 FROM features""",
 )
 def pair_features(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(features(spark, sf))
+    return rounded(features(spark, sf))
 
 
-@query("cluster_pairs")
+UNIT_FEATURES = [f"unit_{f}" for f in C.FEATURES]
+
+
+def pair_points_sql(keys: str) -> str:
+    """``points(keys, pos1, pos2, unit features, w)``: the distinct pairs of places in ``features``."""
+    units = [f"CAST(ROUND({f[:3].upper()}({ANGLE.format('pos' + f[3])}) * {C.UNITS}.0::DOUBLE) AS BIGINT) AS unit_{f}" for f in C.FEATURES]
+    return f"points AS (SELECT {keys}pos1, pos2, {', '.join(units)}, COUNT(*) AS w FROM features GROUP BY ALL)"
+
+
+ROUNDED = ", ".join(f"ROUND({f[:3].upper()}({ANGLE.format('f.pos' + f[3])}), 9) + 0.0 AS {f}" for f in C.FEATURES)
+RECURSIVE_FEATURES = FEATURES.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "cluster_pairs",
+    f"""{RECURSIVE_FEATURES}, {pair_points_sql("tag, ")}, {Q.ward("points", "tag", ["pos1", "pos2"], UNIT_FEATURES, C.PAIR_HEIGHT * C.UNITS)}
+    SELECT f.*, {ROUNDED}, w.cluster FROM features f JOIN ward w ON f.tag = w.tag AND f.pos1 = w.pos1 AND f.pos2 = w.pos2""",
+)
 def cluster_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(C.cluster_pairs(features(spark, sf), group_cols=["tag"]))
+    return rounded(C.cluster_pairs(features(spark, sf), group_cols=["tag"]))
 
 
-@query("cluster_pairs_kmeans")
+@query(
+    "cluster_pairs_kmeans",
+    f"""{RECURSIVE_FEATURES}, {pair_points_sql("")}, {Q.kmeans("points", ["pos1", "pos2"], UNIT_FEATURES, C.KMEANS_K, C.KMEANS_SEED)}
+    SELECT f.*, {ROUNDED}, k.cluster FROM features f JOIN kmeans k ON f.pos1 = k.pos1 AND f.pos2 = k.pos2""",
+)
 def cluster_pairs_kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(C.cluster_pairs_kmeans(features(spark, sf)))
+    return rounded(C.cluster_pairs_kmeans(features(spark, sf)))
 
 
 SEGMENTS = f"""WITH {FREQUENT_BY_TAG}, {Q.BRAND_ORDER},
@@ -294,7 +315,15 @@ def axis_segments(spark: SparkSession, sf: str) -> DataFrame:
     return segments(spark, sf).withColumn("labels", F.array_join("labels", ","))
 
 
-@query("cluster_axis")
+AXIS_CLUSTERS = f"""
+crowded AS (SELECT axis FROM segments GROUP BY axis HAVING COUNT(*) > {C.AXIS_MIN_ROWS}),
+points AS (SELECT s.axis, src, tgt, COUNT(*) AS w FROM segments s JOIN crowded c ON s.axis = c.axis GROUP BY ALL),
+{Q.ward("points", "axis", ["src", "tgt"], ["src", "tgt"], C.AXIS_HEIGHT)},
+clustered AS (
+  SELECT s.*, w.cluster FROM segments s LEFT JOIN ward w ON s.axis = w.axis AND s.src = w.src AND s.tgt = w.tgt)"""
+
+
+@query("cluster_axis", f"{SEGMENTS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {AXIS_CLUSTERS} SELECT * FROM clustered")
 def cluster_axis(spark: SparkSession, sf: str) -> DataFrame:
     return C.cluster_axis(segments(spark, sf)).withColumn("labels", F.array_join("labels", ","))
 

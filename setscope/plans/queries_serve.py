@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from setscope.functions.columns import item_text
 from setscope.functions.tables import new_path
 from setscope.operators import baskets as B
+from setscope.operators import cluster as C
 from setscope.plans import batch, serve
 from setscope.plans import fragments as Q
 from setscope.plans.catalogue import query
+from setscope.plans.queries_graph import AXIS_CLUSTERS, ROUNDED, UNIT_FEATURES, pair_points_sql, rounded
 from setscope.plans.queries_utility import FREQUENT_BY_TAG, HIGH_BY_TAG
 from setscope.plans.stored import brand_order, parent_order, stored_headers, stored_results
 from setscope.sources import bindings as D
@@ -334,10 +336,49 @@ def serve_circ_clust(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(sets)
 
 
-@query("serve_parallel_clust")
+# Without arguments a request asks for the sets of the whole collection, in the default order.
+WHOLE = f"""WITH RECURSIVE {FREQUENT_BY_TAG}, {Q.BRAND_ORDER},
+pairs AS (
+  SELECT 'all' AS g, a.pos AS pu, b.pos AS pv, a.node AS u, b.node AS v, f.value,
+    ROUND(SIN(CAST(a.pos AS DOUBLE) / 25 * (2 * PI())), 12) AS ku, ROUND(SIN(CAST(b.pos AS DOUBLE) / 25 * (2 * PI())), 12) AS kv
+  FROM frequent f JOIN ord a ON a.node = SPLIT_PART(f.itemset, ',', 1) JOIN ord b ON b.node = SPLIT_PART(f.itemset, ',', 2)
+  WHERE f.k = 2 AND NOT f.rollup AND f.tag IS NULL),
+features AS (
+  SELECT g, value, CASE WHEN straight THEN u ELSE v END AS a, CASE WHEN straight THEN v ELSE u END AS b,
+    CASE WHEN straight THEN pu ELSE pv END AS pos1, CASE WHEN straight THEN pv ELSE pu END AS pos2
+  FROM (SELECT *, ku < kv OR (ku = kv AND pu < pv) AS straight FROM pairs))"""
+
+
+@query(
+    "serve_circ_clust_default",
+    f"""{WHOLE}, {pair_points_sql("g, ")}, {Q.ward("points", "g", ["pos1", "pos2"], UNIT_FEATURES, C.PAIR_HEIGHT * C.UNITS)}
+    SELECT CAST(NULL AS VARCHAR) AS tag, f.a, f.b, f.value, f.pos1, f.pos2, {ROUNDED}, w.cluster
+    FROM features f JOIN ward w ON f.pos1 = w.pos1 AND f.pos2 = w.pos2""",
+)
+def serve_circ_clust_default(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(serve.serve_circ_clust(stored_results(spark, sf), brand_order(spark))[0])
+
+
+@query(
+    "serve_parallel_clust",
+    f"""WITH RECURSIVE {FREQUENT_BY_TAG},
+    top AS (SELECT itemset AS label, MAX(value) AS value FROM frequent WHERE k = 1 AND NOT rollup AND tag IS NULL GROUP BY 1),
+    dom(node, i) AS (VALUES {", ".join(f"('{b}', {i})" for i, b in enumerate(D.BRANDS))}),
+    ord AS (SELECT d.node, ROW_NUMBER() OVER (ORDER BY COALESCE(t.value, 0) DESC, d.node) - 1 AS pos FROM dom d LEFT JOIN top t ON d.node = t.label),
+    long AS (SELECT f.itemset, f.value, UNNEST(STRING_SPLIT(f.itemset, ',')) AS node FROM frequent f WHERE k > 1 AND NOT rollup AND tag IS NULL),
+    places AS (
+      SELECT l.itemset, l.value, o.pos, o.node, ROW_NUMBER() OVER (PARTITION BY l.itemset ORDER BY o.pos) - 1 AS axis
+      FROM long l JOIN ord o ON l.node = o.node),
+    steps AS (SELECT *, LEAD(pos) OVER (PARTITION BY itemset ORDER BY axis) AS tgt FROM places),
+    segments AS (SELECT itemset, value, axis, pos AS src, tgt FROM steps WHERE tgt IS NOT NULL), {AXIS_CLUSTERS},
+    named AS (SELECT itemset, STRING_AGG(node, ',' ORDER BY pos) AS labels FROM places GROUP BY 1)
+    SELECT CAST(NULL AS VARCHAR) AS tag, n.labels, ANY_VALUE(c.value) AS value,
+      STRING_AGG(COALESCE(CAST(c.cluster AS VARCHAR), 'NULL'), ',' ORDER BY c.axis) AS km_label
+    FROM clustered c JOIN named n ON c.itemset = n.itemset GROUP BY n.labels""",
+)
 def serve_parallel_clust(spark: SparkSession, sf: str) -> DataFrame:
     sets, _ = serve.serve_parallel_clust(stored_results(spark, sf), brand_order(spark), by_support=True)
-    return _labels(sets)
+    return _labels(sets).withColumn("km_label", F.array_join(F.transform("km_label", lambda x: x.cast("string")), ",", "NULL"))
 
 
 FOUND = f"""WITH {Q.maps("p_type")}, {Q.META},

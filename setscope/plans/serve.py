@@ -177,11 +177,11 @@ def serve_circ_clust(
 def serve_parallel_clust(
     results: DataFrame, default: DataFrame, *, by_support: bool = False, **request
 ) -> tuple[DataFrame, DataFrame]:
-    """Axis segments of the ordered sets with their cluster, and the node order."""
-    from setscope.operators.cluster import axis_segments, cluster_axis
+    """The ordered sets, each with the list of its clusters by axis, and the node order."""
+    from setscope.operators.cluster import axis_segments, cluster_axis, set_clusters
 
     sets, order = serve_parallel(results, default, by_support=by_support, **request)
-    return cluster_axis(axis_segments(sets)), order
+    return set_clusters(cluster_axis(axis_segments(sets))), order
 
 
 def sample_tracks(meta: DataFrame, *, seed: str, n: int = SAMPLE_SIZE) -> DataFrame:

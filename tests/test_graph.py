@@ -12,7 +12,9 @@ from setscope.functions.range_counts import weight_below
 from setscope.functions.tables import bounded_groups, new_path
 from setscope.operators import cluster as C
 from setscope.operators import graph as G
+from setscope.operators import kmeans as KM
 from setscope.operators import ordering as O
+from setscope.operators import ward as V
 from setscope.plans import serve, sweep
 
 GRAPHS = {
@@ -154,15 +156,38 @@ def ward_by_pairs(points, weights, height):
 
 
 @pytest.mark.parametrize("seed", range(5))
-@pytest.mark.parametrize("height", [0.5, 1.5, 4.0])
-def test_ward_equals_plain_agglomeration(seed, height):
+@pytest.mark.parametrize("height", [5, 15, 40])
+def test_ward_in_one_cell_equals_plain_agglomeration(seed, height):
     rng = np.random.default_rng(seed)
-    points, weights = rng.random((25, 3)) * 3, rng.integers(1, 4, 25)
-    labels = C.ward_labels(points, weights, height)
-    got = {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels.tolist())}
-    assert got == ward_by_pairs(points, weights, height)
-    firsts = [int(np.flatnonzero(labels == k)[0]) for k in range(labels.max() + 1)]
-    assert firsts == sorted(firsts)
+    points, weights = rng.integers(0, 10**9, (25, 3)), rng.integers(1, 4, 25)
+    open_space = np.full(3, np.inf)
+    of, _, _, done = V.merge_in_cell(points * weights[:, None], weights, height * 4e7, -open_space, open_space)
+    assert {frozenset(np.flatnonzero(of == k).tolist()) for k in set(of.tolist())} == ward_by_pairs(points, weights, height * 4e7)
+    assert done.all() and all(of[k] == k for k in set(of.tolist()))
+
+
+@pytest.mark.parametrize(("cell_points", "height"), [(4, 3e7), (12, 3e7), (4, 1e8), (10_000, 3e7), (3, 1e10), (5, 1.0)])
+def test_ward_by_cells_equals_plain_agglomeration(spark, cell_points, height):
+    rng = np.random.default_rng(int(height) % 97)
+    points, weights = rng.integers(0, 10**9, (160, 2)), rng.integers(1, 30, 160)
+    points[:60] //= 20  # a crowded corner
+    rows = [("g" if i % 2 else None, i, int(x), int(y), int(w)) for i, ((x, y), w) in enumerate(zip(points, weights))]
+    table = spark.createDataFrame(rows, "tag string, i int, x long, y long, w long")
+    got = V.ward_clusters(table, keys=["tag"], names=["i"], coords=["x", "y"], height=height, cell_points=cell_points).collect()
+    assert len(got) == len(rows)
+    for tag in ("g", None):
+        mine = [r for r in rows if r[0] == tag]
+        labels = {r.i: r.cluster for r in got if r.tag == tag}
+        found = {frozenset(j for j, r in enumerate(mine) if labels[r[1]] == k) for k in set(labels.values())}
+        assert found == ward_by_pairs([r[2:4] for r in mine], [r[4] for r in mine], height)
+        firsts = sorted(set(labels.values()), key=lambda k: min(i for i, c in labels.items() if c == k))
+        assert firsts == list(range(len(firsts)))
+
+
+def test_ward_of_nothing_and_of_one_point(spark):
+    table = spark.createDataFrame([(1, 5, 7)], "i int, x long, w long")
+    assert [tuple(r) for r in V.ward_clusters(table, keys=[], names=["i"], coords=["x"], height=1.0).collect()] == [(1, 0)]
+    assert V.ward_clusters(table.limit(0), keys=[], names=["i"], coords=["x"], height=1.0).count() == 0
 
 
 def test_ward_counts_copies(spark):
@@ -171,8 +196,47 @@ def test_ward_counts_copies(spark):
     data = spark.createDataFrame(rows, "tag string, pos1 int, pos2 int")
     for c in C.FEATURES:
         data = data.withColumn(c, F.col("pos1" if c.endswith("1") else "pos2").cast("double"))
-    got = C.cluster_pairs(data, height=3.0).select("pos1", "pos2", "cluster").distinct().collect()
-    assert {(r.pos1, r.pos2): r.cluster for r in got} == {(0, 0): 0, (0, 1): 1, (5, 5): 2} or len(got) == 3
+    # Four copies each: the squares of the distances are 4 * 2 for the near pair, and far more for the other.
+    for height, clusters in ((2.9, [0, 0, 1]), (2.8, [0, 1, 2])):
+        got = C.cluster_pairs(data, height=height).select("pos1", "pos2", "cluster").distinct().collect()
+        assert {(r.pos1, r.pos2): r.cluster for r in got} == dict(zip(base, clusters))
+
+
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_kmeans_does_not_depend_on_partitions(spark, k):
+    rng = np.random.default_rng(k)
+    rows = [(i, *map(int, rng.integers(-(10**9), 10**9, 2)), int(rng.integers(1, 5))) for i in range(150)]
+    table = spark.createDataFrame(rows, "i int, x long, y long, w long")
+    found = [
+        {r.i: r.cluster for r in KM.kmeans_clusters(t, names=["i"], coords=["x", "y"], k=k, seed=1).collect()}
+        for t in (table.repartition(3), table.repartition(8), table.orderBy(F.desc("x")).coalesce(1))
+    ]
+    assert found[0] == found[1] == found[2] and set(found[0].values()) == set(range(k))
+    # Every point is with the centre nearest to it, and centres are means: a fixed point of plain Lloyd steps.
+    points, weights = np.array([r[1:3] for r in rows], float), np.array([r[3] for r in rows], float)
+    labels = np.array([found[0][r[0]] for r in rows])
+    for _ in range(30):
+        centres = np.array([(points[labels == c] * weights[labels == c, None]).sum(0) / weights[labels == c].sum() for c in range(k)])
+        labels = KM.squares(points, centres).argmin(1)
+    first = np.array([found[0][r[0]] for r in rows])
+    cost = lambda of: sum(((points[of == c] - np.average(points[of == c], axis=0, weights=weights[of == c])) ** 2 * weights[of == c, None]).sum() for c in set(of))
+    assert cost(first) <= 1.05 * cost(labels)
+
+
+def test_kmeans_of_few_points(spark):
+    table = spark.createDataFrame([(1, 0, 1), (2, 0, 3), (3, 9 * 10**8, 1)], "i int, x long, w long")
+    got = {r.i: r.cluster for r in KM.kmeans_clusters(table, names=["i"], coords=["x"], k=40, seed=1).collect()}
+    assert got[1] == got[2] != got[3] and set(got.values()) == {0, 1}
+    assert KM.kmeans_clusters(table.limit(0), names=["i"], coords=["x"], k=4, seed=1).count() == 0
+
+
+def test_sets_list_their_clusters(spark):
+    rows = [("t", ["a", "b"], [0, 1], 1.0), (None, ["a", "b"], [0, 1], 1.0)] + [("t", ["a", "b", f"c{i}"], [0, 1, 2 + i], 1.0) for i in range(9)]
+    sets = spark.createDataFrame(rows, "tag string, labels array<string>, positions array<int>, value double")
+    got = C.set_clusters(C.cluster_axis(C.axis_segments(sets))).collect()
+    assert sorted((r.tag or "", len(r.labels), r.km_label) for r in got) == sorted(
+        (tag or "", len(labels), [0] if len(labels) == 2 else [0, None]) for tag, labels, _, _ in rows
+    )
 
 
 def test_axis_needs_more_than_ten_rows(spark):

@@ -1,5 +1,7 @@
 """Labels, baskets, stored results, served sets and batches."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,41 @@ def test_long_sequences_equal_prefixspan(spark):
     assert {tuple(r.sequence): r.freq for r in long.collect()} == want and max(map(len, want)) >= 3
 
 
+def brute_sequences(data, floor, longest):
+    found = {}
+    for k in range(1, longest + 1):
+        for pattern in {p + (x,) for p in (found if k > 1 else {(): 0}) if len(p) == k - 1 for x in {c for s in data for c in s if c}}:
+            n = 0
+            for s in data:
+                rest = iter(s)
+                n += all(x in rest for x in pattern)
+            if n >= floor:
+                found[pattern] = n
+    return found
+
+
+@pytest.mark.parametrize(("slots", "bound"), [("8", 200_000), ("50", 0)])
+def test_long_sequences_across_ranges_equal_brute_force(spark, monkeypatch, slots, bound):
+    """One sequence holds most events, so it lies in many ranges; ids, labels and order columns have nulls and clashing names."""
+    rnd = random.Random(3)
+    data = [[rnd.choice("abcd") for _ in range(rnd.randrange(1, 11))] for _ in range(30)]
+    data += [[rnd.choice("aabbbce") for _ in range(600)], ["a", None, "b", None, "c"], [None], ["e"] * 40 + ["d"] * 3]
+    rows = [(None if i == 5 else i // 2, i % 2, p // 3, p, c, c) for i, s in enumerate(data) for p, c in enumerate(s)]
+    rnd.shuffle(rows)
+    events = spark.createDataFrame(rows, "pos int, next int, t int, range int, label string, last string")
+    monkeypatch.setattr(S, "BROADCAST_KEYS", bound)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slots)
+    try:
+        found = S.frequent_sequences_long(
+            events, id_cols=["pos", "next"], order_cols=["t", "range"], label_col="last", min_support=0.08, max_pattern_length=5,
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {tuple(r.sequence): r.freq for r in found} == brute_sequences(data, 3, 5)
+    assert {r.n for r in found} == {len(data)} and max(r.k for r in found) >= 4
+
+
 def test_metadata(spark, meta, tracks):
     assert [r["_id"] for r in B.normal_ids(meta).collect()] == [1, 2, None]
     assert B.tags_all_of(meta, "genres", "rock,pop").count() == 1
