@@ -68,8 +68,9 @@ def graph_density(edges: DataFrame, n_nodes: int) -> DataFrame:
     )
 
 
-def _crossed(placed: DataFrame) -> DataFrame:
-    """``(graph_id, s, t, w, later, earlier)`` per distinct position pair; ``w`` is its number of edges.
+def _crossed(placed: DataFrame, chords: DataFrame | None = None) -> DataFrame:
+    """``(graph_id, s, t, w, later, earlier)`` per distinct position pair; ``w`` is its number of edges. With ``chords(graph_id, s, t)``
+    the same for these distinct pairs, which need not be edges, and without ``w``.
 
     ``later`` counts the edges that start inside (s, t) and end behind it, ``earlier`` those that start before s and end inside.
     Both are sums of prefix counts over (start, end), so no edge is compared with another:
@@ -79,7 +80,9 @@ def _crossed(placed: DataFrame) -> DataFrame:
     """
     edges = placed.filter(F.col("s") < F.col("t")).groupBy("graph_id", "s", "t").agg(F.count(F.lit(1)).alias("w"))
     edges = materialise(edges, "position-pairs")
-    last, pairs = edges.agg(F.max("t"), F.count(F.lit(1))).first()
+    asked_for = edges if chords is None else materialise(chords.select("graph_id", "s", "t"), "chords")
+    last = edges.agg(F.max("t")).first()[0]
+    last, pairs = asked_for.agg(F.greatest(F.max("t"), F.lit(last)), F.count(F.lit(1))).first()
     n = (last or 0) + 1
     bits = n.bit_length()
     every = F.lit(n)
@@ -98,7 +101,7 @@ def _crossed(placed: DataFrame) -> DataFrame:
         probe(s, t, 0, 1),
         probe(every, s + 1, 0, -1),
     )
-    asking = spread_rows(edges, pairs, pairs * 6 * bits**2 / 4, "graph_id", "s", "t")
+    asking = spread_rows(asked_for, pairs, pairs * 6 * bits**2 / 4, "graph_id", "s", "t")
     asked = asking.select("graph_id", "s", "t", F.explode(probes).alias("p")).select("graph_id", "s", "t", "p.*")
     counted = covered_weight(
         edges.withColumnsRenamed({"s": "start", "t": "end"}),
@@ -112,7 +115,7 @@ def _crossed(placed: DataFrame) -> DataFrame:
     sums = counted.groupBy("graph_id", "s", "t").agg(
         F.sum(F.col("covered") * F.col("later")).alias("later"), F.sum(F.col("covered") * F.col("earlier")).alias("earlier")
     )
-    return edges.join(sums, ["graph_id", "s", "t"], "left").fillna(0, ["later", "earlier"])
+    return asked_for.join(sums, ["graph_id", "s", "t"], "left").fillna(0, ["later", "earlier"])
 
 
 def crossings_total(placed: DataFrame) -> DataFrame:
@@ -140,6 +143,60 @@ def crossings_per_node(placed: DataFrame) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(rank))
 
 
+def swap_gain(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """``(graph_id, node, neighbour, old_crossings, new_crossings)`` on the edges of ``node`` when the two trade places; ``order`` is
+    ``(node, pos)``.
+
+    At its new place q, an edge of the node to z crosses what a chord from q to z crosses in the old layout, less the node's own edges at
+    the old place p, plus the neighbour's, which is there now. The first number comes from prefix counts over all edges, once for each
+    pair of places; the other two are neighbours between two places, so differences of running sums. A swap is never laid out anew: its
+    row meets only the other edges of its node, by their common place.
+    """
+    placed = edge_positions(edges.select("graph_id", "u", "v"), order).filter("s < t")
+    ways = F.array(F.struct(F.col("pos_u").alias("p"), F.col("pos_v").alias("q")), F.struct(F.col("pos_v").alias("p"), F.col("pos_u").alias("q")))
+    near = placed.select("graph_id", F.explode(ways).alias("e")).groupBy("graph_id", "e.p", "e.q").agg(F.count(F.lit(1)).alias("w"))
+    near = materialise(near, "swap-neighbours")
+    degree = near.groupBy("graph_id", "p").agg(F.sum("w").alias("n"))
+    ends = near.select("graph_id", "p", F.col("q").alias("z"), F.col("w").alias("w_z"))
+    fans = materialise(near.join(ends, ["graph_id", "p"]).filter("q <> z"), "swap-fans")
+    chords = fans.select("graph_id", F.least("q", "z").alias("s"), F.greatest("q", "z").alias("t"))
+    chords = chords.unionByName(near.filter("p < q").select("graph_id", F.col("p").alias("s"), F.col("q").alias("t"))).distinct()
+    crossed = _crossed(placed, chords).select("graph_id", "s", "t", (F.col("later") + F.col("earlier")).alias("crossed"))
+    crossed = materialise(crossed, "swap-crossed")
+    # Edges of a node up to a place, for its own place and those that its swaps ask for; places without an edge count none.
+    asked = fans.select("graph_id", F.col("q").alias("u"), F.col("z").alias("at")).unionByName(near.select("graph_id", F.col("p").alias("u"), F.col("p").alias("at")))
+    given = near.select("graph_id", F.col("p").alias("u"), F.col("q").alias("at"), "w")
+    places = given.unionByName(asked.distinct().withColumn("w", F.lit(0).cast("bigint"))).groupBy("graph_id", "u", "at").agg(F.sum("w").alias("w_at"))
+    along = Window.partitionBy("graph_id", "u").orderBy("at")
+    sums = materialise(places.withColumn("upto", F.sum("w_at").over(along)), "swap-sums")
+
+    def looked_up(rows: DataFrame, u: str, at: str, name: str) -> DataFrame:
+        found = sums.select("graph_id", F.col("u").alias(u), F.col("at").alias(at), F.col("w_at").alias(f"w_{name}"), F.col("upto").alias(f"upto_{name}"))
+        return rows.join(found, ["graph_id", u, at])
+
+    rows = fans.withColumns({"s": F.least("q", "z"), "t": F.greatest("q", "z"), "own": F.col("q")}).join(crossed, ["graph_id", "s", "t"])
+    rows = looked_up(looked_up(rows, "p", "q", "pq"), "p", "z", "pz")
+    rows = looked_up(looked_up(rows, "q", "z", "qz"), "q", "own", "qq")
+    rows = rows.join(degree.select("graph_id", "p", F.col("n").alias("n_p")), ["graph_id", "p"])
+    rows = rows.join(degree.select("graph_id", F.col("p").alias("q"), F.col("n").alias("n_q")), ["graph_id", "q"])
+
+    def fan(u: str) -> Column:
+        """Edges of p or q, fastened at p, that cross the chord from q to z."""
+        near_q, near_z = f"{u}q", f"{u}z"
+        low = F.when(F.col("q") < F.col("z"), F.col(f"upto_{near_q}")).otherwise(F.col(f"upto_{near_z}"))
+        high = F.when(F.col("q") < F.col("z"), F.col(f"upto_{near_z}") - F.col(f"w_{near_z}")).otherwise(F.col(f"upto_{near_q}") - F.col(f"w_{near_q}"))
+        inside = (F.col("s") < F.col("p")) & (F.col("p") < F.col("t"))
+        return F.when(inside, F.col(f"n_{u}") - (high - low) - F.col(f"w_{near_q}") - F.col(f"w_{near_z}")).otherwise(high - low)
+
+    moved = rows.groupBy("graph_id", "p", "q").agg(F.sum(F.col("w_z") * (F.col("crossed") - fan("p") + fan("q"))).alias("moved"))
+    here = near.withColumns({"s": F.least("p", "q"), "t": F.greatest("p", "q")}).join(crossed, ["graph_id", "s", "t"])
+    old = here.groupBy("graph_id", "p").agg(F.sum(F.col("w") * F.col("crossed")).alias("old_crossings"))
+    swaps = here.join(moved, ["graph_id", "p", "q"], "left").join(old, ["graph_id", "p"])
+    new = F.coalesce("moved", F.lit(0)) + F.col("w") * F.col("crossed")
+    named = swaps.join(order.select(F.col("pos").alias("p"), "node"), "p").join(order.select(F.col("pos").alias("q"), F.col("node").alias("neighbour")), "q")
+    return named.select("graph_id", "node", "neighbour", "old_crossings", new.cast("bigint").alias("new_crossings"))
+
+
 def bootstrap_edges(edges: DataFrame, sizes: list[int], *, seed: str, skip_larger: bool = True) -> DataFrame:
     """``(graph_id, n, draw, edge_id, u, v)``: ``n`` edges drawn with replacement from each graph, for each size.
 

@@ -138,7 +138,7 @@ FROM swaps w LEFT JOIN old_node o ON w.graph_id = o.graph_id AND w.node = o.node
 
 @query("swap_gain", SWAP)
 def swap_gain(spark: SparkSession, sf: str) -> DataFrame:
-    return O.swap_gain(pair_graphs(spark, sf), brand_order(spark))
+    return G.swap_gain(pair_graphs(spark, sf), brand_order(spark))
 
 
 def _ordered(spark: SparkSession, sf: str, method: str) -> DataFrame:
@@ -146,7 +146,8 @@ def _ordered(spark: SparkSession, sf: str, method: str) -> DataFrame:
 
 
 # Depth-first placement with an explicit stack. All nodes start on it, smallest degree on top, which also restarts components.
-AVSDF = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+RECURSIVE_PAIRS = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1)
+AVSDF = """,
 degrees AS (SELECT graph_id, node, COUNT(*) AS degree FROM ends GROUP BY 1, 2),
 near AS (SELECT graph_id, u AS node, v AS neighbour FROM pairs UNION SELECT graph_id, v, u FROM pairs),
 next_nodes AS (
@@ -163,21 +164,65 @@ done AS (SELECT graph_id, placed FROM walk WHERE LEN(stack) = 0)
 SELECT graph_id, UNNEST(placed) AS node, CAST(UNNEST(RANGE(0, LEN(placed))) AS INTEGER) AS pos FROM done"""
 
 
-@query("order_avsdf", AVSDF)
+@query("order_avsdf", RECURSIVE_PAIRS + AVSDF)
 def order_avsdf(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(spark, sf, "avsdf")
 
 
-@query("order_avsdf_la")
+def adjusted(base: str) -> str:
+    """``adjusted(graph_id, node, pos)`` of ``placed_by(graph_id, node, pos)``: one node after another by falling crossings, each traded
+    with the neighbour that leaves fewest crossings in all, if these are fewer; every trial counts all pairs of edges. ``base`` ends with
+    the rows of ``placed_by``; goes behind WITH RECURSIVE."""
+    with_steps, _, rows = base.rpartition("SELECT ")
+    places = "LEAST(a.pos, b.pos) AS s, GREATEST(a.pos, b.pos) AS t"
+    return f"""{with_steps.rstrip().rstrip(",")},
+placed_by AS (SELECT {rows}),
+chords AS (
+  SELECT p.graph_id, p.u, p.v, {places} FROM pairs p JOIN placed_by a ON p.graph_id = a.graph_id AND p.u = a.node
+    JOIN placed_by b ON p.graph_id = b.graph_id AND p.v = b.node),
+loads AS (
+  SELECT graph_id, node, COUNT(*) AS n FROM (
+    SELECT a.graph_id, UNNEST([a.u, a.v, b.u, b.v]) AS node FROM chords a JOIN chords b ON {CROSS}) GROUP BY 1, 2),
+queue AS (
+  SELECT p.graph_id, p.node, ROW_NUMBER() OVER (PARTITION BY p.graph_id ORDER BY COALESCE(l.n, 0) DESC, p.node) AS turn
+  FROM placed_by p LEFT JOIN loads l ON p.graph_id = l.graph_id AND p.node = l.node),
+la AS (
+  SELECT 1 AS turn, graph_id, node, CAST(pos AS BIGINT) AS pos FROM placed_by
+  UNION ALL
+  (WITH mine AS (SELECT l.graph_id, l.node, l.pos FROM la l JOIN queue q ON l.graph_id = q.graph_id AND l.node = q.node AND l.turn = q.turn),
+  trials AS (
+    SELECT DISTINCT m.graph_id, m.pos AS here, l.pos AS there FROM mine m JOIN la l ON m.graph_id = l.graph_id
+      JOIN pairs p ON p.graph_id = m.graph_id AND ((p.u = m.node AND p.v = l.node) OR (p.v = m.node AND p.u = l.node))
+    UNION ALL SELECT graph_id, pos, -1 FROM mine),
+  ends AS (
+    SELECT t.graph_id, t.there, CASE a.pos WHEN t.here THEN CASE t.there WHEN -1 THEN t.here ELSE t.there END WHEN t.there THEN t.here ELSE a.pos END AS x,
+      CASE b.pos WHEN t.here THEN CASE t.there WHEN -1 THEN t.here ELSE t.there END WHEN t.there THEN t.here ELSE b.pos END AS y
+    FROM trials t JOIN pairs p ON t.graph_id = p.graph_id JOIN la a ON a.graph_id = p.graph_id AND a.node = p.u
+      JOIN la b ON b.graph_id = p.graph_id AND b.node = p.v),
+  laid AS (SELECT graph_id, there, LEAST(x, y) AS s, GREATEST(x, y) AS t FROM ends),
+  counts AS (
+    SELECT z.graph_id, z.there, z.here, COALESCE(c.n, 0) AS n FROM trials z LEFT JOIN (
+      SELECT a.graph_id, a.there, COUNT(*) AS n FROM laid a JOIN laid b
+        ON a.graph_id = b.graph_id AND a.there = b.there AND a.s < b.s AND b.s < a.t AND a.t < b.t GROUP BY 1, 2) c
+      ON z.graph_id = c.graph_id AND z.there = c.there),
+  best AS (SELECT graph_id, here, there FROM counts QUALIFY ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY n, there) = 1)
+  SELECT l.turn + 1, l.graph_id, l.node,
+    CASE WHEN b.there = -1 THEN l.pos WHEN l.pos = b.here THEN b.there WHEN l.pos = b.there THEN b.here ELSE l.pos END
+  FROM la l JOIN best b ON l.graph_id = b.graph_id)),
+adjusted AS (
+  SELECT graph_id, node, CAST(pos AS INTEGER) AS pos FROM la QUALIFY turn = MAX(turn) OVER (PARTITION BY graph_id))"""
+
+
+@query("order_avsdf_la", f"{RECURSIVE_PAIRS}{adjusted(AVSDF)} SELECT * FROM adjusted")
 def order_avsdf_la(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(spark, sf, "avsdf_la")
 
 
-# One placement per step. Nodes are numbered by (degree, label); near[i + 1] lists the neighbours of node i.
-BAUR_BRANDES = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+# One placement per step. Nodes are numbered by (degree, label); near[i + 1] lists the neighbours of node i, once for each edge.
+BAUR_BRANDES = """,
 degrees AS (SELECT graph_id, node, COUNT(*) AS degree FROM ends GROUP BY 1, 2),
 ranks AS (SELECT graph_id, node, ROW_NUMBER() OVER (PARTITION BY graph_id ORDER BY degree, node) - 1 AS i FROM degrees),
-links AS (SELECT graph_id, u, v FROM pairs UNION SELECT graph_id, v, u FROM pairs),
+links AS (SELECT graph_id, u, v FROM pairs UNION ALL SELECT graph_id, v, u FROM pairs),
 lists AS (
   SELECT a.graph_id, a.i, LIST(b.i) AS near FROM links l JOIN ranks a ON l.graph_id = a.graph_id AND l.u = a.node
     JOIN ranks b ON l.graph_id = b.graph_id AND l.v = b.node GROUP BY 1, 2),
@@ -192,23 +237,23 @@ walk AS (
       LIST_SUM(LIST_TRANSFORM(RANGE(1, LEN(placed) + 1), LAMBDA k: closing[k] * COALESCE(LIST_SUM(still[:k - 1]), 0))) AS l,
       LIST_SUM(LIST_TRANSFORM(RANGE(1, LEN(placed) + 1), LAMBDA k: closing[k] * COALESCE(LIST_SUM(still[k + 1:]), 0))) AS r
     FROM (
-      SELECT *, LIST_TRANSFORM(placed, LAMBDA v: CAST(LIST_CONTAINS(near[v + 1], node) AS INTEGER)) AS closing,
+      SELECT *, LIST_TRANSFORM(placed, LAMBDA v: LEN(LIST_FILTER(near[v + 1], LAMBDA y: y = node))) AS closing,
         LIST_TRANSFORM(placed, LAMBDA v: LEN(LIST_FILTER(near[v + 1], LAMBDA y: y <> node AND LIST_CONTAINS(free, y)))) AS still
       FROM (
         SELECT *, LIST_MIN(LIST_TRANSFORM(free, LAMBDA x:
-          LEN(LIST_FILTER(near[x + 1], LAMBDA y: LIST_CONTAINS(free, y))) * 1000 + x)) % 1000 AS node
+          LEN(LIST_FILTER(LIST_DISTINCT(near[x + 1]), LAMBDA y: LIST_CONTAINS(free, y))) * 1000 + x)) % 1000 AS node
         FROM walk WHERE LEN(free) > 0)))),
 done AS (
   SELECT graph_id, UNNEST(placed) AS i, CAST(UNNEST(RANGE(0, LEN(placed))) AS INTEGER) AS pos FROM walk WHERE LEN(free) = 0)
 SELECT d.graph_id, k.node, d.pos FROM done d JOIN ranks k ON d.graph_id = k.graph_id AND d.i = k.i"""
 
 
-@query("order_bb", BAUR_BRANDES)
+@query("order_bb", RECURSIVE_PAIRS + BAUR_BRANDES)
 def order_bb(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(spark, sf, "bb")
 
 
-@query("order_bb_la")
+@query("order_bb_la", f"{RECURSIVE_PAIRS}{adjusted(BAUR_BRANDES)} SELECT * FROM adjusted")
 def order_bb_la(spark: SparkSession, sf: str) -> DataFrame:
     return _ordered(spark, sf, "bb_la")
 
@@ -262,13 +307,17 @@ def pair_features(spark: SparkSession, sf: str) -> DataFrame:
 UNIT_FEATURES = [f"unit_{f}" for f in C.FEATURES]
 
 
-def pair_points_sql(keys: str) -> str:
+def pair_points_sql(keys: str, angle: str = ANGLE) -> str:
     """``points(keys, pos1, pos2, unit features, w)``: the distinct pairs of places in ``features``."""
-    units = [f"CAST(ROUND({f[:3].upper()}({ANGLE.format('pos' + f[3])}) * {C.UNITS}.0::DOUBLE) AS BIGINT) AS unit_{f}" for f in C.FEATURES]
+    units = [f"CAST(ROUND({f[:3].upper()}({angle.format('pos' + f[3])}) * {C.UNITS}.0::DOUBLE) AS BIGINT) AS unit_{f}" for f in C.FEATURES]
     return f"points AS (SELECT {keys}pos1, pos2, {', '.join(units)}, COUNT(*) AS w FROM features GROUP BY ALL)"
 
 
-ROUNDED = ", ".join(f"ROUND({f[:3].upper()}({ANGLE.format('f.pos' + f[3])}), 9) + 0.0 AS {f}" for f in C.FEATURES)
+def rounded_sql(angle: str = ANGLE) -> str:
+    return ", ".join(f"ROUND({f[:3].upper()}({angle.format('f.pos' + f[3])}), 9) + 0.0 AS {f}" for f in C.FEATURES)
+
+
+ROUNDED = rounded_sql()
 RECURSIVE_FEATURES = FEATURES.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -366,6 +415,39 @@ def sweep_summary(spark: SparkSession, sf: str) -> DataFrame:
     return summary.select("n", *[F.round(c, 6).alias(c) for c in summary.columns if c != "n"])
 
 
-@query("order_sweep")
+DRAWN = f"""{BOOT},
+sources AS (SELECT DISTINCT graph_id || '|' || n AS graph_id, graph_id AS source, n FROM boot)"""
+# The samples as graphs of their own.
+SAMPLED = f"""WITH RECURSIVE drawn AS ({DRAWN} SELECT graph_id || '|' || n AS graph_id, u, v FROM boot), {Q.BRAND_ORDER},
+pairs AS (SELECT * FROM drawn),
+ends AS (SELECT graph_id, u AS node FROM pairs UNION ALL SELECT graph_id, v FROM pairs)"""
+
+
+def sweep_crossings(way: str, orders: str) -> str:
+    """``way(graph_id, crossings)`` of all samples under ``orders``, SQL behind SAMPLED that ends with (graph_id, node, pos)."""
+    with_steps, _, rows = orders.rpartition("SELECT ")
+    return f"""by_{way} AS (
+  {SAMPLED}{with_steps.rstrip().rstrip(",")}, ways AS (SELECT {rows}),
+  laid_out AS (
+    SELECT p.graph_id, LEAST(a.pos, b.pos) AS s, GREATEST(a.pos, b.pos) AS t FROM pairs p
+      JOIN ways a ON p.graph_id = a.graph_id AND p.u = a.node JOIN ways b ON p.graph_id = b.graph_id AND p.v = b.node)
+  SELECT a.graph_id, COUNT(*) AS crossings FROM laid_out a JOIN laid_out b ON {CROSS} GROUP BY 1)"""
+
+
+SWEPT = {
+    "default": ", graphs AS (SELECT DISTINCT graph_id FROM pairs) SELECT g.graph_id, o.node, o.pos FROM graphs g JOIN ord o ON TRUE",
+    "avsdf": AVSDF,
+    "avsdf_la": f"{adjusted(AVSDF)} SELECT * FROM adjusted",
+    "bb": BAUR_BRANDES,
+    "bb_la": f"{adjusted(BAUR_BRANDES)} SELECT * FROM adjusted",
+}
+
+
+@query(
+    "order_sweep",
+    f"""WITH sources AS ({DRAWN} SELECT * FROM sources), {", ".join(sweep_crossings(way, sql) for way, sql in SWEPT.items())}
+    SELECT g.source, g.n, {", ".join(f"COALESCE(by_{w}.crossings, 0) AS cross_{w}" for w in SWEPT)} FROM sources g
+      {" ".join(f"LEFT JOIN by_{w} ON g.graph_id = by_{w}.graph_id" for w in SWEPT)}""",
+)
 def order_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return W.order_sweep(pair_graphs(spark, sf), brand_order(spark), sizes=W.SIZES, seed="b1")

@@ -12,7 +12,7 @@ from setscope.operators import cluster as C
 from setscope.plans import batch, serve
 from setscope.plans import fragments as Q
 from setscope.plans.catalogue import query
-from setscope.plans.queries_graph import AXIS_CLUSTERS, ROUNDED, UNIT_FEATURES, pair_points_sql, rounded
+from setscope.plans.queries_graph import AVSDF, AXIS_CLUSTERS, ROUNDED, UNIT_FEATURES, adjusted, pair_points_sql, rounded, rounded_sql
 from setscope.plans.queries_utility import FREQUENT_BY_TAG, HIGH_BY_TAG
 from setscope.plans.stored import brand_order, parent_order, stored_headers, stored_results
 from setscope.sources import bindings as D
@@ -325,15 +325,32 @@ def serve_parallel(spark: SparkSession, sf: str) -> DataFrame:
     return _positions(sets)
 
 
-def _flat(features: DataFrame) -> DataFrame:
-    numbers = [F.round(c, 9).alias(c) for c in ("sin1", "cos1", "sin2", "cos2")]
-    return features.select(*[c for c in features.columns if c not in ("sin1", "cos1", "sin2", "cos2")], *numbers)
+# One graph of all requested tags, its order by degrees and local adjusting, and angles by the number of its nodes.
+ADJUSTED_ANGLE = "CAST({} AS DOUBLE) / (SELECT COUNT(*) FROM adjusted) * (2 * PI())"
+REQUESTED = f"""WITH RECURSIVE {FREQUENT_BY_TAG},
+pairs AS (
+  SELECT 'all' AS graph_id, tag, value, SPLIT_PART(itemset, ',', 1) AS u, SPLIT_PART(itemset, ',', 2) AS v
+  FROM frequent WHERE k = 2 AND NOT rollup AND tag IN ('household', '1-URGENT')),
+ends AS (SELECT graph_id, u AS node FROM pairs UNION ALL SELECT graph_id, v FROM pairs){adjusted(AVSDF)},
+turned AS (
+  SELECT p.graph_id AS g, p.tag, p.value, p.u, p.v, a.pos AS pu, b.pos AS pv,
+    ROUND(SIN({ADJUSTED_ANGLE.format("a.pos")}), 12) AS ku, ROUND(SIN({ADJUSTED_ANGLE.format("b.pos")}), 12) AS kv
+  FROM pairs p JOIN adjusted a ON p.u = a.node JOIN adjusted b ON p.v = b.node),
+features AS (
+  SELECT g, tag, value, CASE WHEN straight THEN u ELSE v END AS a, CASE WHEN straight THEN v ELSE u END AS b,
+    CASE WHEN straight THEN pu ELSE pv END AS pos1, CASE WHEN straight THEN pv ELSE pu END AS pos2
+  FROM (SELECT *, ku < kv OR (ku = kv AND pu < pv) AS straight FROM turned))"""
 
 
-@query("serve_circ_clust")
+@query(
+    "serve_circ_clust",
+    f"""{REQUESTED}, {pair_points_sql("g, ", ADJUSTED_ANGLE)}, {Q.ward("points", "g", ["pos1", "pos2"], UNIT_FEATURES, C.PAIR_HEIGHT * C.UNITS)}
+    SELECT f.tag, f.a, f.b, f.value, f.pos1, f.pos2, {rounded_sql(ADJUSTED_ANGLE)}, w.cluster
+    FROM features f JOIN ward w ON f.pos1 = w.pos1 AND f.pos2 = w.pos2""",
+)
 def serve_circ_clust(spark: SparkSession, sf: str) -> DataFrame:
     sets, _ = serve.serve_circ_clust(stored_results(spark, sf), brand_order(spark), order_opt="avsdf_la", tag_vals="household,1-URGENT")
-    return _flat(sets)
+    return rounded(sets)
 
 
 # Without arguments a request asks for the sets of the whole collection, in the default order.

@@ -1,6 +1,7 @@
 """Graph metrics, orders and clusters on literal graphs and against direct counting."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -109,6 +110,68 @@ def test_orders_are_permutations_and_adjusting_never_raises(seed):
         assert O.total_crossings(matrix, orders[kind + "_la"]) <= O.total_crossings(matrix, orders[kind])
 
 
+@pytest.mark.parametrize(("n", "edges"), [(3, 5), (8, 20), (14, 90)])
+def test_swaps_counted_by_difference_equal_new_layouts(n, edges):
+    matrix = random_matrix(n, edges, n)
+    order = list(np.random.default_rng(n).permutation(n))
+    placed = matrix[np.ix_(order, order)]
+    total = O.total_crossings(matrix, order)
+    for here in range(n):
+        others = np.flatnonzero(placed[here])
+        got = O.swap_totals(placed, O.crossings(placed)[1], total, here, others) if len(others) else []
+        for there, count in zip(others, got):
+            trial = list(order)
+            trial[here], trial[there] = trial[there], trial[here]
+            assert O.total_crossings(matrix, trial) == count
+
+
+def test_adjusting_equals_trying_all_swaps():
+    for seed in range(4):
+        matrix = random_matrix(11, 40, seed)
+        order = list(range(11))
+        load, best = O.incident_crossings(matrix, order), O.total_crossings(matrix, order)
+        want = list(order)
+        for node in sorted(order, key=lambda i: (-load[i], i)):
+            here, choice = want.index(node), None
+            for there in sorted(want.index(i) for i in np.flatnonzero(matrix[node])):
+                trial = list(want)
+                trial[here], trial[there] = trial[there], trial[here]
+                if O.total_crossings(matrix, trial) < best:
+                    best, choice = O.total_crossings(matrix, trial), trial
+            want = choice or want
+        assert O.local_adjusting(matrix, order) == want
+
+
+def test_adjusting_large_graphs_is_quick():
+    matrix = random_matrix(150, 2000, 1)
+    start = time.process_time()
+    order = O.local_adjusting(matrix, list(range(150)))
+    assert time.process_time() - start < 5 and O.total_crossings(matrix, order) < O.total_crossings(matrix, list(range(150)))
+
+
+def test_swap_gains_of_multigraphs(spark):
+    """Parallel edges, loops, unknown nodes; beside layouts made anew for every swap."""
+    rng = random.Random(8)
+    graphs = {f"r{n}": [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] for n, m in ((2, 3), (5, 12), (9, 40))}
+    rows = [(g, i, f"n{u}", f"n{v}") for g, es in graphs.items() for i, (u, v) in enumerate(es)] + [("r5", 99, "n0", "other")]
+    places = [3, 7, 0, 8, 1, 5, 2, 6, 4]
+    order = spark.createDataFrame([(f"n{i}", p) for i, p in enumerate(places)], "node string, pos int")
+    got = {(r.graph_id, r.node, r.neighbour): (r.old_crossings, r.new_crossings) for r in G.swap_gain(spark.createDataFrame(rows, "graph_id string, edge_id long, u string, v string"), order).collect()}
+    want = {}
+    for g, es in graphs.items():
+        es = [e for e in es if e[0] != e[1]]
+
+        def of(node, place):
+            chords = [(place[u], place[v]) for u, v in es]
+            return sum(direct_crossings([a, b]) for (e, a) in zip(es, chords) if node in e for b in chords)
+
+        for x, y in {(u, v) for e in es for u, v in (e, e[::-1])}:
+            swapped = list(places)
+            swapped[x], swapped[y] = places[y], places[x]
+            want[g, f"n{x}", f"n{y}"] = (of(x, places), of(x, swapped))
+    assert got == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_kernel_crossings_equal_direct_counting(seed):
     matrix = random_matrix(9, 25, seed)
