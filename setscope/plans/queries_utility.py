@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from setscope.functions.columns import item_text
 from setscope.operators import utility as U
+from setscope.operators import utility_vertical as L
 from setscope.plans import batch
 from setscope.plans import fragments as Q
 from setscope.plans.catalogue import query
@@ -153,3 +154,27 @@ def mined_high_utility(spark: SparkSession, sf: str) -> DataFrame:
 @query("high_utility_by_tag", f"WITH {HIGH_BY_TAG} SELECT * FROM hui")
 def high_utility_by_tag(spark: SparkSession, sf: str) -> DataFrame:
     return mined_high_utility(spark, sf).withColumn("itemset", item_text(F.col("itemset")))
+
+
+# Every part is a label of its own. All label sets of an order are enumerated by the bits of the numbers from 1.
+WIDE = f"""WITH {Q.UTILITY},
+x AS (
+  SELECT l_orderkey AS tid, l_partkey AS item, SUM(CAST(l_quantity AS BIGINT) * u.eutil) AS u
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN util u ON p_type = u.item GROUP BY 1, 2),
+baskets AS (SELECT tid, LIST(item ORDER BY item) AS l, LIST(u ORDER BY item) AS us FROM x GROUP BY tid),
+chosen AS (SELECT l, us, UNNEST(RANGE(1, CAST(1 AS BIGINT) << LEN(l))) AS m FROM baskets),
+found AS (
+  SELECT LIST_FILTER(l, LAMBDA v, i: (m >> (i - 1)) & 1 = 1) AS itemset, SUM(LIST_SUM(LIST_FILTER(us, LAMBDA v, i: (m >> (i - 1)) & 1 = 1))) AS utility
+  FROM chosen GROUP BY 1)
+SELECT ARRAY_TO_STRING(LIST_TRANSFORM(itemset, LAMBDA v: CAST(v AS VARCHAR)), ',') AS itemset, CAST(LEN(itemset) AS INTEGER) AS k,
+  CAST(utility AS BIGINT) AS utility, CAST(utility AS BIGINT) AS value FROM found WHERE utility >= 700"""
+
+
+@query("high_utility_wide", WIDE)
+def high_utility_wide(spark: SparkSession, sf: str) -> DataFrame:
+    lines = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("tid"), "l_partkey", F.col("l_quantity").cast("bigint").alias("qty"))
+    parts = D.table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("kind"))
+    kinds = D.type_utilities(spark).withColumnRenamed("item", "kind")
+    utilities = parts.join(kinds, "kind").select(F.col("p_partkey").alias("item"), "eutil")
+    found = L.high_utility_lists(lines.withColumnRenamed("l_partkey", "item"), utilities, min_util=700, as_share=False)
+    return found.withColumn("itemset", F.array_join(F.transform("itemset", lambda x: x.cast("string")), ","))

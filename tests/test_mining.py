@@ -1,5 +1,6 @@
 """Miners against brute force, against each other, and on literal cases."""
 
+import random
 from itertools import combinations
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from setscope.operators import itemsets as I
 from setscope.operators import utility as U
+from setscope.operators import utility_vertical as L
 
 BASKETS = [
     ["a", "b", "c"], ["a", "b"], ["a", "c", "d", "e"], ["b", "c"], ["a", "b", "c", "d"], [], ["e"], ["a", "b", "c"], ["d", "e"],
@@ -162,3 +164,28 @@ def test_a_basket_is_a_set(spark, rows):
     assert as_dict(I.frequent_itemsets_son(data, min_support=0.3, chunks=2, enumeration_rows=rows)) == want
     weighted = spark.createDataFrame([(["a", "b", "a"], 2), (["b"], 1)], "items array<string>, times long")
     assert as_dict(I.frequent_itemsets_levelwise(weighted, min_support=0.3, times_col="times", enumeration_rows=rows)) == want
+
+
+@pytest.mark.parametrize(("labels", "orders", "longest", "goal"), [(12, 80, 8, 0.02), (12, 80, 8, 0.2), (20_000, 1200, 9, 0.0002)])
+def test_utility_lists_equal_the_array_miner(spark, labels, orders, longest, goal):
+    rng = random.Random(labels)
+    rows = []
+    for tid in range(orders):
+        size = rng.randrange(1, longest)
+        kind = rng.randrange(3) if tid % 3 else None
+        # A third of the baskets are copies of a few.
+        basket = [rng.randrange(labels) for _ in range(size)] if tid % 3 else [(tid % 9 + j * 7) % labels for j in range(4)]
+        rows += [(kind, tid, f"p{i}", rng.randrange(1, 20)) for i in basket]
+    data = spark.createDataFrame(rows, "tag int, tid int, item string, qty long")
+    values = spark.createDataFrame([(f"p{i}", 1 + i % 7) for i in range(labels)], "item string, eutil long")
+
+    def as_rows(found):
+        return sorted((str(r.tag), tuple(r.itemset), r.k, r.utility, round(r.value, 12)) for r in found.collect())
+
+    want = as_rows(U.high_utility_itemsets(data, values, min_util=goal, group_cols=["tag"]))
+    assert as_rows(L.high_utility_lists(data, values, min_util=goal, group_cols=["tag"])) == want and max(r[2] for r in want) > 1
+    whole = as_rows(U.high_utility_itemsets(data, values, min_util=60, as_share=False).selectExpr("'' as tag", "*").filter("k < 9"))
+    if labels < 100:
+        assert as_rows(L.high_utility_lists(data, values, min_util=60, as_share=False).selectExpr("'' as tag", "*").filter("k < 9")) == whole
+    assert L.high_utility_lists(data.limit(0), values, min_util=goal, group_cols=["tag"]).count() == 0
+    assert L.high_utility_lists(data.limit(0), values, min_util=goal).count() == 0
