@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from setscope.functions.columns import join_same
 from setscope.functions.range_counts import covered_weight
-from setscope.functions.tables import materialise, spread_rows
+from setscope.functions.tables import materialise, spread_rows, task_slots
+
+#: Hexadecimal digits of a draw.
+DRAW_DIGITS = 15
 
 
 def edge_positions(edges: DataFrame, order: DataFrame) -> DataFrame:
@@ -201,19 +204,25 @@ def bootstrap_edges(edges: DataFrame, sizes: list[int], *, seed: str, skip_large
     """``(graph_id, n, draw, edge_id, u, v)``: ``n`` edges drawn with replacement from each graph, for each size.
 
     With ``skip_larger`` a size is drawn only when the graph has at least ``size - 1`` edges. The drawn index is a hash of seed, graph,
-    size and draw modulo the number of edges, so a rerun draws the same. Indexes come from a window over the edges of a graph, at most
-    one per node pair after ``distinct``.
+    size and draw modulo the number of edges, so a rerun draws the same; the hash has 60 bits, so every edge can be drawn. Edges are
+    sorted in ranges, and the index of an edge is its rank in a range after the edges of the graph in earlier ranges: a draw looks up its
+    range among the few of its graph, and meets the edge by place. No window covers a graph.
     """
     known = edges.select("graph_id", "edge_id", "u", "v").distinct()
-    at = F.row_number().over(Window.partitionBy("graph_id").orderBy("edge_id")) - 1
-    indexed = known.withColumn("ix", at.cast("bigint"))
-    counts = known.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m"))
-    draws = counts.select("graph_id", "m", F.explode(F.array(*[F.lit(x) for x in sizes])).alias("n"))
+    sorted_edges = known.repartitionByRange(task_slots(known.sparkSession), "graph_id", "edge_id", "u", "v")
+    sorted_edges = sorted_edges.sortWithinPartitions("graph_id", "edge_id", "u", "v")
+    placed = materialise(sorted_edges.withColumn("place", F.monotonically_increasing_id()), "edge-places")
+    ranges = placed.groupBy("graph_id", F.shiftright("place", 33).alias("range")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("m"))
+    # One row for each graph and range: the places of a graph, with how many edges lie before them.
+    along = Window.partitionBy("graph_id").orderBy("range")
+    ranges = ranges.withColumn("before", F.sum("m").over(along) - F.col("m"))
+    graphs = ranges.groupBy("graph_id").agg(F.sum("m").alias("m"), F.sort_array(F.collect_list(F.struct("before", "first"))).alias("ranges"))
+    draws = graphs.select("graph_id", "m", "ranges", F.explode(F.array(*[F.lit(x) for x in sizes])).alias("n"))
     if skip_larger:
         draws = draws.filter(F.col("n") - 1 <= F.col("m"))
-    draws = draws.select(
-        "*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("draw")
-    )
+    draws = draws.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("draw"))
     digest = F.md5(F.concat_ws("|", F.lit(seed), "graph_id", "n", "draw"))
-    picked = draws.withColumn("ix", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("m"))
-    return join_same(picked, indexed, ["graph_id", "ix"]).select("graph_id", "n", "draw", "edge_id", "u", "v")
+    draws = draws.withColumn("ix", F.conv(F.substring(digest, 1, DRAW_DIGITS), 16, 10).cast("bigint") % F.col("m"))
+    found = F.element_at(F.filter("ranges", lambda r: r["before"] <= F.col("ix")), -1)
+    picked = draws.select("graph_id", "n", "draw", (found["first"] + F.col("ix") - found["before"]).alias("place"))
+    return picked.join(placed.drop("graph_id"), "place").select("graph_id", "n", "draw", "edge_id", "u", "v")

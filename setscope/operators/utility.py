@@ -49,10 +49,10 @@ def transaction_arrays(items: DataFrame, group_cols: Sequence[str] = ()) -> Data
 
 def merged_transactions(items: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """``(group, items, us)``: transactions with equal label sets added up, position by position."""
-    return _add_arrays(transaction_arrays(items, group_cols), [*group_cols, "items"], "us")
+    return add_arrays(transaction_arrays(items, group_cols), [*group_cols, "items"], "us")
 
 
-def _add_arrays(rows: DataFrame, keys: Sequence[str], values: str) -> DataFrame:
+def add_arrays(rows: DataFrame, keys: Sequence[str], values: str) -> DataFrame:
     """Add the arrays of equal keys element by element; arrays of one key have one length."""
     sums = rows.select(*keys, F.posexplode(values).alias("at", "x")).groupBy(*keys, "at").agg(F.sum("x").alias("x"))
     gathered = F.sort_array(F.collect_list(F.struct("at", "x")))
@@ -167,7 +167,7 @@ def mine_arrays(
     keys = list(group_cols) or ["_all"]
     if not group_cols:
         arrays = arrays.withColumn("_all", F.lit(0))
-    merged = materialise(_with_tu(_add_arrays(arrays, [*keys, "items"], "us")), "utility-baskets")
+    merged = materialise(_with_tu(add_arrays(arrays, [*keys, "items"], "us")), "utility-baskets")
     if group_cols:
         merged = join_same(merged, merged.groupBy(*keys).agg(F.sum("tu").alias("total")), keys)
     else:
@@ -245,7 +245,7 @@ def _ranked_level(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
     in_order = F.concat(F.transform("tail", lambda i: lookup[i]), F.array(_zero()))
     level = tails.select(*keys, "total", "goal", string_array([]).alias("prefix"), "tail", in_order.alias("ranked_us"))
     level = level.withColumnsRenamed({"tail": "items", "ranked_us": "us"})
-    return _add_arrays(level, [*keys, "total", "goal", "prefix", "items"], "us")
+    return add_arrays(level, [*keys, "total", "goal", "prefix", "items"], "us")
 
 
 def _rest(level: DataFrame) -> tuple[Column, Column]:
@@ -299,4 +299,4 @@ def _narrowed(level: DataFrame, grown: DataFrame, keys: Sequence[str]) -> DataFr
         F.transform(after, lambda x: x["i"]).alias("items"),
         F.concat(F.transform(after, lambda x: x["u"]), F.array(F.col("own") + F.col("s.u"))).alias("us"),
     )
-    return _add_arrays(wide.filter(F.size("items") > 0), [*keys, "total", "goal", "prefix", "items"], "us")
+    return add_arrays(wide.filter(F.size("items") > 0), [*keys, "total", "goal", "prefix", "items"], "us")

@@ -11,7 +11,7 @@ from setscope.functions.columns import join_same, string_array
 from setscope.functions.tables import local_table
 from setscope.operators.baskets import filter_confidence, items_above, items_long, normal_ids, roll_up_expr, tags_of
 from setscope.operators.itemsets import frequent_itemsets_levelwise
-from setscope.operators.utility import item_utilities, mine_arrays, transaction_arrays
+from setscope.operators.utility import add_arrays, item_utilities, mine_arrays, transaction_arrays
 
 # Thresholds of the batch runs.
 MIN_SUPPORT = 0.01
@@ -133,15 +133,21 @@ def high_utility_by_tag(
     min_util: float = MIN_UTILITY,
     ratio: float | None = FILTER_RATIO,
     confidence: float | None = FILTER_CONFIDENCE,
+    known_only: bool = False,
 ) -> DataFrame:
     """Result rows of all tags. ``tracks`` gives the number of tracks, ``transactions`` their filtered
-    ``(tid, item, qty)``, one row per label.
+    ``(tid, item, qty)``, one row per label; with ``known_only``, those of tracks with metadata.
     """
+    if known_only:
+        ids = normal_ids(meta).select("_id").distinct()
+        tracks = tracks.join(ids, "_id", "left_semi")
+        transactions = transactions.join(ids.withColumnRenamed("_id", "tid"), "tid", "left_semi")
     kept = filter_confidence(tracks, confidence).select("_id")
     sizes = with_tags(kept, meta, tag_name, tags).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    # Tags are attached to one row per transaction, not to one row per label.
+    # Tags are attached to one row per transaction, and equal label sets with equal tags are added up before tags multiply them.
     arrays = transaction_arrays(item_utilities(transactions, utilities, unique=True)).withColumnRenamed("tid", "_id")
-    found = mine_arrays(with_tags(arrays, meta, tag_name, tags), min_util=min_util, group_cols=["tag"])
+    merged = add_arrays(wanted_tags(arrays, meta, tag_name, tags), ["t", "items"], "us")
+    found = mine_arrays(each_tag(merged), min_util=min_util, group_cols=["tag"])
     found = join_same(found, sizes, ["tag"])
     key = run_id(F.col("tag"), tags, minimum=min_util, ratio=ratio, confidence=confidence, ending=F.lit("hui"))
     return found.select(

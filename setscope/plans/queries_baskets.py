@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import item_text
+from setscope.functions.tables import new_path
 from setscope.operators import baskets as B
 from setscope.operators import itemsets as I
 from setscope.operators import sequences as S
@@ -200,11 +201,15 @@ def id_batches(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {Q.META} SELECT _id, name, artist_name, g1 || ',' || g2 AS genres FROM meta""",
 )
 def ingest_meta(spark: SparkSession, sf: str) -> DataFrame:
-    # A response page holds the metadata of 50 consecutive ids at most.
+    """Pages of 50 consecutive ids at most, stored as JSON and read back; a second run sends a third of them again with the others."""
     meta = D.metadata(spark, sf).withColumnRenamed("_id", "id")
-    page = F.expr("cast(id as bigint) div 50")
-    pages = meta.groupBy(page.alias("page")).agg(F.collect_list(F.struct(*meta.columns)).alias("results"))
-    rows = R.ingest_meta(pages)
+    number = F.expr("cast(id as bigint) div 50")
+    pages = meta.groupBy(number.cast("string").alias("page")).agg(F.collect_list(F.struct(*meta.columns)).alias("results"))
+    folder, table = new_path(spark, "pages"), new_path(spark, "ingested")
+    pages.write.json(folder)
+    stored = R.load_pages(spark, folder, multi_line=False)
+    R.ingest_pages(stored.filter(F.crc32("page") % 3 == 0), table)
+    rows = R.ingest_pages(stored, table)
     return rows.select("_id", "name", "artist_name", item_text(F.col("musicinfo.tags.genres")).alias("genres"))
 
 

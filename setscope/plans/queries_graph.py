@@ -384,7 +384,7 @@ sample_sizes(n) AS (VALUES {", ".join(f"({n})" for n in W.SIZES)}),
 draws AS (
   SELECT c.graph_id, c.m, z.n, UNNEST(RANGE(1, z.n + 1)) AS draw FROM counts c JOIN sample_sizes z ON z.n - 1 <= c.m),
 picked AS (
-  SELECT graph_id, n, draw, CAST('0x' || SUBSTR(MD5('b1|' || graph_id || '|' || n || '|' || draw), 1, 8) AS BIGINT) % m AS ix FROM draws),
+  SELECT graph_id, n, draw, CAST('0x' || SUBSTR(MD5('b1|' || graph_id || '|' || n || '|' || draw), 1, {G.DRAW_DIGITS}) AS BIGINT) % m AS ix FROM draws),
 boot AS (
   SELECT p.graph_id, CAST(p.n AS INTEGER) AS n, CAST(p.draw AS INTEGER) AS draw, i.edge_id, i.u, i.v, i.s, i.t
   FROM picked p JOIN ixs i ON p.graph_id = i.graph_id AND p.ix = i.ix)"""

@@ -156,6 +156,28 @@ def high_utility_by_tag(spark: SparkSession, sf: str) -> DataFrame:
     return mined_high_utility(spark, sf).withColumn("itemset", item_text(F.col("itemset")))
 
 
+# The batch with shares as quantities, over the finished orders: the others have no metadata here.
+SHARES_BY_TAG = (
+    HIGH_BY_TAG.replace("b.weight * u.eutil AS u", "b.share * u.eutil AS u")
+    .replace("WHERE confidence > CAST(0.6 AS DOUBLE))", "WHERE confidence > CAST(0.6 AS DOUBLE) AND id IN (SELECT id FROM meta WHERE name LIKE '% F'))")
+)
+
+
+@query("high_utility_shares", f"WITH {SHARES_BY_TAG} SELECT run_id, tag_name, tag, rollup, fi_type, itemset, k, freq, ROUND(value, 9) AS value, n FROM hui")
+def high_utility_shares(spark: SparkSession, sf: str) -> DataFrame:
+    tracks = D.tracks(spark, sf, "p_type")
+    found = batch.high_utility_by_tag(
+        tracks.select("_id", "confidence"),
+        batch.share_transactions(tracks, ratio=batch.FILTER_RATIO, confidence=batch.FILTER_CONFIDENCE),
+        D.type_utilities(spark),
+        D.metadata(spark, sf).filter(F.col("name").endswith(" F")),
+        tag_name="genres",
+        tags=D.TAGS,
+        known_only=True,
+    )
+    return found.withColumns({"itemset": item_text(F.col("itemset")), "value": F.round("value", 9)})
+
+
 # Every part is a label of its own. All label sets of an order are enumerated by the bits of the numbers from 1.
 WIDE = f"""WITH {Q.UTILITY},
 x AS (

@@ -1,5 +1,7 @@
 """Labels, baskets, stored results, served sets and batches."""
 
+import hashlib
+import json
 import random
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from setscope.functions import labels as L
 from setscope.functions.tables import new_path
 from setscope.operators import baskets as B
+from setscope.operators import graph as G
 from setscope.operators import layout as Y
 from setscope.operators import sequences as S
 from setscope.plans import batch, serve
@@ -202,6 +205,60 @@ def test_readers_round_trip(spark, tracks, meta):
         tracks.write.format(fmt).save(path)
         assert R.load_tracks(spark, path, fmt).filter("confidence > 0.5").count() == 2
     path = new_path(spark, "meta")
-    R.append_metadata(meta, path)
-    R.append_metadata(meta, path)
-    assert R.load_metadata(spark, path).count() == 6
+    meta.write.parquet(path)
+    assert R.load_metadata(spark, path).count() == 3
+
+
+def test_pages_sent_again_add_nothing(spark, tmp_path):
+    def page(name, ids):
+        results = [{"id": str(i), "name": f"n{i}", "artist_name": "a", "image": "i", "audio": "u", "musicinfo": {"tags": {"genres": ["x"], "vartags": []}}} for i in ids]
+        return {"results": results} | ({"page": name} if name else {})
+
+    folder, lines, table = tmp_path / "pages", tmp_path / "lines", str(tmp_path / "table")
+    folder.mkdir()
+    for i, ids in enumerate(([1, 2], [3], [], [4, 5])):
+        (folder / f"p{i}.json").write_text(json.dumps(page(None, ids), indent=1))
+    lines.write_text("\n".join(json.dumps(page(name, ids)) for name, ids in (("a", [6]), ("p1.json", [3]), ("b", [7, 8]))))
+    files, more = R.load_pages(spark, str(folder)), R.load_pages(spark, str(lines), multi_line=False)
+    assert sorted(r.page for r in files.collect()) == [f"p{i}.json" for i in range(4)]
+    ids = lambda df: sorted(int(r["_id"]) for r in df.collect())
+    assert ids(R.ingest_pages(files.filter("page < 'p2'"), table)) == [1, 2, 3]
+    assert ids(R.ingest_pages(files, table)) == [1, 2, 3, 4, 5]
+    assert ids(R.ingest_pages(files.unionByName(more).unionByName(more), table)) == list(range(1, 9))
+    # A run that breaks off after some of its files: a page is there as a whole or not at all, and the rest comes with the next run.
+    for file in sorted((tmp_path / "table").glob("*.parquet"))[:1]:
+        lost = {r.page for r in spark.read.parquet(str(file)).collect()}
+        file.unlink()
+    left = R.load_ingested(spark, table)
+    assert lost and not lost & {r.page for r in left.collect()}
+    assert ids(R.ingest_pages(files.unionByName(more), table)) == list(range(1, 9))
+    with pytest.raises(Exception, match="without a name"):
+        R.ingest_pages(files.withColumn("page", F.lit(None).cast("string")), table)
+
+
+def test_draws_reach_every_edge(spark, monkeypatch):
+    rows = [("g", i, f"n{i % 7}", f"n{i % 11}") for i in range(40)] + [("h", 1, "a", "b")]
+    data = spark.createDataFrame(rows, "graph_id string, edge_id long, u string, v string")
+    got = G.bootstrap_edges(data.unionByName(data), [30, 41, 60], seed="s").collect()
+    assert {(r.graph_id, r.n) for r in got} == {("g", 30), ("g", 41)} and len(got) == 71
+    index = {e: (u, v) for g, e, u, v in rows if g == "g"}
+    for r in got:
+        ix = int(hashlib.md5(f"s|g|{r.n}|{r.draw}".encode()).hexdigest()[:15], 16) % 40
+        assert r.edge_id == ix and (r.u, r.v) == index[ix]
+    everything = G.bootstrap_edges(data, [30, 60], seed="s", skip_larger=False)
+    assert everything.count() == 180 and {r.edge_id for r in everything.filter("graph_id = 'h'").collect()} == {1}
+
+
+def test_utility_batch_of_known_tracks(spark, tracks, meta):
+    """Tracks without metadata count unless only known ones are asked for."""
+    shares = batch.share_transactions(tracks, ratio=0.05, confidence=None)
+    values = spark.createDataFrame([(c, 1) for c in ("Cmaj", "C7", "Gmin7", "Dbmaj7")], "item string, eutil int")
+    known = meta.filter("_id != '3'")
+    found = {
+        flag: batch.high_utility_by_tag(
+            tracks, shares, values, known, tag_name="genres", tags=["pop"], min_util=0.1, confidence=None, known_only=flag
+        ).filter("tag is null").collect()
+        for flag in (False, True)
+    }
+    assert {r.n for r in found[False]} == {3} and {r.n for r in found[True]} == {2}
+    assert "Dbmaj7" in {x for r in found[False] for x in r.itemset} and "Dbmaj7" not in {x for r in found[True] for x in r.itemset}
