@@ -1,16 +1,20 @@
 """License scan: ordered signature rules behind a keyword prefilter, with overlapping detections resolved.
 
 A text is reduced to lower-case words joined by spaces. A rule runs only where one of its keywords occurs. Detections are taken
-strongest first (priority, then length, then place); one inside an interval already taken is suppressed. Beside the rules, the
-places of four plain phrases are always reported.
+strongest first (priority, then length, then place, then name); one inside an interval already taken is suppressed. Beside the rules,
+the places of four plain phrases are always reported.
 
-Null texts have no words and no detections. Other columns are not read, repeated rows give repeated results.
+Null texts have no words and no detections; an empty table gives no rows. Other columns are not read, repeated rows give repeated
+results. Long texts are scanned whole: places become word numbers by search in the list of word starts, and suppression asks a tree of
+ends, so time grows with the text and its detections, up to a logarithm.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,39 +59,47 @@ class Scanner:
         """Number of words, places of the phrases, detections; all in words from 0."""
         words = (text or "").encode().translate(MARKS_TO_SPACES).split()
         line = b" " + b" ".join(words) + b" "
-        places = []
+        places, starts = [], None
         for phrase, label in self.phrases:
             at = line.find(phrase)
             while at >= 0:
-                places.append((line.count(b" ", 0, at), label))
+                starts = word_starts(words) if starts is None else starts
+                places.append((bisect_left(starts, at + 1), label))
                 at = line.find(phrase, at + 1)
         due = sorted({i for k, which in self.by_word if k in line for i in which})
         found = []
         if due:
             plain = line.decode()
+            starts = word_starts(plain.split(" ")[1:-1])
             for i in due:
                 rule, pattern = self.rules[i]
                 for m in pattern.finditer(plain):
-                    start = plain.count(" ", 0, m.start()) - 1
+                    start = bisect_right(starts, m.start()) - 1
                     found.append((rule.priority, m.start() - m.end(), start, start + m[0].strip().count(" ") + 1, rule))
         return len(words), sorted(places), resolve(found)
 
 
-def resolve(found: list[tuple]) -> list[tuple]:
-    """Detections that no stronger one contains, by place. The intervals taken are kept disjoint in nesting, so one search finds out."""
-    from bisect import bisect_right
+def word_starts(words: list) -> list[int]:
+    """Where words begin that are joined by blanks behind a first blank."""
+    return list(accumulate((len(w) + 1 for w in words), initial=1))[:-1]
+
 
-    kept, starts, ends = [], [], []
+def resolve(found: list[tuple]) -> list[tuple]:
+    """Detections that no stronger one contains, by place."""
+    at = {start: i for i, start in enumerate(sorted({d[2] for d in found}), 1)}
+    # A binary indexed tree: the farthest end of the intervals taken that start at a place or before it.
+    tree, kept = [-1] * (len(at) + 1), []
     for _, _, start, end, rule in sorted(found, key=lambda d: (d[0], d[1], d[2], d[4].name)):
-        at = bisect_right(starts, start)
-        # No interval taken lies inside another, so both ends rise together: the last that starts early enough reaches farthest.
-        if at and ends[at - 1] >= end:
+        i, farthest = at[start], -1
+        while i:
+            farthest = max(farthest, tree[i])
+            i &= i - 1
+        if farthest >= end:
             continue
-        low = bisect_right(starts, start - 1)
-        high = low
-        while high < len(starts) and ends[high] <= end:
-            high += 1
-        starts[low:high], ends[low:high] = [start], [end]
+        i = at[start]
+        while i < len(tree):
+            tree[i] = max(tree[i], end)
+            i += i & -i
         kept.append((start, end, rule.name, rule.label, rule.weight))
     return sorted(kept)
 

@@ -1,7 +1,9 @@
 """Encoding, secrets, licenses and decontamination beside brute force, on odd rows and on the test tables."""
 
 import hashlib
+import random
 import re
+import time
 
 import duckdb
 import pyarrow as pa
@@ -135,6 +137,45 @@ def test_license_rules_match_what_they_name():
     assert labels("nothing to see here, only a permit for gplx") == []
 
 
+def plain_scan(text: str) -> list[tuple]:
+    """Detections found rule by rule, places by counting blanks, and each compared with all stronger ones."""
+    line = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))) + " "
+    found = []
+    for r in rules():
+        if any(f" {k}" in line for k in r.keywords):
+            for m in re.finditer(r.pattern, line):
+                start = line[: m.start()].count(" ") - 1
+                found.append((r.priority, m.start() - m.end(), start, r.name, start + m[0].strip().count(" ") + 1, r))
+    taken = []
+    for _, _, start, _, end, r in sorted(found, key=lambda d: d[:4]):
+        if not any(s <= start and end <= e for s, e, *_ in taken):
+            taken.append((start, end, r.name, r.label, r.weight))
+    return sorted(taken)
+
+
+def test_licenses_equal_brute_force(spark, docs):
+    rnd = random.Random(6)
+    bits = "apache license version 2.0 mit gnu general public cc by sa 4.0 bsd 3 clause mozilla licensed under the é x creative commons".split()
+    mixed = [" ".join(rnd.choice(bits).title() if i % 5 == 0 else rnd.choice(bits) for i in range(rnd.randrange(1, 400))) for _ in range(60)]
+    rows = texts(docs) + [(1000 + i, t) for i, t in enumerate(mixed)]
+    got = licenses.license_summary(licenses.scan_licenses(frame(spark, documents(rows)))).collect()
+    want = []
+    for doc, text in rows:
+        found = plain_scan(text or "")
+        labels = {x for _, x in base_licenses(text or "")[1]} | {d[3] for d in found}
+        want.append((doc, ",".join(sorted(labels)), max((d[4] for d in found), default=0.0)))
+    assert sorted(((r["doc_id"], r["labels"], r["score"]) for r in got), key=key) == sorted(want, key=key)
+    scanner = licenses.Scanner(rules())
+    assert all(scanner.scan(t)[2] == plain_scan(t) for t in mixed)
+
+
+def test_time_of_long_repeats_is_linear():
+    scanner = licenses.Scanner(rules())
+    start = time.process_time()
+    n, places, found = scanner.scan("mit license x " * 75_000)
+    assert n == 225_000 and len(places) == 75_000 and len(found) >= 75_000 and time.process_time() - start < 20
+
+
 def test_stronger_detections_suppress_those_inside():
     rule = lambda p, name: licenses.Rule(name, name, (), "", p, 0.5)
     found = [(5, -20, 0, 4, rule(5, "a")), (1, -10, 1, 3, rule(1, "b")), (9, -5, 1, 2, rule(9, "c")), (9, -9, 3, 6, rule(9, "d")), (1, -10, 1, 3, rule(1, "e"))]
