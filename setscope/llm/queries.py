@@ -81,8 +81,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels"))).select("doc_id", "p_good", "p_toxic", "accepted")
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 @query

@@ -16,6 +16,7 @@ from edge import documents, frame, odd_rows, words
 import __spark_entry__ as entry
 import corpus_pipeline
 from setscope.llm import hmm, quality
+from setscope.llm.quality import OTHER
 from setscope.llm.queries import piece_model
 
 GOOD = "the of and river stone window garden morning letter carries over under bright quiet small".split()
@@ -60,6 +61,62 @@ def test_classifier_on_held_out_documents(spark, known):
     assert all(abs(again[d] - r["p_good"]) < 1e-12 for d, r in got.items())
 
 
+def test_views_hand_over_what_they_know(spark):
+    """Where sources tell the classes apart, both views teach, all unlabelled documents take part, and the shares grow."""
+    rows, labels = labelled(1200, 5)
+    table = documents(rows).to_pydict()
+    poor = {d for d, q, _ in labels if not q}
+    table["source"] = ["dump" if d in poor else "press" for d in table["doc_id"]]
+    docs = frame(spark, pa.table(table))
+    model, features, handed = quality.learn(docs, frame(spark, label_table(labels[:900])))
+    by = {(r["round"], r["view"]): r["yes"] + r["no"] for r in handed if r["head"] == "good"}
+    assert all(by[t, v] > 0 for t in (1, 2, 3) for v in ("text", "meta")) and by[1, "text"] < by[2, "text"] < by[3, "text"]
+    assert features.count() == 1200 and by[3, "text"] <= 300
+    got = {r["doc_id"]: r for r in quality.classify(docs, frame(spark, label_table(labels[:900]))).collect()}
+    assert sum(got[d]["accepted"] != bool(q and not t) for d, q, t in labels[900:]) <= 10
+    # The same numbers, whatever the partitions, and from the other way of scoring.
+    again = {r["doc_id"]: r["p_good"] for r in quality.classify(docs.repartition(3), frame(spark, label_table(labels[:900]))).collect()}
+    scored = {r["doc_id"]: r["p_good"] for r in quality.score(docs, model).select("doc_id", "p_good").collect()}
+    assert all(abs(again[d] - r["p_good"]) < 1e-9 and abs(scored[d] - r["p_good"]) < 1e-9 for d, r in got.items())
+
+
+def test_a_round_equals_brute_force(spark, monkeypatch):
+    """One round in one place: the surest unlabelled rows by sorting, the other view refitted to labelled rows and these."""
+    monkeypatch.setattr(quality, "ROUNDS", 1)
+    monkeypatch.setattr(quality, "STEPS", 40)
+    rows, labels = labelled(1300, 6)
+    docs, known = frame(spark, documents(rows)), {d for d, _, _ in labels[:900]}
+    start, lessons = quality.fit([
+        {"text": t, "lang": r["lang"], "source": r["source"], "n_chars": r["n_chars"], "good": g, "toxic": x}
+        for (d, t), r, (_, g, x) in zip(rows, docs.collect(), labels) if d in known
+    ])
+    table = quality.feature_table(docs, start).filter(f"doc_id not in ({','.join(map(str, known))})")
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in table.collect()], schema=table.toArrow().schema)
+    x, head = quality.view_rows(batch, start)["good"], start.heads["good"]
+    want = {}
+    for view, other in (("text", "meta"), ("meta", "text")):
+        logits, lesson = getattr(head, view).logits(x[view]), lessons["good"]
+        bins = np.round(logits / quality.BIN).astype(int)
+        due, prior = quality.HANDED * len(bins), lesson.prior()
+        aside = np.round(getattr(head, view).logits(lesson.aside[view]) / quality.BIN).astype(int)
+        top = max(b for b in range(-700, 701) if (bins >= b).sum() >= due * prior)
+        bottom = min(b for b in range(-700, 701) if (bins <= b).sum() >= due * (1 - prior))
+        if bottom >= top or not quality._teaches(aside, lesson.y_aside, top, bottom):
+            top, bottom = 10**6, -(10**6)
+        at = np.flatnonzero((bins >= top) | (bins <= bottom))
+        m = quality.Logistic()
+        m.mean, m.scale, m.weight = getattr(head, other).mean, getattr(head, other).scale, np.zeros(len(getattr(head, other).weight))
+        xs = np.vstack([lesson.fit[other], x[other][at]])
+        ys, importance = np.concatenate([lesson.y_fit, bins[at] >= top]), np.concatenate([np.ones(len(lesson.y_fit)), np.full(len(at), quality.PSEUDO_WEIGHT)])
+        for _ in range(40):
+            m = m.stepped(m.sums(xs, ys, importance))
+        want[other] = m.weight, len(at)
+    handed = quality.co_train(start, lessons, quality.materialise(table, "pool"))
+    assert {OTHER[r["view"]]: r["yes"] + r["no"] for r in handed if r["head"] == "good"} == {v: n for v, (_, n) in want.items()}
+    assert want["meta"][1] > 0
+    assert all(np.allclose(getattr(start.heads["good"], v).weight, w, atol=1e-3) for v, (w, _) in want.items())
+
+
 def test_classifier_without_labels_or_rows(spark, known):
     docs = frame(spark, documents(known[0][:20]))
     none = frame(spark, label_table(known[1])).limit(0)
