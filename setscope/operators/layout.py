@@ -8,17 +8,20 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import join_same, string_array
+from setscope.functions.tables import materialise
 
 # Pull of hierarchical control points, centroid shift, search range of the shift, chart margins, link width scale,
 # hue domain and arc overhang.
 HIER_FACTOR = 1.4
 SHIFT = 0.2
 SHIFT_MAX = 0.5
-SHIFT_STEPS = 50
+#: Rounds of the ratio search and sections in each; parts of a curve, and points of each at which its speed is taken.
+SECTION_ROUNDS, SECTIONS, CURVE_PARTS, CURVE_NODES = 3, 25, 8, 8
 MARGIN_TOP = MARGIN_BOTTOM = 20
 MARGIN_LEFT = 60
 MARGIN_RIGHT = 10
@@ -104,36 +107,86 @@ def bundle_control_points(centroids: DataFrame, *, left: Column | None = None, r
     )
 
 
+def gauss_nodes() -> list[tuple[float, float]]:
+    """Places and weights of Gauss-Legendre quadrature on equal parts of [0, 1]."""
+    at, weight = np.polynomial.legendre.leggauss(CURVE_NODES)
+    return [(float((i + (t + 1) / 2) / CURVE_PARTS), float(w / 2 / CURVE_PARTS)) for i in range(CURVE_PARTS) for t, w in zip(at, weight)]
+
+
 def _length(x1, y1, x2, y2) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
+def curve_length(end: tuple, near: tuple, far: tuple) -> Column:
+    """Length of the curve from ``end`` to the control point ``near``, which goes on to ``far``: a uniform Catmull-Rom piece, by
+    quadrature of the speed of its cubic."""
+    nodes = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in gauss_nodes()])
+
+    def speed(t: Column, i: int) -> Column:
+        a, b = near[i] - end[i], far[i] - end[i]
+        rest = F.lit(1.0) - t
+        return rest * rest * a * 0.5 + t * rest * (a * 5.0 - b) + t * t * b * 0.5
+
+    def piece(so_far: Column, node: Column) -> Column:
+        x, y = speed(node["t"], 0), speed(node["t"], 1)
+        return so_far + node["w"] * F.sqrt(x * x + y * y)
+
+    return F.aggregate(nodes, F.lit(0.0), piece)
+
+
 def bundle_ratio_search(clustered: DataFrame, layout: DataFrame) -> DataFrame:
     """``(cluster, r_left, r_right)``: ratios in [0, 0.5] with the shortest lines, left side first, then right with left fixed.
 
-    The length of a cluster is the distance of every link end to its control point plus the distance of the two points. Links with
-    equal ends are merged first, then each one is measured for all ratios of the grid; compared to 9 digits, smallest ratio first.
+    The length of a cluster is that of the curves from every link end to its control point plus the distance of the two points. Links
+    with equal ends are merged. Each round measures all clusters at the same number of ratios and keeps the two sections around the
+    shortest, so brackets shrink together, and the vertex of the parabola through the last three gives the ratio, to six digits and
+    more. As with any bracketing search, length is taken to fall and then rise. Lengths are summed to twelve digits as decimals, so the
+    result does not depend on partitions; of equal sums the smallest ratio is taken.
     """
     centroids = cluster_centroids(clustered, layout).drop("links")
     links = clustered.groupBy("cluster", "a", "b").agg(F.count(F.lit(1)).alias("w"))
-    placed = _ends(links, layout, "x", "y").join(centroids, "cluster")
-    grid = F.explode(F.array(*[F.lit(i * SHIFT_MAX / SHIFT_STEPS) for i in range(SHIFT_STEPS + 1)]))
-
-    def best(rows: DataFrame, end: tuple[str, str], move: tuple[str, str, str, str], fixed: tuple[Column, Column], out: str):
-        tried = rows.withColumn("r", grid)
-        px, py = _toward(move[0], move[2], F.col("r")), _toward(move[1], move[3], F.col("r"))
-        sums = tried.groupBy("cluster", "r").agg(
-            F.sum(F.col("w") * _length(F.col(end[0]), F.col(end[1]), px, py)).alias("spread"),
-            F.first(_length(px, py, *fixed)).alias("middle"),
-        )
-        total = F.round(F.col("spread") + F.col("middle"), 9)
-        return sums.groupBy("cluster").agg(F.min_by("r", F.struct(total.alias("len"), F.col("r"))).alias(out))
-
-    left = best(placed, ("x1", "y1"), ("lx", "ly", "rx", "ry"), (F.col("rx"), F.col("ry")), "r_left")
-    moved = placed.join(left, "cluster")
-    at = (_toward("lx", "rx", F.col("r_left")), _toward("ly", "ry", F.col("r_left")))
-    right = best(moved, ("x2", "y2"), ("rx", "ry", "lx", "ly"), at, "r_right")
-    return left.join(right, "cluster")
+    placed = materialise(_ends(links, layout, "x", "y").join(centroids, "cluster"), "bundle-links")
+
+    def exact(length: Column) -> Column:
+        return F.round(length, 12).cast("decimal(28, 12)")
+
+    def search(rows: DataFrame, out: str) -> DataFrame:
+        bracket = rows.select("cluster").distinct().select("cluster", F.lit(0.0).alias("low"), F.lit(SHIFT_MAX).alias("high"))
+        for turn in range(SECTION_ROUNDS):
+            steps = F.explode(F.sequence(F.lit(0), F.lit(SECTIONS))).alias("i")
+            tried = bracket.select("*", steps).withColumn("r", F.col("low") + (F.col("high") - F.col("low")) * F.col("i") / SECTIONS)
+            tried = rows.join(tried, "cluster")
+            moving = "l" if out == "r_left" else "r"
+            still = "r" if out == "r_left" else "m"
+            point = tuple(_toward(f"{moving}{c}", f"{'r' if moving == 'l' else 'l'}{c}", F.col("r")) for c in "xy")
+            fixed = (F.col(f"{still}x"), F.col(f"{still}y"))
+            left, right = (point, fixed) if moving == "l" else (fixed, point)
+            curves = exact(curve_length((F.col("x1"), F.col("y1")), left, right)) + exact(curve_length((F.col("x2"), F.col("y2")), right, left))
+            sums = tried.groupBy("cluster", "low", "high", "i", "r").agg(
+                F.sum(F.col("w").cast("decimal(10, 0)") * curves).alias("spread"), F.first(exact(_length(*left, *right))).alias("middle")
+            )
+            sums = sums.withColumn("total", F.col("spread") + F.col("middle"))
+            shortest = F.min(F.struct("total", "i", "r")).alias("best")
+            three = F.sort_array(F.collect_list(F.struct("i", "r", F.col("total").cast("double").alias("total")))).alias("all")
+            found = sums.groupBy("cluster", "low", "high").agg(shortest, three)
+            at = lambda k: F.get("all", F.col("best.i") + k)
+            bracket = found.select(
+                "cluster",
+                F.coalesce(at(-1)["r"], "low").alias("low"),
+                F.coalesce(at(1)["r"], "high").alias("high"),
+                F.col("best.r").alias("r"),
+                at(-1)["total"].alias("before"),
+                at(0)["total"].alias("here"),
+                at(1)["total"].alias("behind"),
+            )
+            bracket = materialise(bracket, f"bundle-{out}-{turn}")
+        bend = F.col("before") - F.col("here") * 2.0 + F.col("behind")
+        vertex = F.col("r") + (F.col("high") - F.col("low")) * 0.25 * (F.col("before") - F.col("behind")) / bend
+        return bracket.select("cluster", F.when(bend > 0, vertex).otherwise(F.col("r")).alias(out))
+
+    left = materialise(search(placed, "r_left"), "bundle-left")
+    moved = placed.join(left, "cluster").withColumns({f"m{c}": _toward(f"l{c}", f"r{c}", F.col("r_left")) for c in "xy"})
+    return left.join(search(moved, "r_right"), "cluster")
 
 
 def bundle_links(clustered: DataFrame, layout: DataFrame, control_points: DataFrame) -> DataFrame:

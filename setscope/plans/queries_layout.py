@@ -136,26 +136,58 @@ def bundle_links(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(links, "x1", "y1", "clx", "cly", "crx", "cry", "x2", "y2")
 
 
+def curve_sql(end: str, near: str, far: str) -> str:
+    """Length of a curve piece in SQL; points are prefixes of x and y columns."""
+
+    def speed(c: str) -> str:
+        x, y = f"({near}{c} - {end.format(c=c)})", f"({far}{c} - {end.format(c=c)})"
+        return f"((1.0::DOUBLE - g.t) * (1.0::DOUBLE - g.t) * {x} * 0.5 + g.t * (1.0::DOUBLE - g.t) * ({x} * 5.0 - {y}) + g.t * g.t * {y} * 0.5)"
+
+    nodes = ", ".join(f"{{'t': {t!r}::DOUBLE, 'w': {w!r}::DOUBLE}}" for t, w in L.gauss_nodes())
+    return f"LIST_SUM(LIST_TRANSFORM([{nodes}], LAMBDA g: g.w * SQRT({speed('x')} * {speed('x')} + {speed('y')} * {speed('y')})))"
+
+
+def sections_sql(side: str, source: str) -> str:
+    """``<side>(cluster, r)``: rounds of sections over ``source``, and the vertex of the last parabola. The right side moves from r
+    towards l with the left point fixed at m."""
+    start, goal, still = ("l", "r", "r") if side == "r_left" else ("r", "l", "m")
+    left, right = ("p", still) if side == "r_left" else (still, "p")
+    text = [f"{side}_0 AS (SELECT DISTINCT cluster, CAST(0 AS DOUBLE) AS low, CAST({L.SHIFT_MAX} AS DOUBLE) AS high FROM {source})"]
+    for turn in range(L.SECTION_ROUNDS):
+        text.append(f"""
+{side}_tried{turn} AS (
+  SELECT k.*, b.low, b.high, b.i, b.r, {start}x + b.r * ({goal}x - {start}x) AS px, {start}y + b.r * ({goal}y - {start}y) AS py
+  FROM {source} k JOIN (SELECT cluster, low, high, i, low + (high - low) * i / {L.SECTIONS} AS r FROM {side}_{turn}, (SELECT UNNEST(RANGE(0, {L.SECTIONS + 1})) AS i)) b
+    ON k.cluster = b.cluster),
+{side}_sums{turn} AS (
+  SELECT cluster, low, high, i, r, SUM(w * (CAST(ROUND({curve_sql("{c}1", left, right)}, 12) AS DECIMAL(28, 12)) + CAST(ROUND({curve_sql("{c}2", right, left)}, 12) AS DECIMAL(28, 12))))
+    + ANY_VALUE(CAST(ROUND(SQRT(({left}x - {right}x) * ({left}x - {right}x) + ({left}y - {right}y) * ({left}y - {right}y)), 12) AS DECIMAL(28, 12))) AS total
+  FROM {side}_tried{turn} GROUP BY cluster, low, high, i, r),
+{side}_{turn + 1} AS (
+  SELECT cluster, COALESCE(r_before, low) AS low, COALESCE(r_behind, high) AS high, r, before, CAST(total AS DOUBLE) AS here, behind FROM (
+    SELECT *, LAG(r) OVER w AS r_before, LEAD(r) OVER w AS r_behind, CAST(LAG(total) OVER w AS DOUBLE) AS before, CAST(LEAD(total) OVER w AS DOUBLE) AS behind,
+      ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY total, i) AS place
+    FROM {side}_sums{turn} WINDOW w AS (PARTITION BY cluster ORDER BY i)) WHERE place = 1)""")
+    text.append(f"""
+{side} AS (
+  SELECT cluster, CASE WHEN before - here * 2.0::DOUBLE + behind > 0
+    THEN r + (high - low) * 0.25::DOUBLE * (before - behind) / (before - here * 2.0::DOUBLE + behind) ELSE r END AS {side}
+  FROM {side}_{L.SECTION_ROUNDS})""")
+    return ",".join(text)
+
+
 @query(
     "bundle_ratio_search",
-    f"""{CLUSTERED}, grid AS (SELECT CAST(i AS DOUBLE) * CAST(0.5 AS DOUBLE) / 50 AS ratio FROM (SELECT UNNEST(RANGE(0, 51)) AS i)),
-    lefts AS (
-      SELECT k.cluster, g.ratio, ROUND(SUM(SQRT((x1 - (lx + ratio * (rx - lx))) ** 2 + (y1 - (ly + ratio * (ry - ly))) ** 2))
-        + MAX(SQRT((lx + ratio * (rx - lx) - rx) ** 2 + (ly + ratio * (ry - ly) - ry) ** 2)), 9) AS len
-      FROM clustered k JOIN cent c ON k.cluster = c.cluster JOIN grid g ON TRUE GROUP BY 1, 2),
-    best_left AS (
-      SELECT cluster, ratio AS r_left FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY len, ratio) AS rn FROM lefts) WHERE rn = 1),
-    moved AS (SELECT c.*, b.r_left, lx + r_left * (rx - lx) AS mx, ly + r_left * (ry - ly) AS my FROM cent c JOIN best_left b ON c.cluster = b.cluster),
-    rights AS (
-      SELECT k.cluster, g.ratio, ROUND(SUM(SQRT((x2 - (rx + ratio * (lx - rx))) ** 2 + (y2 - (ry + ratio * (ly - ry))) ** 2))
-        + MAX(SQRT((rx + ratio * (lx - rx) - mx) ** 2 + (ry + ratio * (ly - ry) - my) ** 2)), 9) AS len
-      FROM clustered k JOIN moved c ON k.cluster = c.cluster JOIN grid g ON TRUE GROUP BY 1, 2),
-    best_right AS (
-      SELECT cluster, ratio AS r_right FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY len, ratio) AS rn FROM rights) WHERE rn = 1)
-    SELECT l.cluster, l.r_left, r.r_right FROM best_left l JOIN best_right r ON l.cluster = r.cluster""",
+    f"""{CLUSTERED},
+    links AS (SELECT cluster, x1, y1, x2, y2, COUNT(*) AS w FROM clustered GROUP BY ALL),
+    placed AS (SELECT k.*, lx, ly, rx, ry FROM links k JOIN cent c ON k.cluster = c.cluster),
+    {sections_sql("r_left", "placed")},
+    moved AS (SELECT p.*, lx + r_left * (rx - lx) AS mx, ly + r_left * (ry - ly) AS my FROM placed p JOIN r_left l ON p.cluster = l.cluster),
+    {sections_sql("r_right", "moved")}
+    SELECT l.cluster, ROUND(r_left, 6) AS r_left, ROUND(r_right, 6) AS r_right FROM r_left l JOIN r_right r ON l.cluster = r.cluster""",
 )
 def bundle_ratio_search(spark: SparkSession, sf: str) -> DataFrame:
-    return L.bundle_ratio_search(clustered(spark, sf), layout(spark))
+    return rounded(L.bundle_ratio_search(clustered(spark, sf), layout(spark)), "r_left", "r_right")
 
 
 def _axes(spark: SparkSession, sf: str) -> int:

@@ -291,6 +291,17 @@ def serve_circular(spark: SparkSession, sf: str) -> DataFrame:
     return _with_ends(*serve.serve_circular(stored_results(spark, sf), brand_order(spark), tag_vals="machinery,3-MEDIUM"))
 
 
+@query(
+    "serve_circular_default",
+    f"""{FREQUENT}, {Q.BRAND_ORDER}
+    SELECT f.tag, f.itemset AS labels, f.value, a.pos AS pos_a, b.pos AS pos_b FROM frequent f
+      JOIN ord a ON a.node = SPLIT_PART(f.itemset, ',', 1) JOIN ord b ON b.node = SPLIT_PART(f.itemset, ',', 2)
+    WHERE f.k = 2 AND NOT f.rollup AND f.tag IS NULL""",
+)
+def serve_circular_default(spark: SparkSession, sf: str) -> DataFrame:
+    return _with_ends(*serve.serve_circular(stored_results(spark, sf), brand_order(spark)))
+
+
 def _with_ends(sets: DataFrame, order: DataFrame) -> DataFrame:
     first = order.select(F.col("node").alias("_a"), F.col("pos").alias("pos_a"))
     second = order.select(F.col("node").alias("_b"), F.col("pos").alias("pos_b"))
@@ -376,6 +387,17 @@ def serve_circ_clust_default(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(serve.serve_circ_clust(stored_results(spark, sf), brand_order(spark))[0])
 
 
+@query(
+    "serve_circular_ordered",
+    f"""{REQUESTED}
+    SELECT p.tag, p.u || ',' || p.v AS labels, p.value, CAST(a.pos AS INTEGER) AS pos_a, CAST(b.pos AS INTEGER) AS pos_b
+    FROM pairs p JOIN adjusted a ON p.u = a.node JOIN adjusted b ON p.v = b.node""",
+)
+def serve_circular_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """The circular chart in an order computed from the requested pairs."""
+    return _with_ends(*serve.serve_circular(stored_results(spark, sf), brand_order(spark), order_opt="avsdf_la", tag_vals="household,1-URGENT"))
+
+
 @query(
     "serve_parallel_clust",
     f"""WITH RECURSIVE {FREQUENT_BY_TAG},
@@ -448,3 +470,15 @@ def sample_tracks(spark: SparkSession, sf: str) -> DataFrame:
 def track_table(spark: SparkSession, sf: str) -> DataFrame:
     rows = serve.track_table(_found(spark, sf)).withColumn("z", F.explode(F.arrays_zip("labels", "relative")))
     return rows.select("_id", "name", "artist_name", "tags", F.col("z.labels").alias("label"), F.col("z.relative").alias("relative"))
+
+
+@query(
+    "search_tracks_any",
+    f"""WITH {Q.maps("p_type")}, {Q.META}, sample AS (SELECT * FROM meta ORDER BY MD5('s2' || CAST(id AS VARCHAR)) LIMIT 5)
+    SELECT CAST(s.id AS BIGINT) AS _id, s.name,
+      (SELECT STRING_AGG(b.item, ',' ORDER BY b.share DESC, b.item) FROM baskets b WHERE b.id = s.id) AS labels FROM sample s""",
+)
+def search_tracks_any(spark: SparkSession, sf: str) -> DataFrame:
+    """A request without tags and items samples the whole collection."""
+    found = serve.search_tracks(D.metadata(spark, sf), D.tracks(spark, sf, "p_type"), seed="s2")
+    return found.select(F.col("_id").cast("bigint").alias("_id"), "name", item_text(F.col("labels")).alias("labels"))

@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +264,54 @@ def test_utility_batch_of_known_tracks(spark, tracks, meta):
     }
     assert {r.n for r in found[False]} == {3} and {r.n for r in found[True]} == {2}
     assert "Dbmaj7" in {x for r in found[False] for x in r.itemset} and "Dbmaj7" not in {x for r in found[True] for x in r.itemset}
+
+
+def spline(end, near, far, n=4000):
+    """Length of a uniform Catmull-Rom piece by a fine polyline, with Richardson's correction."""
+    p, q, r = (np.array(v, float) for v in (end, near, far))
+    c1, c2 = p + (q - p) / 6, q - (r - p) / 6
+
+    def polyline(k):
+        t = np.linspace(0, 1, k + 1)[:, None]
+        path = (1 - t) ** 3 * p + 3 * (1 - t) ** 2 * t * c1 + 3 * (1 - t) * t**2 * c2 + t**3 * q
+        return np.sqrt((np.diff(path, axis=0) ** 2).sum(1)).sum()
+
+    return polyline(n) + (polyline(n) - polyline(n // 2)) / 3
+
+
+def golden(f, a, b):
+    g = (math.sqrt(5) - 1) / 2
+    c, d = b - g * (b - a), a + g * (b - a)
+    fc, fd = f(c), f(d)
+    while b - a > 1e-9:
+        if fc < fd:
+            b, d, fd = d, c, fc
+            c = b - g * (b - a)
+            fc = f(c)
+        else:
+            a, c, fc = c, d, fd
+            d = a + g * (b - a)
+            fd = f(d)
+    return (a + b) / 2
+
+
+def test_ratios_make_curves_shortest(spark):
+    rnd = random.Random(2)
+    places = {f"n{i}": (rnd.uniform(-300, 300), rnd.uniform(-300, 300)) for i in range(14)}
+    pairs = [(i % 2, f"n{rnd.randrange(7)}", f"n{7 + rnd.randrange(7)}") for i in range(16)]
+    nodes = spark.createDataFrame([(n, x, y) for n, (x, y) in places.items()], "node string, x double, y double")
+    links = spark.createDataFrame(pairs, "cluster int, a string, b string")
+    got = {r.cluster: (r.r_left, r.r_right) for r in Y.bundle_ratio_search(links, nodes).collect()}
+    curve = spark.range(1).select(Y.curve_length(*[(F.lit(x), F.lit(y)) for x, y in ((3.0, 4.0), (-50.0, 80.0), (200.0, -10.0))])).first()[0]
+    assert abs(curve - spline((3, 4), (-50, 80), (200, -10), 40_000)) < 1e-4
+    for k in (0, 1):
+        mine = [(places[a], places[b]) for c, a, b in pairs if c == k]
+        left, right = np.mean([a for a, _ in mine], axis=0), np.mean([b for _, b in mine], axis=0)
+
+        def length(p, q):
+            return sum(spline(a, p, q, 400) + spline(b, q, p, 400) for a, b in mine) + math.dist(p, q)
+
+        r_left = golden(lambda r: length(left + r * (right - left), right), 0, 0.5)
+        p = left + r_left * (right - left)
+        r_right = golden(lambda r: length(p, right + r * (left - right)), 0, 0.5)
+        assert abs(got[k][0] - r_left) < 2e-5 and abs(got[k][1] - r_right) < 2e-5
