@@ -7,7 +7,7 @@ Checksums modulo ``buckets`` are counted for the documents and for the target, t
 a nat, and a document's weight is the sum of the gains of its n-grams. Adding Gumbel noise, a fixed function of seed and id, and taking
 the highest scores draws documents without replacement in proportion to the exponential of their weights.
 
-The dictionary is the ``DICTIONARY`` most frequent words of documents and target, counted over all of them. What the automaton leaves
+The dictionary holds the most frequent words of documents and target, ``DICTIONARY`` at most, counted over all of them. What the automaton leaves
 out between two matches are words outside the dictionary; their checksums are computed on the spot, so results do not depend on its
 size. Counts of words and buckets are summed in every task before they are shuffled; the driver sees the dictionary and one number for
 each bucket. Ranks come from a sort by ranges and the number of rows of each range, so no task sees all documents.
@@ -35,8 +35,8 @@ from setscope.functions.tables import local_table, materialise
 from setscope.llm.common import MARKS_TO_SPACES, fields, partitions, worker_object
 
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
-#: Words of the automaton; others are hashed where they stand.
-DICTIONARY = 1 << 17
+#: Words of the automaton at most, and classes of frequency to a doubling; other words are hashed where they stand.
+DICTIONARY, CLASSES = 1 << 17, 64
 #: Words a task counts before it hands them over, bytes of a block of text, bytes of texts taken at once.
 COUNTED_WORDS, BLOCK, GROUP = 400_000, 1 << 22, 1 << 21
 #: Lengths in bytes with a table of their own.
@@ -197,12 +197,21 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def dictionary(texts: list[DataFrame], size: int = DICTIONARY) -> list[bytes]:
-    """The most frequent words of all texts, ties to the smaller word: ``size`` of them at most."""
+    """The most frequent words of all texts, ``size`` of them at most: all those of the classes of frequency that fit."""
     whole = texts[0].select("text")
     for other in texts[1:]:
         whole = whole.unionByName(other.select("text"))
-    top = count_words(whole).orderBy(F.desc("n"), "word").limit(size)
-    return [bytes(w) for w in top.toArrow()["word"].to_pylist()]
+    # Classes are so many to a doubling of the count; their sizes are a few thousand numbers at any size of the corpus.
+    words = materialise(count_words(whole).withColumn("class", F.floor(F.log2("n") * CLASSES)), "importance-words")
+    least, held = None, 0
+    for row in sorted(words.groupBy("class").count().collect(), reverse=True):
+        held += row["count"]
+        if held > size:
+            break
+        least = row["class"]
+    if least is None:
+        return []
+    return sorted(bytes(w) for w in words.filter(F.col("class") >= least).select("word").toArrow()["word"].to_pylist())
 
 
 def _scanner(words: list[bytes]) -> Scanner:
