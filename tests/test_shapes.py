@@ -4,6 +4,8 @@ import hashlib
 import json
 import math
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -15,6 +17,7 @@ from setscope.operators import baskets as B
 from setscope.operators import graph as G
 from setscope.operators import layout as Y
 from setscope.operators import sequences as S
+from setscope.operators import stats as N
 from setscope.plans import batch, serve
 from setscope.sources import readers as R
 from setscope.sources import results as T
@@ -315,3 +318,18 @@ def test_ratios_make_curves_shortest(spark):
         p = left + r_left * (right - left)
         r_right = golden(lambda r: length(p, right + r * (left - right)), 0, 0.5)
         assert abs(got[k][0] - r_left) < 2e-5 and abs(got[k][1] - r_right) < 2e-5
+
+
+@pytest.mark.parametrize(("heavy", "above"), [(1_000, None), (4, None), (1, None), (12, 6), (1_000, 6)])
+def test_cooccurrence_of_wide_rows(spark, monkeypatch, heavy, above):
+    """Some rows hold very many tags, some tags are in nearly every row; nulls, repeated tags and equal rows are there too."""
+    monkeypatch.setattr(N, "MATRIX_ROWS", 7)
+    rnd = random.Random(heavy)
+    rows = [[f"h{k}" for k in range(6) if rnd.random() < 0.7] + [f"l{rnd.randrange(60)}" for _ in range(rnd.randrange(4))] for _ in range(120)]
+    rows += [[f"l{k}" for k in range(60)], [f"h{k % 6}" for k in range(30)], [None, "h1", "h1", "l3"], [], ["l1"], None] + [["h0", "h1", "Ü"]] * 9
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "_id int, t array<string>")
+    # Popularity is by entries, so repeated tags of a row count.
+    popular = {x for x, n in Counter(x for t in rows for x in t or []).items() if above is None or n > above}
+    want = Counter(p for t in rows for p in combinations(sorted(({*(t or [])} - {None}) & popular), 2))
+    got = N.tag_cooccurrence(data, F.col("t"), above=above, heavy_tags=heavy).collect()
+    assert {(r.a, r.b): r.weight for r in got} == want and len(got) == len(want)
