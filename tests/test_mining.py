@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from setscope.functions.tables import materialise
 from setscope.operators import itemsets as I
 from setscope.operators import utility as U
 from setscope.operators import utility_vertical as L
@@ -189,3 +190,34 @@ def test_utility_lists_equal_the_array_miner(spark, labels, orders, longest, goa
         assert as_rows(L.high_utility_lists(data, values, min_util=60, as_share=False).selectExpr("'' as tag", "*").filter("k < 9")) == whole
     assert L.high_utility_lists(data.limit(0), values, min_util=goal, group_cols=["tag"]).count() == 0
     assert L.high_utility_lists(data.limit(0), values, min_util=goal).count() == 0
+
+
+@pytest.mark.parametrize("width", [None, 3])
+def test_itemsets_of_one_transaction_need_no_lists(spark, monkeypatch, width):
+    if width:
+        monkeypatch.setattr(L, "ENUMERATION_WIDTH", width)
+    written = {}
+
+    def counted(df, label):
+        out = materialise(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(L, "materialise", counted)
+    # Orders 0 to 59 have labels of their own; 60 and 61 share one pair; 62 and 63 are equal, so merged; 64 has an unknown quantity.
+    orders = {i: {5 * i + j: 10 + j for j in range(5)} for i in range(60)}
+    orders |= {60: {900: 15, 901: 16, 902: 9}, 61: {900: 14, 901: 13, 903: 8}, 62: {910: 12, 911: 13}, 63: {910: 11, 911: 10}, 64: {920: 60, 921: None, 922: 2}}
+    rows = [(tid, item, qty) for tid, basket in orders.items() for item, qty in basket.items()]
+    data = spark.createDataFrame(rows, "tid long, item long, qty long")
+    values = spark.createDataFrame([(item, 1) for item in {r[1] for r in rows}], "item long, eutil long")
+    want = {}
+    for basket in orders.values():
+        for k in range(1, len(basket) + 1):
+            for s in combinations(sorted(basket), k):
+                if all(basket[x] is not None for x in s):
+                    want[s] = want.get(s, 0) + sum(basket[x] for x in s)
+    got = L.high_utility_lists(data, values, min_util=45, as_share=False).collect()
+    assert len(got) == len({tuple(r.itemset) for r in got})
+    assert {tuple(r.itemset): r.utility for r in got} == {s: u for s, u in want.items() if u >= 45}
+    if not width:
+        assert sum(n for label, n in written.items() if label.startswith("utility-lists")) == 2
