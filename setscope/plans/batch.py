@@ -57,6 +57,12 @@ def each_tag(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tag", F.explode(F.concat(F.array(F.lit(None).cast("string")), "t"))).drop("t")
 
 
+def tag_sizes(tracks: DataFrame, meta: DataFrame, *, tag_name: str, tags: Sequence[str], confidence: float | None = FILTER_CONFIDENCE) -> DataFrame:
+    """``(tag, n)``: the number of confident tracks of each tag, and of all with tag NULL."""
+    kept = filter_confidence(tracks, confidence).select("_id")
+    return with_tags(kept, meta, tag_name, tags).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
 def run_headers(
     tracks: DataFrame,
     meta: DataFrame,
@@ -67,11 +73,15 @@ def run_headers(
     minimum: float,
     ratio: float | None = FILTER_RATIO,
     confidence: float | None = FILTER_CONFIDENCE,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """A header for every run of a batch, also of tags that no track has: parameters and the number of tracks."""
+    """A header for every run of a batch, also of tags that no track has: parameters and the number of tracks.
+
+    ``sizes`` are the ``tag_sizes`` of the tracks if they are known already.
+    """
     spark = tracks.sparkSession
-    sizes = with_tags(filter_confidence(tracks, confidence).select("_id"), meta, tag_name, tags)
-    sizes = sizes.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    if sizes is None:
+        sizes = tag_sizes(tracks, meta, tag_name=tag_name, tags=tags, confidence=confidence)
     rollups = [False, True] if fi_type == "frequent" else [False]
     wanted = [(t, r) for t in [*tags, None] for r in rollups]
     runs = local_table(spark, {"tag": [t for t, _ in wanted], "rollup": [r for _, r in wanted]})
@@ -134,16 +144,18 @@ def high_utility_by_tag(
     ratio: float | None = FILTER_RATIO,
     confidence: float | None = FILTER_CONFIDENCE,
     known_only: bool = False,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Result rows of all tags. ``tracks`` gives the number of tracks, ``transactions`` their filtered
-    ``(tid, item, qty)``, one row per label; with ``known_only``, those of tracks with metadata.
+    ``(tid, item, qty)``, one row per label; with ``known_only``, those of tracks with metadata. ``sizes`` are the ``tag_sizes`` of the
+    tracks if they are known already.
     """
     if known_only:
         ids = normal_ids(meta).select("_id").distinct()
         tracks = tracks.join(ids, "_id", "left_semi")
         transactions = transactions.join(ids.withColumnRenamed("_id", "tid"), "tid", "left_semi")
-    kept = filter_confidence(tracks, confidence).select("_id")
-    sizes = with_tags(kept, meta, tag_name, tags).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    if sizes is None:
+        sizes = tag_sizes(tracks, meta, tag_name=tag_name, tags=tags, confidence=confidence)
     # Tags are attached to one row per transaction, and equal label sets with equal tags are added up before tags multiply them.
     arrays = transaction_arrays(item_utilities(transactions, utilities, unique=True)).withColumnRenamed("tid", "_id")
     merged = add_arrays(wanted_tags(arrays, meta, tag_name, tags), ["t", "items"], "us")

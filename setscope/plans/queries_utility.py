@@ -104,10 +104,10 @@ frequent AS (
   WHERE s.freq >= CEIL(CAST(0.01 AS DOUBLE) * z.n))"""
 
 
-def mined_frequent(spark: SparkSession, sf: str) -> DataFrame:
+def mined_frequent(spark: SparkSession, sf: str, meta: DataFrame | None = None) -> DataFrame:
     return batch.frequent_by_tag(
         D.tracks(spark, sf, "p_brand"),
-        D.metadata(spark, sf),
+        D.metadata(spark, sf) if meta is None else meta,
         tag_name="genres",
         tags=D.TAGS,
         roll_up=D.BRAND_PARENT,
@@ -140,14 +140,15 @@ hui AS (
   WHERE CAST(h.utility AS DOUBLE) >= CAST(0.01 AS DOUBLE) * CAST(o.total AS DOUBLE))"""
 
 
-def mined_high_utility(spark: SparkSession, sf: str) -> DataFrame:
+def mined_high_utility(spark: SparkSession, sf: str, meta: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     return batch.high_utility_by_tag(
         D.plain_tracks(spark, sf),
         D.filtered_type_transactions(spark, sf, batch.FILTER_RATIO, batch.FILTER_CONFIDENCE),
         D.type_utilities(spark),
-        D.metadata(spark, sf),
+        D.metadata(spark, sf) if meta is None else meta,
         tag_name="genres",
         tags=D.TAGS,
+        sizes=sizes,
     )
 
 

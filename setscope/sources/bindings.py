@@ -31,17 +31,19 @@ def _percent() -> Column:
 
 
 def weights(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """``(id, item, weight, percent, lines)``: whole quantity, discount and line count per order and label."""
+    """``(id, item, weight, percent, lines)``: whole quantity, discount and line count per order and label.
+
+    Lines are dealt by order once; the sums of labels, and whatever is gathered per order behind them, need no other shuffle.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_discount")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col(label).alias("item"))
+    quantity = F.col("l_quantity").cast("bigint").alias("quantity")
+    labelled = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    labelled = labelled.select(F.col("l_orderkey").alias("id"), "item", quantity, _percent().alias("percent"))
     return (
-        lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_orderkey").alias("id"), "item")
-        .agg(
-            F.sum(F.col("l_quantity").cast("bigint")).alias("weight"),
-            F.sum(_percent()).alias("percent"),
-            F.count(F.lit(1)).alias("lines"),
-        )
+        labelled.repartition("id")
+        .groupBy("id", "item")
+        .agg(F.sum("quantity").alias("weight"), F.sum("percent").alias("percent"), F.count(F.lit(1)).alias("lines"))
     )
 
 
