@@ -47,6 +47,20 @@ def transaction_arrays(items: DataFrame, group_cols: Sequence[str] = ()) -> Data
     return per_tid.select(*group_cols, "tid", F.col("e.item").alias("items"), F.col("e.u").alias("us"))
 
 
+def map_arrays(rows: DataFrame, quantities: str, utilities: DataFrame) -> DataFrame:
+    """``transaction_arrays`` of rows that hold a transaction as a map from label to quantity: the map gives way to ``(items, us)``.
+
+    The unit utilities come along as one map of the label domain, so no transaction is taken apart and gathered again. Labels without
+    a unit utility drop out, and so do transactions left without labels.
+    """
+    units = utilities.agg(F.map_from_entries(F.collect_list(F.struct("item", "eutil")))).scalar()
+    known = rows.withColumn("_units", units)
+    entries = F.map_entries(F.map_filter(quantities, lambda k, _: F.map_contains_key("_units", k)))
+    valued = F.transform(entries, lambda e: F.struct(e["key"].alias("item"), (e["value"] * F.col("_units")[e["key"]]).alias("u")))
+    sorted_rows = known.withColumn("_e", F.sort_array(valued)).filter(F.size("_e") > 0)
+    return sorted_rows.withColumn("items", F.col("_e.item")).withColumn("us", F.col("_e.u")).drop("_units", "_e", quantities)
+
+
 def merged_transactions(items: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """``(group, items, us)``: transactions with equal label sets added up, position by position."""
     return add_arrays(transaction_arrays(items, group_cols), [*group_cols, "items"], "us")

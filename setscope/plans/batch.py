@@ -37,7 +37,7 @@ def _name(tag_name: str) -> Column:
     return F.when(F.col("tag").isNotNull(), F.lit(tag_name)).alias("tag_name")
 
 
-def with_tags(tracks: DataFrame, meta: DataFrame, tag_name: str, tags: Sequence[str]) -> DataFrame:
+def with_tags(tracks: DataFrame, meta: DataFrame | None, tag_name: str, tags: Sequence[str]) -> DataFrame:
     """One row per track and wanted tag, plus one with tag NULL for the whole collection.
 
     A left join, so tracks without metadata still count in the whole collection.
@@ -45,8 +45,13 @@ def with_tags(tracks: DataFrame, meta: DataFrame, tag_name: str, tags: Sequence[
     return each_tag(wanted_tags(tracks, meta, tag_name, tags))
 
 
-def wanted_tags(tracks: DataFrame, meta: DataFrame, tag_name: str, tags: Sequence[str]) -> DataFrame:
-    """Tracks with ``t``, their wanted tags as a sorted array; empty without metadata."""
+def wanted_tags(tracks: DataFrame, meta: DataFrame | None, tag_name: str, tags: Sequence[str]) -> DataFrame:
+    """Tracks with ``t``, their wanted tags as a sorted array; empty without metadata.
+
+    ``meta`` is None wherever the rows carry their ``t`` already; they need no id then.
+    """
+    if meta is None:
+        return tracks
     own = F.array_sort(F.array_intersect(F.array_distinct(tags_of(tag_name)), string_array(tags)))
     joined = tracks.join(normal_ids(meta).select("_id", own.alias("t")), "_id", "left")
     return joined.withColumn("t", F.coalesce("t", string_array([])))
@@ -57,15 +62,21 @@ def each_tag(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tag", F.explode(F.concat(F.array(F.lit(None).cast("string")), "t"))).drop("t")
 
 
-def tag_sizes(tracks: DataFrame, meta: DataFrame, *, tag_name: str, tags: Sequence[str], confidence: float | None = FILTER_CONFIDENCE) -> DataFrame:
+def _key(meta: DataFrame | None) -> str:
+    return "t" if meta is None else "_id"
+
+
+def tag_sizes(
+    tracks: DataFrame, meta: DataFrame | None, *, tag_name: str, tags: Sequence[str], confidence: float | None = FILTER_CONFIDENCE
+) -> DataFrame:
     """``(tag, n)``: the number of confident tracks of each tag, and of all with tag NULL."""
-    kept = filter_confidence(tracks, confidence).select("_id")
+    kept = filter_confidence(tracks, confidence).select(_key(meta))
     return with_tags(kept, meta, tag_name, tags).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def run_headers(
     tracks: DataFrame,
-    meta: DataFrame,
+    meta: DataFrame | None,
     *,
     tag_name: str,
     tags: Sequence[str],
@@ -100,7 +111,7 @@ def run_headers(
 
 def frequent_by_tag(
     tracks: DataFrame,
-    meta: DataFrame,
+    meta: DataFrame | None,
     *,
     tag_name: str,
     tags: Sequence[str],
@@ -112,7 +123,7 @@ def frequent_by_tag(
 ) -> DataFrame:
     """Result rows of all tags with and without roll-up, mined together with tag and roll-up as group keys."""
     kept = filter_confidence(tracks, confidence)
-    baskets = kept.select("_id", items_above(F.col("items"), ratio).alias("plain"))
+    baskets = kept.select(_key(meta), items_above(F.col("items"), ratio).alias("plain"))
     both = F.array(
         F.struct(F.lit(False).alias("rollup"), F.col("plain").alias("items")),
         F.struct(F.lit(True).alias("rollup"), roll_up_expr(F.col("plain"), roll_up).alias("items")),
@@ -158,7 +169,22 @@ def high_utility_by_tag(
         sizes = tag_sizes(tracks, meta, tag_name=tag_name, tags=tags, confidence=confidence)
     # Tags are attached to one row per transaction, and equal label sets with equal tags are added up before tags multiply them.
     arrays = transaction_arrays(item_utilities(transactions, utilities, unique=True)).withColumnRenamed("tid", "_id")
-    merged = add_arrays(wanted_tags(arrays, meta, tag_name, tags), ["t", "items"], "us")
+    tagged = wanted_tags(arrays, meta, tag_name, tags)
+    return utility_runs(tagged, sizes, tag_name=tag_name, tags=tags, min_util=min_util, ratio=ratio, confidence=confidence)
+
+
+def utility_runs(
+    arrays: DataFrame,
+    sizes: DataFrame,
+    *,
+    tag_name: str,
+    tags: Sequence[str],
+    min_util: float = MIN_UTILITY,
+    ratio: float | None = FILTER_RATIO,
+    confidence: float | None = FILTER_CONFIDENCE,
+) -> DataFrame:
+    """Result rows of all tags from filtered transactions ``(t, items, us)``, their tags beside their labels and utilities."""
+    merged = add_arrays(arrays, ["t", "items"], "us")
     found = mine_arrays(each_tag(merged), min_util=min_util, group_cols=["tag"])
     found = join_same(found, sizes, ["tag"])
     key = run_id(F.col("tag"), tags, minimum=min_util, ratio=ratio, confidence=confidence, ending=F.lit("hui"))

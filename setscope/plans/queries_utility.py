@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setscope.functions.columns import item_text
+from setscope.operators import baskets as B
 from setscope.operators import utility as U
 from setscope.operators import utility_vertical as L
 from setscope.plans import batch
@@ -104,14 +105,13 @@ frequent AS (
   WHERE s.freq >= CEIL(CAST(0.01 AS DOUBLE) * z.n))"""
 
 
-def mined_frequent(spark: SparkSession, sf: str, meta: DataFrame | None = None) -> DataFrame:
-    return batch.frequent_by_tag(
-        D.tracks(spark, sf, "p_brand"),
-        D.metadata(spark, sf) if meta is None else meta,
-        tag_name="genres",
-        tags=D.TAGS,
-        roll_up=D.BRAND_PARENT,
-    )
+def mined_frequent(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
+    """Frequent brands of all tags; ``orders`` are the confident orders with labels and tags if they are known already."""
+    if orders is None:
+        tracks, meta = D.tracks(spark, sf, "p_brand"), D.metadata(spark, sf)
+    else:
+        tracks, meta = orders.select("t", "confidence", D.shares("brands").alias("items")), None
+    return batch.frequent_by_tag(tracks, meta, tag_name="genres", tags=D.TAGS, roll_up=D.BRAND_PARENT)
 
 
 @query("frequent_itemsets_by_tag", f"WITH {FREQUENT_BY_TAG} SELECT * FROM frequent")
@@ -140,15 +140,20 @@ hui AS (
   WHERE CAST(h.utility AS DOUBLE) >= CAST(0.01 AS DOUBLE) * CAST(o.total AS DOUBLE))"""
 
 
-def mined_high_utility(spark: SparkSession, sf: str, meta: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def mined_high_utility(spark: SparkSession, sf: str, orders: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """High-utility types of all tags; ``orders`` and their ``sizes`` are the confident orders and tag sizes if known already."""
+    if orders is not None:
+        kept = F.map_filter("types", lambda _, w: w / F.col("total") > batch.FILTER_RATIO)
+        weights = B.filter_confidence(orders, batch.FILTER_CONFIDENCE).select("t", "total", kept.alias("weights"))
+        arrays = U.map_arrays(weights, "weights", D.type_utilities(spark))
+        return batch.utility_runs(arrays, sizes, tag_name="genres", tags=D.TAGS)
     return batch.high_utility_by_tag(
         D.plain_tracks(spark, sf),
         D.filtered_type_transactions(spark, sf, batch.FILTER_RATIO, batch.FILTER_CONFIDENCE),
         D.type_utilities(spark),
-        D.metadata(spark, sf) if meta is None else meta,
+        D.metadata(spark, sf),
         tag_name="genres",
         tags=D.TAGS,
-        sizes=sizes,
     )
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from setscope.functions.labels import order_frame
 from setscope.functions.tables import materialise, new_path
-from setscope.operators.baskets import normal_ids, tags_of
 from setscope.plans import batch
 from setscope.plans.queries_utility import mined_frequent, mined_high_utility
 from setscope.sources import bindings as D
@@ -16,17 +15,17 @@ from setscope.sources.results import read_headers, read_results, write_results
 _PATHS: dict[tuple[str, str], str] = {}
 
 
-def headers(spark: SparkSession, sf: str, fi_type: str, meta: DataFrame, sizes: DataFrame) -> DataFrame:
+def headers(spark: SparkSession, sf: str, fi_type: str, orders: DataFrame, sizes: DataFrame) -> DataFrame:
     """Headers of a batch over the test collection."""
     minimum = batch.MIN_SUPPORT if fi_type == "frequent" else batch.MIN_UTILITY
-    tracks = D.plain_tracks(spark, sf)
-    return batch.run_headers(tracks, meta, tag_name="genres", tags=D.TAGS, fi_type=fi_type, minimum=minimum, sizes=sizes)
+    return batch.run_headers(orders, None, tag_name="genres", tags=D.TAGS, fi_type=fi_type, minimum=minimum, sizes=sizes)
 
 
-def tag_documents(meta: DataFrame) -> DataFrame:
-    """Metadata with whole-number ids and the mined tags only, written: every run of the batch looks its tags up there."""
-    tags = F.struct(tags_of("genres").alias("genres"))
-    return materialise(normal_ids(meta).select("_id", F.struct(tags.alias("tags")).alias("musicinfo")), "tag-documents")
+def tagged_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The confident orders with their wanted tags ``t``, written: all that the runs of the batch read."""
+    orders = D.order_labels(spark, sf, batch.FILTER_CONFIDENCE)
+    tagged = batch.wanted_tags(orders, D.metadata(spark, sf), "genres", D.TAGS)
+    return materialise(tagged.drop("_id"), "tagged-orders")
 
 
 def stored_path(spark: SparkSession, sf: str) -> str:
@@ -34,11 +33,11 @@ def stored_path(spark: SparkSession, sf: str) -> str:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _PATHS:
         path = new_path(spark, "results")
-        meta = tag_documents(D.metadata(spark, sf))
-        sizes = batch.tag_sizes(D.plain_tracks(spark, sf), meta, tag_name="genres", tags=D.TAGS)
-        sizes = materialise(sizes, "tag-sizes")
-        write_results(headers(spark, sf, "frequent", meta, sizes), mined_frequent(spark, sf, meta), path, 0)
-        write_results(headers(spark, sf, "hui", meta, sizes), mined_high_utility(spark, sf, meta, sizes), path, 0)
+        orders = tagged_orders(spark, sf)
+        plain = orders.select("t", F.col("plain_confidence").alias("confidence"))
+        sizes = materialise(batch.tag_sizes(plain, None, tag_name="genres", tags=D.TAGS), "tag-sizes")
+        write_results(headers(spark, sf, "frequent", orders, sizes), mined_frequent(spark, sf, orders), path, 0)
+        write_results(headers(spark, sf, "hui", orders, sizes), mined_high_utility(spark, sf, orders, sizes), path, 0)
         _PATHS[key] = path
     return _PATHS[key]
 

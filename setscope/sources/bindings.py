@@ -6,10 +6,10 @@ partial sums meet before the shuffle; an order's map holds at most one entry per
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setscope.functions.tables import local_table
+from setscope.functions.tables import local_table, materialise
 
 # Unit utilities per part type.
 TYPE_UTILITY = {"ECONOMY": 1, "LARGE": 5, "MEDIUM": 3, "PROMO": 2, "SMALL": 1, "STANDARD": 4}
@@ -51,6 +51,11 @@ def _confidence(percent: Column, lines: Column) -> Column:
     return F.lit(1.0) - percent.cast("double") / (F.lit(10.0) * lines)
 
 
+def shares(weights: str) -> Column:
+    """Shares of a map of weights in the order's total."""
+    return F.transform_values(weights, lambda _, w: w / F.col("total"))
+
+
 def basket_maps(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     """``(_id, confidence, weights map, items map)``: whole weights and shares of an order, from one scan of the lines."""
     per_id = weights(spark, sf_dir, label).groupBy(F.col("id").alias("_id")).agg(
@@ -58,9 +63,7 @@ def basket_maps(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
         F.sum("weight").alias("total"),
         _confidence(F.sum("percent"), F.sum("lines")).alias("confidence"),
     )
-    return per_id.select(
-        "_id", "confidence", "weights", F.transform_values("weights", lambda _, w: w / F.col("total")).alias("items")
-    )
+    return per_id.select("_id", "confidence", "weights", shares("weights").alias("items"))
 
 
 def baskets_long(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
@@ -74,6 +77,62 @@ def tracks(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return basket_maps(spark, sf_dir, label).select("_id", "confidence", "items")
 
 
+def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(p_partkey, brand, type, copies, lead)``: the labels of every part, written, so its known size decides how it is joined.
+
+    Rows of a part with equal labels are one row with their number. One row of each part leads, so a line can still be counted once.
+    """
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
+    known = parts.filter(F.col("p_partkey").isNotNull()).repartition("p_partkey")
+    merged = known.groupBy("p_partkey", "brand", "type").agg(F.count(F.lit(1)).alias("copies"))
+    # The labels of one part are at most the label domain.
+    turn = F.row_number().over(Window.partitionBy("p_partkey").orderBy("brand", "type"))
+    return materialise(merged.withColumn("lead", turn == 1), "part-labels")
+
+
+def _sums_by(entries: str, label: str) -> Column:
+    """Map from each label of an order's entries to its weight; like a sum, null weights do not count."""
+    def weight(key: Column) -> Column:
+        own = F.filter(entries, lambda e: (e[label] == key) & e["weight"].isNotNull())
+        return F.aggregate(own, F.lit(None).cast("bigint"), lambda acc, e: F.coalesce(acc, F.lit(0)) + e["weight"])
+
+    labels = F.array_distinct(F.transform(entries, lambda e: e[label]))
+    return F.map_from_entries(F.transform(labels, lambda key: F.struct(key.alias("key"), weight(key).alias("value"))))
+
+
+def order_labels(spark: SparkSession, sf_dir: str, above: float) -> DataFrame:
+    """``(_id, confidence, plain_confidence, total, brands map, types map)`` of orders with one of the two confidences above a bound.
+
+    What ``basket_maps`` of both labels and ``plain_tracks`` tell, from one scan of the lines dealt by order once: ``confidence`` is of
+    the lines with a part, ``plain_confidence`` of all lines, and the maps hold whole weights.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), "l_partkey", F.col("l_quantity").cast("bigint").alias("quantity"), _percent().alias("percent")
+    )
+    labelled = lines.join(part_labels(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"), "left")
+    lead = F.coalesce("lead", F.lit(True)).alias("lead")
+    dealt = labelled.select("id", "brand", "type", "quantity", "percent", "copies", lead).repartition("id")
+    per_pair = dealt.groupBy("id", "brand", "type").agg(
+        F.sum(F.col("quantity") * F.col("copies")).alias("weight"),
+        F.sum(F.col("percent") * F.col("copies")).alias("percent"),
+        F.sum("copies").alias("lines"),
+        F.sum(F.when(F.col("lead"), F.col("percent"))).alias("all_percent"),
+        F.count(F.when(F.col("lead"), F.lit(1))).alias("all_lines"),
+    )
+    # Lines without a part have no copies, so they are no entry.
+    entry = F.when(F.col("lines").isNotNull(), F.struct("brand", "type", "weight"))
+    per_id = per_pair.groupBy(F.col("id").alias("_id")).agg(
+        F.collect_list(entry).alias("entries"),
+        F.sum("weight").alias("total"),
+        _confidence(F.sum("percent"), F.sum("lines")).alias("confidence"),
+        _confidence(F.sum("all_percent"), F.sum("all_lines")).alias("plain_confidence"),
+    )
+    sure = per_id.filter((F.col("confidence") > above) | (F.col("plain_confidence") > above))
+    return sure.select(
+        "_id", "confidence", "plain_confidence", "total", _sums_by("entries", "brand").alias("brands"), _sums_by("entries", "type").alias("types")
+    )
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata documents of the orders, ids as digit strings, two tag families."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
