@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from setscope.functions.columns import join_same
 from setscope.functions.tables import local_table, materialise
 
 # Unit utilities per part type.
@@ -77,17 +78,21 @@ def tracks(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return basket_maps(spark, sf_dir, label).select("_id", "confidence", "items")
 
 
-def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(p_partkey, brand, type, copies, lead)``: the labels of every part, written, so its known size decides how it is joined.
+def part_kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(p_partkey, kind)`` and ``(kind, brand, type, copies, lead)``: the labels of every part, by the number of their kind.
 
-    Rows of a part with equal labels are one row with their number. One row of each part leads, so a line can still be counted once.
+    A line carries that number through shuffles instead of its labels. Both tables are written, so their known sizes decide how they are
+    joined. Rows of a part with equal labels are one row with their number. One row of each part leads, so a line can still be counted once.
     """
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
     known = parts.filter(F.col("p_partkey").isNotNull()).repartition("p_partkey")
     merged = known.groupBy("p_partkey", "brand", "type").agg(F.count(F.lit(1)).alias("copies"))
     # The labels of one part are at most the label domain.
     turn = F.row_number().over(Window.partitionBy("p_partkey").orderBy("brand", "type"))
-    return materialise(merged.withColumn("lead", turn == 1), "part-labels")
+    labels = materialise(merged.withColumn("lead", turn == 1), "part-labels")
+    told = ["brand", "type", "copies", "lead"]
+    kinds = materialise(labels.select(told).distinct().select(F.monotonically_increasing_id().alias("kind"), *told), "kinds")
+    return materialise(join_same(labels, kinds, told).select("p_partkey", "kind"), "part-kinds"), kinds
 
 
 def _sums_by(entries: str, label: str) -> Column:
@@ -104,20 +109,26 @@ def order_labels(spark: SparkSession, sf_dir: str, above: float) -> DataFrame:
     """``(_id, confidence, plain_confidence, total, brands map, types map)`` of orders with one of the two confidences above a bound.
 
     What ``basket_maps`` of both labels and ``plain_tracks`` tell, from one scan of the lines dealt by order once: ``confidence`` is of
-    the lines with a part, ``plain_confidence`` of all lines, and the maps hold whole weights.
+    the lines with a part, ``plain_confidence`` of all lines, and the maps hold whole weights. Lines are dealt as they are read, with the
+    kind of their part; numbers and labels are made behind the shuffle.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("id"), "l_partkey", F.col("l_quantity").cast("bigint").alias("quantity"), _percent().alias("percent")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_quantity", "l_discount")
+    parts, kinds = part_kinds(spark, sf_dir)
+    labelled = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+    dealt = labelled.select("id", "kind", "l_quantity", "l_discount").repartition("id")
+    per_kind = dealt.groupBy("id", "kind").agg(
+        F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"), F.sum(_percent()).alias("own"), F.count(F.lit(1)).alias("n")
     )
-    labelled = lines.join(part_labels(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"), "left")
-    lead = F.coalesce("lead", F.lit(True)).alias("lead")
-    dealt = labelled.select("id", "brand", "type", "quantity", "percent", "copies", lead).repartition("id")
-    per_pair = dealt.groupBy("id", "brand", "type").agg(
-        F.sum(F.col("quantity") * F.col("copies")).alias("weight"),
-        F.sum(F.col("percent") * F.col("copies")).alias("percent"),
-        F.sum("copies").alias("lines"),
-        F.sum(F.when(F.col("lead"), F.col("percent"))).alias("all_percent"),
-        F.count(F.when(F.col("lead"), F.lit(1))).alias("all_lines"),
+    lead = F.coalesce("lead", F.lit(True))
+    per_pair = per_kind.join(kinds, "kind", "left").select(
+        "id",
+        "brand",
+        "type",
+        (F.col("quantity") * F.col("copies")).alias("weight"),
+        (F.col("own") * F.col("copies")).alias("percent"),
+        (F.col("n") * F.col("copies")).alias("lines"),
+        F.when(lead, F.col("own")).alias("all_percent"),
+        F.when(lead, F.col("n")).otherwise(0).alias("all_lines"),
     )
     # Lines without a part have no copies, so they are no entry.
     entry = F.when(F.col("lines").isNotNull(), F.struct("brand", "type", "weight"))

@@ -1,5 +1,7 @@
 """The stored batch reads its lines once; orders with odd rows give what the separate ways of reading them give."""
 
+import re
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -51,6 +53,27 @@ def test_lines_are_dealt_once_for_both_labels(spark, tables):
     assert plan.count("ReadSchema: struct<l_orderkey") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
+def dealt_rows(frame):
+    """Columns and hash keys of every shuffle in a plan."""
+    plan = frame._jdf.queryExecution().explainString(frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    found = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: hashpartitioning\((.*?), \d+\)", plan)
+    return [tuple([re.sub(r"#\d+L?", "", x) for x in part.split(", ")] for part in row) for row in found]
+
+
+def test_lines_are_dealt_with_the_kind_of_their_part(spark, tables):
+    assert dealt_rows(D.order_labels(spark, tables, 0.6)) == [(["id", "kind", "l_quantity", "l_discount"], ["id"])]
+
+
+def test_kinds_tell_the_labels_of_parts(spark, tables):
+    parts, kinds = D.part_kinds(spark, tables)
+    told = {r["kind"]: (r["brand"], r["type"], r["copies"]) for r in kinds.collect()}
+    assert kinds.count() == len(told) == len(set(told)) < parts.count() == 11
+    assert sorted(told[r["kind"]] for r in parts.filter("p_partkey < 3").collect()) == [
+        ("Brand#2", "LARGE", 3), ("Brand#3", "PROMO", 1), ("Brand#7", "LARGE", 1), ("Brand#7", "SMALL", 1)
+    ]
+    assert parts.join(kinds.filter("lead"), "kind").count() == 9
+
+
 def test_order_labels_agree_with_separate_maps(spark, tables):
     got = {r["_id"]: r for r in D.order_labels(spark, tables, -9.0).collect()}
     plain = {r["_id"]: r["confidence"] for r in D.plain_tracks(spark, tables).collect()}
