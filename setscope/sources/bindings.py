@@ -153,9 +153,9 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("n_nationkey", "n_name", "r_name")
     )
-    joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(
-        places, F.col("c_nationkey") == F.col("n_nationkey")
-    )
+    # Customers meet their places first, so orders are dealt by customer only.
+    placed = customers.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = orders.join(placed, F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey").cast("string")
     tags = F.struct(
         F.array("o_orderpriority", F.lower("c_mktsegment")).alias("genres"), F.array("n_name", "r_name").alias("vartags")

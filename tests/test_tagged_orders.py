@@ -74,6 +74,15 @@ def test_kinds_tell_the_labels_of_parts(spark, tables):
     assert parts.join(kinds.filter("lead"), "kind").count() == 9
 
 
+def test_orders_are_dealt_by_customer_only(spark, tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = dealt_rows(D.metadata(spark, tables))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [keys for columns, keys in dealt if "o_orderkey" in columns] == [["o_custkey"]]
+
+
 def test_order_labels_agree_with_separate_maps(spark, tables):
     got = {r["_id"]: r for r in D.order_labels(spark, tables, -9.0).collect()}
     plain = {r["_id"]: r["confidence"] for r in D.plain_tracks(spark, tables).collect()}
